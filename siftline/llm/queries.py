@@ -46,8 +46,72 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, crc32, "ids_crc32 long")
 
 
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_gone")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+#: Dated changes of three lists: list, kind, pattern, action, day.
+LIST_CHANGES = [
+    ("spam", "domain", "spam-farm.example.org", "block", "2024-01-10"),
+    ("spam", "domain", "spam-farm.example.org", "remove", "2024-09-01"),
+    ("spam", "domain", "spam-farm.example.org", "block", "2024-11-15"),
+    ("spam", "domain", "cheap-pills.example.com", "block", "2024-02-15"),
+    ("spam", "host", "www.cheap-pills.example.com", "allow", "2024-08-01"),
+    ("spam", "domain", "free-bets.example.com", "block", "2024-05-01"),
+    ("ads", "domain", "ads-track.example.org", "block", "2024-03-01"),
+    ("ads", "host", "m.ads-track.example.org", "allow", "2024-03-20"),
+    ("ads", "prefix", "tionsh.example.net/fr", "block", "2024-04-01"),
+    ("ads", "prefix", "tionsh.example.net/fr", "remove", "2024-10-01"),
+    ("ads", "domain", "example.net", "block", "2024-12-20"),
+    ("editors", "domain", "tionsh.example.net", "allow", "2024-12-24"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages carry no time of their own: page p counts as fetched p mod 366 days into 2024."""
+    from .url_filter import judge
+
+    changes = spark.createDataFrame(LIST_CHANGES, "list string, kind string, pattern string, action string, day string")
+    changes = changes.select("list", "kind", "pattern", "action", F.col("day").cast("date").alias("at"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+    return judge(captures, changes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op6_mixing, op9_token_files)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_best_fit_packing,
+        op3_quality_resampling,
+        op4_line_dedup,
+        op6_mixing,
+        op7_near_dedup,
+        op8_nearest_vectors,
+        op9_token_files,
+        op10_url_filter,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -75,6 +139,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - upto)))::BIGINT AS taken FROM r""",
 }
 
+ORACLE_SQL["op10_url_filter"] = (
+    "WITH c(list, kind, pattern, action, day) AS (VALUES "
+    + ", ".join(str(x) for x in LIST_CHANGES)
+    + r"""),
+        i AS (SELECT list, kind, pattern, action, day::DATE AS a, lead(day::DATE) OVER (PARTITION BY list, kind, pattern ORDER BY day::DATE) AS b FROM c),
+        p AS (SELECT page_id, url, ('2024-01-01'::DATE + (page_id % 366)::INT) AS fetched_at,
+                     regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host,
+                     regexp_extract(lower(url), '^[a-z]+://([^?#]+)', 1) || '/' AS whole FROM pages),
+        m AS (SELECT p.page_id, i.list, i.kind, i.pattern, i.action
+              FROM p JOIN i ON i.action <> 'remove' AND p.fetched_at >= i.a AND (i.b IS NULL OR p.fetched_at < i.b)
+               AND CASE i.kind WHEN 'host' THEN p.host = i.pattern WHEN 'domain' THEN p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)
+                   ELSE starts_with(p.whole, i.pattern || '/') END),
+        r AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY
+                     CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(pattern) DESC, action = 'allow' DESC, list DESC) AS k FROM m)
+        SELECT p.page_id, p.url, p.fetched_at, coalesce(r.action, 'none') AS decision, r.list, r.kind, r.pattern, coalesce(r.n, 0) AS n_active
+        FROM p LEFT JOIN r ON r.page_id = p.page_id AND r.k = 1"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
