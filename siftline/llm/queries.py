@@ -32,6 +32,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(cut, "pieces"), capacity=1024)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_quality_resampling,
         op4_line_dedup,
+        op5_language_id,
         op6_mixing,
         op7_near_dedup,
         op8_nearest_vectors,
