@@ -3,10 +3,10 @@
 Texts longer than a sequence are cut into full sequences after a shorter first piece, and every
 full piece is a sequence of its own. The other pieces are dealt at random into shards of bounded
 size. Inside a shard they go longest first into the fullest bin with room for them. A local search
-then works on the underfull bins: it moves a piece, exchanges one for one, two for one or one for
-two, always so that the sum of squared fills grows, and so the emptier bins run empty. Pieces that
-still stand in underfull bins are dealt into shards again and packed once more, until a round
-saves no bin; a shard's last bins thus don't add up over many shards.
+then works on the underfull bins: it moves a piece, exchanges one for one or two for one, always so that
+the sum of squared fills grows, and so the emptier bins run empty. Pieces that stand in bins with
+an eighth of their room left are dealt into shards again and packed once more, until a round saves
+no bin; a shard's last bins thus don't add up over many shards.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a doc_id are packed as
 rows of their own; a null doc_id is packed like any other; an empty table gives an empty result.
@@ -15,7 +15,6 @@ rows of their own; a null doc_id is packed like any other; an empty table gives
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,80 +74,62 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Moves and exchanges between underfull bins; every step makes a fuller bin fuller at an emptier one's cost."""
-
-    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
-        self.lengths, self.capacity, self.bins = lengths.tolist(), capacity, bins
-        self.fill = np.array([sum(self.lengths[i] for i in b) for b in bins], np.int64)
+    """Empties the emptiest bins: each step moves or exchanges pieces so that a fuller bin grows and the squared fills' sum with it."""
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.bin = np.empty(len(lengths), np.int64)
+        for k, b in enumerate(bins):
+            self.bin[b] = k
+        self.fill = np.bincount(self.bin, weights=lengths, minlength=len(bins)).astype(np.int64)
         self.least = -(-int(lengths.sum()) // capacity)
-        self.live = sum(1 for b in bins if b)
 
     def run(self) -> list[list[int]]:
-        improved = True
-        while improved and self.live > self.least:
-            improved = False
+        emptied = True
+        while emptied and np.count_nonzero(self.fill) > self.least:
+            emptied = False
             for a in np.argsort(self.fill, kind="stable").tolist():
-                if 0 < self.fill[a] < self.capacity and self.live > self.least:
-                    while self.bins[a] and self.step(a):
-                        improved = True
-        return [b for b in self.bins if b]
-
-    def table(self, a: int) -> tuple[np.ndarray, ...]:
-        """The bins that may take from a (underfull, no emptier than a), and their pieces' lengths."""
-        at = np.flatnonzero((self.fill < self.capacity) & (self.fill >= self.fill[a]) & (self.fill > 0))
-        at = at[at != a]
-        return at, self.capacity - self.fill[at]
+                if not 0 < self.fill[a] < self.capacity:
+                    continue
+                while self.fill[a] and self.step(a):
+                    pass
+                emptied |= not self.fill[a]
+                if np.count_nonzero(self.fill) <= self.least:
+                    break
+        order = np.argsort(self.bin, kind="stable")
+        return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(self.bin[order])) + 1)]
 
     def step(self, a: int) -> bool:
-        at, room = self.table(a)
-        if not len(at):
+        fills = self.fill[self.bin]
+        others = np.flatnonzero((fills < self.capacity) & (fills >= self.fill[a]) & (self.bin != a))
+        if not len(others):
             return False
-        mine = sorted(self.bins[a], key=self.lengths.__getitem__, reverse=True)
-        widest = int(room.max())
-        for i in mine:  # move
-            if self.lengths[i] <= widest:
-                fits = np.flatnonzero(room >= self.lengths[i])
-                self.change(a, [i], int(at[fits[np.argmin(room[fits])]]), [])
+        mine = np.flatnonzero(self.bin == a)
+        sizes, room = self.lengths[mine], self.capacity - fills[others]
+        k = int(np.argmax(np.where(sizes <= room.max(), sizes, -1)))
+        if sizes[k] <= room.max():  # the longest that fits moves to where it fits best
+            to = others[np.argmin(np.where(room >= sizes[k], room, self.capacity + 1))]
+            self.change(a, mine[[k]], int(self.bin[to]), mine[:0])
+            return True
+        ones = [(int(n), (i,)) for i, n in enumerate(sizes.tolist())]
+        twos = [(x + y, (*i, *j)) for k, (x, i) in enumerate(ones) for y, j in ones[k + 1 :] if x + y < self.capacity]
+        for give in (dict(ones), dict(twos)):  # one for one, then two for one
+            if not give:
+                continue
+            sums = np.array(sorted(give))
+            at = np.searchsorted(sums, self.lengths[others] + room, side="right") - 1  # the longest that the room allows
+            gain = np.where(at >= 0, sums[at] - self.lengths[others], 0)
+            best = int(np.argmax(gain))
+            if gain[best] > 0:
+                self.change(a, mine[list(give[int(sums[at[best]])])], int(self.bin[others[best]]), others[[best]])
                 return True
-        singles = [(self.lengths[i], [i]) for i in mine]
-        pairs = [(self.lengths[i] + self.lengths[j], [i, j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-        for give in (singles, pairs):  # one for one, two for one
-            found = self.exchange(give, at, room, 1)
-            if found:
-                self.change(a, *found)
-                return True
-        found = self.exchange(singles, at, room, 2)  # one for two
-        if found:
-            self.change(a, *found)
-        return bool(found)
-
-    def exchange(self, give: list[tuple[int, list[int]]], at: np.ndarray, room: np.ndarray, take: int):
-        """The exchange that fills a bin best: what it gets exceeds what it gives by its room at most."""
-        sizes = sorted(n for n, _ in give)
-        best = (0, None)
-        for b, r in zip(at.tolist(), room.tolist(), strict=True):
-            theirs = self.bins[b]
-            offers = [([i], self.lengths[i]) for i in theirs] if take == 1 else [([i, j], self.lengths[i] + self.lengths[j]) for k, i in enumerate(theirs) for j in theirs[k + 1 :]]
-            for away, n in offers:
-                k = bisect_left(sizes, n + r + 1) - 1  # the longest of mine that still fits
-                if k >= 0 and sizes[k] - n > best[0]:
-                    best = (sizes[k] - n, (sizes[k], b, away))
-                    if sizes[k] - n == r:
-                        break
-            if best[1] and best[1][1] == b and best[0] == r:
-                break
-        if not best[1]:
-            return None
-        size, b, away = best[1]
-        return next(own for n, own in give if n == size), b, away
-
-    def change(self, a: int, give: list[int], b: int, take: list[int]) -> None:
-        self.bins[a] = [i for i in self.bins[a] if i not in give] + take
-        self.bins[b] = [i for i in self.bins[b] if i not in take] + give
-        moved = sum(self.lengths[i] for i in give) - sum(self.lengths[i] for i in take)
+        return False
+
+    def change(self, a: int, give: np.ndarray, b: int, take: np.ndarray) -> None:
+        self.bin[give], self.bin[take] = b, a
+        moved = int(self.lengths[give].sum() - self.lengths[take].sum())
         self.fill[a] -= moved
         self.fill[b] += moved
-        self.live -= not self.bins[a]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -157,7 +138,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     rest = np.flatnonzero(lengths < capacity)
     if not len(rest):
         return full
-    bins = LocalSearch(best_fit(lengths[rest], capacity), lengths[rest], capacity).run()
+    bins = LocalSearch(lengths[rest], best_fit(lengths[rest], capacity), capacity).run()
     return full + [[int(rest[i]) for i in b] for b in bins]
 
 
@@ -168,7 +149,7 @@ def packer(columns: list[str], capacity: int, level: int):
         base = (level << 59) + (int(rows["_shard"].iloc[0]) << 24)
         for k, b in enumerate(pack_lengths(lengths, capacity)):
             at = np.cumsum(lengths[b]) - lengths[b]
-            sequence[b], offset[b], is_open[b] = base + k, at, at[-1] + lengths[b[-1]] < capacity
+            sequence[b], offset[b], is_open[b] = base + k, at, at[-1] + lengths[b[-1]] <= capacity - capacity // 8
         return rows[columns].assign(sequence_id=sequence, offset=offset, _open=is_open.astype(bool))
 
     return run
