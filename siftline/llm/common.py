@@ -33,9 +33,12 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored df with a broadcast hint if its counted rows stay within limit; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A stored df with a broadcast hint if its counted rows stay within limit; beyond that Spark shuffles both sides.
+
+    weight: what a row counts as, for rows of no fixed width."""
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= limit else df
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -197,7 +197,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     parts = F.split("text", "\n", -1)
     n_gone = F.coalesce(F.size("gone"), F.lit(0))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    joined = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(small(gone, weight=F.size("gone")), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     columns = [text.alias(c) if c == "text" else F.when(n_gone > 0, F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), n_gone.cast("long").alias("n_gone"))
 

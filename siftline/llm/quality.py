@@ -7,8 +7,9 @@ their weights by Gumbel top-k: the k largest of log weight + Gumbel noise (times
 seeded by doc_id, so reruns agree.
 
 k is not a fixed share. With a fraction p of target-like text in the corpus, p times the weight is
-the probability that a document is target-like; k is the number of documents for which this is at
-least a half. p is the fraction of good ones among all labels.
+the probability that a document is target-like; k is the number of documents for which this is
+LEAST or more, so that good but short texts, which say little for themselves, stay. p is the
+fraction of good ones among all labels.
 
 N-grams are of three views, so that junk shows at any corpus size: words, pairs of words, and
 triples of word shapes (case, digits, symbols, end mark, same word as before).
@@ -88,27 +89,40 @@ def slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int,
 
 @dataclass
 class Model:
-    """log_ratio: of each bucket, target over raw; share: of target-like documents in the corpus."""
+    """log_ratio: of each bucket, target over raw, for documents outside [0] and inside [1] the target sample;
+    share: of target-like documents in the corpus; chosen: doc_id, target of the sample."""
 
     log_ratio: np.ndarray
     share: float
+    chosen: DataFrame | None = None
 
-    def log_weights(self, texts: list[str | None]) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"chosen": None}  # tasks need the numbers alone
+
+    def flagged(self, docs: DataFrame) -> DataFrame:
+        """docs with `_target` as the last column; the sample's size is bounded."""
+        own = self.chosen.select(F.col("doc_id").alias("_id"), F.col("target").alias("_own"))
+        joined = docs.join(F.broadcast(own), F.col("doc_id") == F.col("_id"), "left")
+        return joined.select(*(docs[c] for c in docs.columns), F.coalesce("_own", F.lit(False)).alias("_target"))
+
+    def log_weights(self, texts: list[str | None], target: np.ndarray) -> np.ndarray:
         """-inf for texts without a word."""
         out = []
-        for _, some in slices(texts):
+        for at, some in slices(texts):
             grams, offsets = ngrams(some)
-            sums = np.concatenate([[0.0], np.cumsum(self.log_ratio[grams])])
+            own = np.repeat(target[at : at + len(some)].astype(np.int64), np.diff(offsets))
+            sums = np.concatenate([[0.0], np.cumsum(self.log_ratio[own, grams])])
             out.append(np.where(np.diff(offsets) > 0, sums[offsets[1:]] - sums[offsets[:-1]], -np.inf))
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, smoothing: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, smoothing: float = 10.0) -> Model:
     """docs: doc_id, text; labels: doc_id, quality (1: good)."""
     graded = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = graded.agg(F.count("*").alias("all"), F.count_if(F.col("quality") == 1).alias("good")).first()
     chosen = graded.where("quality = 1").select("doc_id", F.lit(True).alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    flagged = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    model = Model(np.zeros((2, SIZE)), n.good / n.all if n.good else 1.0, stored(chosen, "quality-sample"))
+    flagged = model.flagged(docs.select("doc_id", "text")).select("text", "_target")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
@@ -124,16 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, smoothing
     counts = flagged.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = (np.zeros(SIZE) for _ in range(2))
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
-    log_ratio = np.zeros(SIZE)
     for view in range(VIEWS):
         part = slice(view << BUCKET_BITS, (view + 1) << BUCKET_BITS)
-        background = (raw[part] + smoothing) / (raw[part] + smoothing).sum()  # the target model falls back on the raw one
-        if target[part].sum():
-            weight = smoothing * len(background) * 0.01
-            log_ratio[part] = np.log((target[part] + weight * background) / (target[part].sum() + weight)) - np.log(background)
-    return Model(log_ratio, n.good / n.all if n.good else 1.0)
+        scale = target[part].sum() / max(1, raw[part].sum())
+        if scale:  # an occurrence is no evidence about its own document, so it is left out of what it is held against
+            expected = np.maximum(0, raw[part] - 1) * scale + smoothing
+            model.log_ratio[0, part] = np.log((target[part] + smoothing) / expected)
+            model.log_ratio[1, part] = np.log((np.maximum(0, target[part] - 1) + smoothing) / expected)
+    return model
 
 
+#: The probability at which a document counts among the k.
+LEAST = 0.1
 #: Noise is scaled by this: documents are drawn in proportion to weight ** (1 / TEMPERATURE).
 TEMPERATURE = 0.25
 
@@ -156,10 +172,10 @@ def scores(docs: DataFrame, model: Model, seed: int = 11) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            w = model.log_weights(batch.column(1).to_pylist())
+            w = model.log_weights(batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(sortable(w + gumbel(ids, seed)))], ["doc_id", "log_weight", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, log_weight double, key long")
+    return model.flagged(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, log_weight double, key long")
 
 
 def kth_largest(df: DataFrame, col: str, k: int) -> int | None:
@@ -179,10 +195,10 @@ def kth_largest(df: DataFrame, col: str, k: int) -> int | None:
 
 
 def resample(scored: DataFrame, model: Model, k: int | None = None) -> int | None:
-    """The threshold: keys at or above it are drawn. k: how many to draw; None: as many as are target-like at even odds."""
+    """The threshold: keys at or above it are drawn. k: how many to draw; None: as many as are target-like with a probability of LEAST."""
     real = scored.where(F.col("log_weight") > float("-inf"))
     if k is None:
-        k = real.where(F.col("log_weight") >= math.log(0.5 / model.share)).count()
+        k = real.where(F.col("log_weight") >= math.log(LEAST / model.share)).count()
     return kth_largest(real, "key", min(k, real.count()))
 
 
@@ -201,14 +217,15 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 11, **how) -> DataFra
     """The rows of docs that are drawn, with their columns as they were. Texts are scored once more rather than shuffled."""
     model = fit(docs, labels, **how)
     threshold = resample(stored(scores(docs, model, seed), "scores"), model)
+    columns = docs.columns
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = model.log_weights(batch.column(text_at).to_pylist())
+            w = model.log_weights(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             keep = np.isfinite(w) & (threshold is not None)
             if keep.any():
                 keep &= sortable(w + gumbel(batch.column(id_at).to_pylist(), seed)) >= threshold
-            yield batch.filter(pa.array(keep))
+            yield batch.select(columns).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return model.flagged(docs).mapInArrow(run, docs.schema)

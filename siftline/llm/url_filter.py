@@ -61,7 +61,7 @@ def keys(url: Column) -> Column:
 
 def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched_at) with decision (allow, block, none), list, kind, pattern of the entry that decides, and n_active."""
-    active = small(stored(intervals(changes), "intervals"))
+    active = small(stored(intervals(changes), "intervals"), weight=F.length("pattern"), limit=1 << 24)
     keyed = captures.select("page_id", "url", "fetched_at", F.explode(keys(F.col("url"))).alias("k")).select("page_id", "url", "fetched_at", "k.kind", "k.pattern")
     met = keyed.join(active, ["kind", "pattern"]).where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     rank = F.struct(
