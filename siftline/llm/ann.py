@@ -195,7 +195,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
                 qu += qs["qu"].iloc[a : a + 256].to_list()
                 us += list(u[best])
                 scores += list(exact.reshape(-1, m))
-        return pd.DataFrame({"qu": pd.Series(qu, dtype=np.int64), "us": us, "scores": scores})
+        return pd.DataFrame({"qu": pd.Series(qu, dtype=np.int64), "us": pd.Series(us, dtype=object), "scores": pd.Series(scores, dtype=object)})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         """The nearest of one query's leaves; a vector found in two trees has one score."""

@@ -58,12 +58,12 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return sources.withColumn("target", F.when(free, F.least(cap, F.col("weight") * F.lit(level))).otherwise(0.0))
 
 
-def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, per_slice: int = 4096) -> DataFrame:
-    """docs with size, source_size, target, whole (full repetitions), part (words of one more repetition), taken.
+def planned(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, per_slice: int = 4096) -> DataFrame:
+    """docs with __size, __source_size, __target, __whole (full repetitions), __part (words of one more).
 
     weights: (source, weight), or numbers dealt to the sources in order. share: of all words, the mix's budget."""
-    sized = docs.select("*", words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"))
-    narrow = stored(sized.select("doc_id", "source", "size", "_key"), "sizes")
+    sized = docs.select("*", words().alias("__size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"))
+    narrow = stored(sized.select("doc_id", "source", F.col("__size").alias("size"), "_key"), "sizes")
     sizes = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "sources")
     sources = by_rank(sizes, weights) if isinstance(weights, tuple) else sizes.join(weights, sizes.source.eqNullSafe(weights.source), "left").select(sizes["*"], F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -82,20 +82,31 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (5, 2, 1), sha
     edge = placed.join(cut, placed.source.eqNullSafe(cut.source) & (placed.slice == cut.slice)).select(placed.source, placed.slice, "_key", "size", "rest", "before")
     upto = F.col("before") + F.coalesce(F.sum("size").over(Window.partitionBy("source", "slice").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     line = edge.withColumn("upto", upto).where((F.col("upto") <= F.col("rest")) & (F.col("rest") < F.col("upto") + F.col("size"))).select(F.col("source").alias("_s"), F.col("_key").alias("line"), (F.col("rest") - F.col("upto")).alias("line_words"))
-    plan = plan.join(line, plan.source.eqNullSafe(line._s), "left").drop("_s", "slices").withColumnRenamed("source", "_source")
-    plan = small(stored(plan, "lines"))
+    plan = plan.join(line, plan.source.eqNullSafe(line._s), "left").drop("_s", "slices")
+    plan = small(stored(plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns)), "lines"))
 
-    part = F.when(F.col("line").isNull(), F.when(F.col("rest") > 0, F.col("size")).otherwise(0)).when(F.col("_key") < F.col("line"), F.col("size")).when(F.col("_key") == F.col("line"), F.least("line_words", "size")).otherwise(0)
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    return out.select(*(sized[c] for c in docs.columns), "size", "source_size", "target", "whole", part.cast("long").alias("part"), (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    size, rest, at = F.col("__size"), F.col("__rest"), F.col("__line")
+    part = F.when(at.isNull(), F.when(rest > 0, size).otherwise(0)).when(F.col("_key") < at, size).when(F.col("_key") == at, F.least("__line_words", size)).otherwise(0)
+    out = sized.join(plan, sized.source.eqNullSafe(plan["__source"]))
+    return out.select(*(sized[c] for c in docs.columns), "__size", "__source_size", "__target", "__whole", part.cast("long").alias("__part"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """docs with size, source_size, target, whole (full repetitions), part (words of one more), taken.
+
+    A column of docs with one of these names is replaced. Options: see `planned`."""
+    names = ["size", "source_size", "target", "whole", "part"]
+    taken = (F.col("__whole") * F.col("__size") + F.col("__part")).cast("long").alias("taken")
+    return planned(docs, **how).select(*(c for c in docs.columns if c not in [*names, "taken"]), *(F.col(f"__{n}").alias(n) for n in names), taken)
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as the mix takes them: whole ones as often as it does, then a part as a text of its first words."""
-    mixed = mix(docs, **how)
-    copies = F.concat(F.array_repeat(F.lit(False), F.col("whole").cast("int")), F.array_repeat(F.lit(True), F.when(F.col("part") > 0, 1).otherwise(0)))
-    rows = mixed.withColumn("_cut", F.explode(copies))
+    whole, part, size = F.col("__whole").cast("int"), F.col("__part"), F.col("__size")
+    copies = F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), F.when(part > 0, 1).otherwise(0)))
+    rows = planned(docs, **how).withColumn("__cut", F.explode(copies))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each holds one word and the space before it
-    text = F.when(F.col("_cut") & (F.col("part") < F.col("size")), F.array_join(F.slice(pieces, 1, F.col("part").cast("int")), "")).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_cut") & (F.col("part") < F.col("size")), F.char_length(text)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*columns)
+    cut = F.col("__cut") & (part < size)
+    text = F.when(cut, F.array_join(F.slice(pieces, 1, part.cast("int")), "")).otherwise(F.col("text"))
+    made = {"text": text, "n_chars": F.when(cut, F.char_length(text)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*((made[c].cast(docs.schema[c].dataType) if c in made else F.col(c)).alias(c) for c in docs.columns))

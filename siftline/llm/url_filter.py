@@ -18,7 +18,8 @@ longer pattern first; allow before block), as with exceptions in filter lists.
 
 Defined results: a null or unreadable URL matches nothing and is kept; a null fetch time too;
 changes of one entry at the same time leave the last by action; entries with a null pattern or
-time are ignored; rows that repeat a capture are judged alike; empty lists keep everything.
+time are ignored; rows that repeat a capture are judged alike; empty lists keep everything; columns of
+`captures` with the name of a result column are replaced by it in `judge` and kept by `select`.
 """
 
 from __future__ import annotations
@@ -71,18 +72,20 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
         "list", "kind", "pattern", "action",
     )
     best = met.groupBy("page_id", "url", "fetched_at").agg(F.max(rank).alias("best"), F.count_distinct("list", "kind", "pattern").alias("n_active"))
-    best = best.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), "best", "n_active")
+    best = best.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), F.col("best").alias("_best"), F.col("n_active").alias("_n"))
     out = captures.join(best, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
-    return out.select(
-        *(captures[c] for c in captures.columns),
-        F.coalesce("best.action", F.lit("none")).alias("decision"),
-        F.col("best.list").alias("list"),
-        F.col("best.kind").alias("kind"),
-        F.col("best.pattern").alias("pattern"),
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
-    )
+    made = {
+        "decision": F.coalesce("_best.action", F.lit("none")),
+        "list": F.col("_best.list"),
+        "kind": F.col("_best.kind"),
+        "pattern": F.col("_best.pattern"),
+        "n_active": F.coalesce("_n", F.lit(0)).cast("long"),
+    }
+    return out.select(*(captures[c] for c in captures.columns if c not in made), *(v.alias(k) for k, v in made.items()))
 
 
 def select(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """The captures that no list blocked when they were fetched."""
-    return judge(captures, changes).where("decision <> 'block'").select(*captures.columns)
+    blocked = judge(captures, changes).where("decision = 'block'").select("page_id", "url", "fetched_at").distinct()
+    on = [captures[c].eqNullSafe(blocked[c]) for c in ("page_id", "url", "fetched_at")]
+    return captures.join(blocked, on, "left_anti")

@@ -1,0 +1,454 @@
+"""Each operator against a brute-force version, with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import io
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from siftline.llm import ann, components, exact_dedup, langid, line_dedup, mixing, near_dup, packing, quality, token_files, tokens, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, h string, size string, key string, rank string"
+
+
+def documents(spark, rows):
+    """rows: (doc_id, text[, lang[, source]]); with columns that clash with names the operators use inside."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or ""), "x", "x", "x", "x", "x") for r in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+EDGES = [(1, None), (2, ""), (3, " \n "), (None, "Alone here"), (4, "Same Text"), (5, "same text"), (5, "same text"), (6, "ÉCOLE"), (7, "école"), (8, "x" * 50_000)]
+
+
+# 1 exact dedup
+
+
+def test_exact_dedup_matches_brute_force(spark):
+    rng = random.Random(1)
+    rows = EDGES + [(100 + i, f"Copy {rng.randrange(30)}") for i in range(300)]
+    got = exact_dedup.exact_dedup(documents(spark, rows)).collect()
+    groups = defaultdict(list)
+    low = lambda t: (t or "").encode().lower()
+    for i, t in rows:
+        groups[low(t)].append(i)
+    want = []
+    for i, t in rows:
+        keep = max((x for x in groups[low(t)] if x is not None), default=None)
+        want.append((i, keep, len(groups[low(t)]), i == keep, hashlib.sha256(low(t)).hexdigest()))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_exact_dedup_empty(spark):
+    assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
+
+
+@given(st.lists(st.lists(st.integers(0, 300), max_size=40), min_size=2, max_size=5))
+@settings(max_examples=50, deadline=None)
+def test_quotient_filters_merge_without_loss(parts):
+    def block(keys):
+        k, n = np.unique(np.array(keys, np.uint64), return_counts=True)
+        return exact_dedup.QuotientBlock.of(k, n, 5, 8)
+
+    whole = block(parts[0])
+    for p in parts[1:]:
+        whole = exact_dedup.QuotientBlock.read(8, *whole.bytes()).merge(block(p))
+    k, n = np.unique(np.array(sum(parts, []), np.uint64), return_counts=True)
+    assert whole.keys().tolist() == k.tolist() and whole.counts.tolist() == n.tolist()
+
+
+# 2 packing and the tokens
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@given(st.lists(st.text(alphabet="ab Zé.,'\n\t 1<|endoftext|>\0ſ ", max_size=40), min_size=1, max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_word_ids_are_the_texts_ids(name, spaced, texts):
+    encoder = tokens.encoder(public_tokenizers.path(name), spaced)
+    for t in [*texts, " ".join(texts)]:
+        assert encoder.encode(t) == encoder.whole(t)
+
+
+def test_packing_places_every_piece(spark):
+    rng = random.Random(2)
+    rows = EDGES + [(100 + i, prose(rng, rng.randrange(1, 900))) for i in range(60)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(documents(spark, rows), path, True, 2, capacity=256, with_ids=True)
+    got = packing.pack(cut, capacity=256, per_shard=40).collect()
+    encoder = tokens.TextEncoder(path, True)
+    ids = defaultdict(list)
+    for i, t in rows:
+        ids[i].append(encoder.whole(t or "") + (2).to_bytes(4, "little"))
+    assert sum(r.length for r in got) == sum(len(x) // 4 for v in ids.values() for x in v)
+    for r in got:
+        assert any(x[4 * r.start : 4 * (r.start + r.length)] == bytes(r.ids) for x in ids[r.doc_id]) and zlib.crc32(r.ids) == r.ids_crc32
+        assert r.length <= 256 and (r.piece == 0 or r.length == 256)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(bins) <= 1.05 * -(-sum(r.length for r in got) // 256) + 2
+    joined = packing.sequences(packing.pack(cut, capacity=256, per_shard=40)).collect()
+    assert sorted(len(r.ids) // 4 for r in joined) == sorted(sum(n for _, n in b) for b in bins.values())
+
+
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=120))
+@settings(max_examples=60, deadline=None)
+def test_local_search_never_loses_to_best_fit(lengths):
+    n = np.array(lengths, np.int64)
+    bins = packing.pack_lengths(n, 64)
+    assert sorted(i for b in bins for i in b) == list(range(len(n))) and all(n[b].sum() <= 64 for b in bins)
+    rest = n[n < 64]
+    assert len(bins) <= (n == 64).sum() + len(packing.best_fit(rest, 64))
+
+
+def test_packing_empty(spark):
+    cut = packing.pieces(documents(spark, []), public_tokenizers.path("byte_bpe_50k.json"), True, 2)
+    assert packing.pack(cut).count() == 0
+
+
+# 3 quality
+
+
+def test_quality_keeps_prose_and_rejects_junk(spark):
+    rng = random.Random(3)
+    good = [(i, "The " + prose(rng, rng.randrange(5, 200)) + ".") for i in range(300)]
+    bad = [(1000 + i, " ".join(f"W{rng.randrange(99)}%%%" for _ in range(rng.randrange(20, 200)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[:150]] + [(i, 0) for i, _ in bad[:30]] + [(None, 1), (5, None)], "doc_id long, quality int")
+    docs = documents(spark, good + bad + [(5000, None), (5001, " ")])
+    got = {r.doc_id: r.kept for r in quality.quality_scores(docs, labels).collect()}
+    assert sum(got[i] for i, _ in good) >= 295 and not any(got[i] for i, _ in bad) and not got[5000] and not got[5001]
+    kept = quality.select(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
+
+
+def test_quality_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    docs = documents(spark, [(1, "a b"), (2, None)])
+    assert {r.doc_id: r.kept for r in quality.quality_scores(docs, none).collect()} == {1: True, 2: False}
+    assert quality.select(documents(spark, []), none).count() == 0
+
+
+@given(st.lists(st.floats(allow_nan=False, width=32), min_size=1, max_size=50))
+@settings(max_examples=50, deadline=None)
+def test_sortable_keeps_the_order(values):
+    v = np.array(values, np.float64)
+    assert (np.argsort(quality.sortable(v), kind="stable") == np.argsort(v + 0.0, kind="stable")).all()
+
+
+def test_kth_largest(spark):
+    values = [random.Random(4).randrange(-(2**62), 2**62) for _ in range(500)] + [7, 7, 7]
+    df = spark.createDataFrame([(v,) for v in values], "key long")
+    for k in (1, 2, 250, 503):
+        assert quality.kth_largest(df, "key", k) == sorted(values, reverse=True)[k - 1]
+
+
+# 4 line dedup
+
+
+def brute_lines(rows, least=line_dedup.MIN_WORDS):
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
+
+    seen, out = [], {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        keep = []
+        for line in (text or "").split("\n"):
+            w = line.split()
+            if not w or not any(w == s or (len(w) >= least and len(s) >= least and near(w, s)) for s in seen):
+                keep.append(line)
+            if w:
+                seen.append(w)
+        out[doc_id] = None if text is None else "\n".join(keep)
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(5)
+    base = [[f"v{rng.randrange(50)}" for _ in range(rng.randrange(1, 14))] for _ in range(40)]
+
+    def line():
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            i = rng.randrange(len(w))
+            w[i : i + rng.choice([0, 1])] = [f"n{rng.randrange(9)}"] * rng.choice([0, 1])
+        return " ".join(w)
+
+    rows = [(1, None), (2, ""), (3, "\n\n")] + [(10 + i, "\n".join(line() for _ in range(rng.randrange(1, 8)))) for i in range(80)]
+    want = brute_lines(rows)
+    got = line_dedup.deduplicated(documents(spark, rows))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    kept = line_dedup.select(documents(spark, rows))
+    assert kept.columns == documents(spark, []).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in rows if not (t or "").strip() or want[i].strip()}
+    assert all(r.n_chars == len(r.text or "") for r in kept.collect())
+
+
+def test_line_dedup_empty(spark):
+    assert line_dedup.deduplicated(documents(spark, [])).count() == 0
+
+
+# 5 language identification
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    words = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "schön", "nicht"], "fr": ["les", "été", "que", "pour"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(3, 40))), lang) for i, lang in enumerate(rng.choice(list(words)) for _ in range(600))]
+    rows += [(1000, None, "en"), (1001, "123 !!", "en"), (1002, "the thing", None), (None, "der und", "de")]
+    got = {r.doc_id: r for r in langid.language_id(documents(spark, rows), per_lang=150).collect()}
+    held = [(i, lang) for i, _, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 4 == 2 and i < 1000]
+    assert {i for i, r in got.items() if r.held_out and i < 1000} == {i for i, _ in held}
+    assert np.mean([got[i].lang_pred == lang for i, lang in held]) > 0.98
+    assert got[1000].lang_pred == got[1001].lang_pred == "und" and got[1000].score == 0.0 and got[1002].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_id_with_nothing_to_learn(spark):
+    assert langid.language_id(documents(spark, [])).count() == 0
+    assert [r.lang_pred for r in langid.language_id(documents(spark, [(1, "words", None)])).collect()] == ["und"]
+
+
+# 6 mixing
+
+
+def test_mixing_meets_targets(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(0, 60)), "en", rng.choice(["a", "b", "b", "b", None, "ä"])) for i in range(500)] + [(900, None, "en", "a"), (901, None, "en", "void"), (902, "one two", "en", "a"), (902, "one two", "en", "a")]
+    got = mixing.mix(documents(spark, rows), per_slice=20).collect()
+    size, target, taken = defaultdict(int), {}, defaultdict(int)
+    for i, r in enumerate(got):
+        size[r.source] += 0 if r.text is None else len(r.text.split())
+        target[r.source] = r.target
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * (0 if r.text is None else len(r.text.split())), i
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    budget, free, want = 1.5 * sum(size.values()), {s for s in order if size[s]}, {s: 0.0 for s in order}
+    while free:
+        level = (budget - sum(want[s] for s in order if s not in free)) / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= 2 * size[s]}
+        if not full:
+            want |= {s: level * weight[s] for s in free}
+            break
+        want |= {s: 2.0 * size[s] for s in full}
+        free -= full
+    for s in order:
+        assert target[s] == pytest.approx(want[s]) and taken[s] == pytest.approx(want[s], abs=1)
+    again = mixing.mix(documents(spark, rows[::-1]), per_slice=20).collect()
+    key = lambda r: (r.doc_id, r.text or "", r.source or "", r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    copies = mixing.repeated(documents(spark, rows), per_slice=20)
+    assert copies.columns == documents(spark, []).columns
+    assert copies.agg(F.sum(mixing.words())).first()[0] == sum(taken.values())
+
+
+def test_mixing_empty(spark):
+    assert mixing.mix(documents(spark, [])).count() == 0
+    assert [r.taken for r in mixing.mix(documents(spark, [(1, None)])).collect()] == [0]
+
+
+# 7 near duplicates
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(1, None), (2, ""), (3, "!!"), (4, "two words"), (5, "Two, words."), (6, "one")]
+    for g in range(12):
+        base = prose(rng, rng.randrange(60, 200), 5000).split()
+        for k in range(rng.choice([1, 2, 3, 12])):
+            w = list(base)
+            for _ in range(0 if k == 0 else rng.randrange(0, len(w) // 40 + 1)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(999)}"
+            rows.append((100 * (g + 1) + k, " ".join(w)))
+    shared = prose(rng, 60, 5000)
+    rows += [(5000 + i, prose(rng, 60, 5000) + " " + shared) for i in range(20)]  # share a passage, aren't alike
+    got = {r.doc_id: r for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    words = {i: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for i, t in rows}
+    for i, a in words.items():
+        for j, b in words.items():
+            if i < j:
+                alike = bool(a) and bool(b) and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+                assert (got[i].class_id == got[j].class_id) == alike, (i, j)
+    for i, r in got.items():
+        members = [j for j, x in got.items() if x.class_id == r.class_id]
+        assert r.class_id == min(members) and r.class_size == len(members) and r.kept == (i == r.class_id)
+    kept = near_dup.select(documents(spark, rows))
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_near_duplicates_empty(spark):
+    assert near_dup.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+# 8 nearest neighbours
+
+
+def brute_nearest(rows, queries, k):
+    out = {}
+    for q, v in queries.items():
+        best = sorted((-float(np.dot(np.array(v, np.float64), np.array(x, np.float64))), i) for i, x in rows.items() if i != q)
+        out[q] = [i for _, i in best[:k]]
+    return out
+
+
+def test_nearest_small_is_exact(spark):
+    rng = np.random.default_rng(10)
+    rows = {i: rng.integers(-3, 4, 6).astype(float).tolist() for i in range(200)}
+    rows = {i: v for i, v in rows.items() if any(v)} | {500 + i: [1.0, 2.0, 0.0, 0.0, 0.0, 1.0] for i in range(60)}
+    bad = [(900, None), (901, [0.0] * 6), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (903, [float("nan")] + [1.0] * 5), (904, [float("inf")] + [1.0] * 5), (None, [1.0] * 6), (905, [1.0, 2.0])]
+    df = spark.createDataFrame([*rows.items(), *bad], "vec_id long, embedding array<float>").withColumn("v", F.lit("x")).withColumn("rank", F.lit("x"))
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, leaf_rows=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == brute_nearest(rows, {i: v for i, v in rows.items() if i % 20 == 0}, 20)
+
+
+def test_forest_recall_and_few_rows(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((30, 24))
+    x = centres[rng.integers(0, 30, 3000)] + 0.3 * rng.standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), k=20, trees=6, leaf_rows=32, search_rows=800, search_share=0.2, sample_rows=1000).collect():
+        got[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-12)
+    want = brute_nearest(dict(enumerate(x.tolist())), {i: x[i].tolist() for i in range(0, 3000, 100)}, 20)
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+    few = df.where("vec_id < 5")
+    assert ann.nearest(few, few.where("vec_id = 0"), k=20).count() == 4
+    assert ann.nearest(few.where("vec_id < 0"), few, k=20).count() == 0 and ann.nearest(few, few.where("vec_id < 0")).count() == 0
+
+
+# 9 token files
+
+
+def test_token_files_round_trip(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(12)
+    rows = EDGES + [(100 + i, prose(rng, rng.randrange(0, 300))) for i in range(200)]
+    manifest = token_files.write_token_files(documents(spark, rows), path, 1, False, per_file=30)
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    encoder = tokens.TextEncoder(path, False)
+    at = 0
+    want = sorted(((i, encoder.whole(t or "") + b"\1\0\0\0") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((i is not None, i or 0, b) for i, b in want)
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) // 4
+        at += r.n_tokens
+    some = token_files.read_token_files(manifest, doc_ids=[4, 150]).collect()
+    assert sorted(r.doc_id for r in some) == [4, 150] and all(bytes(r.ids) in [b for i, b in want if i == r.doc_id] for r in some)
+    assert {(r.doc_id, r.start) for r in some} <= {(r.doc_id, r.start) for r in got}
+
+
+class Kept(io.BytesIO):
+    def close(self):
+        pass
+
+
+def test_reader_decompresses_only_what_is_asked_for():
+    out = Kept()
+    writer = token_files.FrameWriter(out, frame_bytes=400)
+    for i in range(100):
+        writer.add(i, bytes([i]) * 40)
+    writer.close()
+    reader = token_files.FrameReader(io.BytesIO(out.getvalue()))
+    assert list(reader.read([3, 4, 77])) == [(3, b"\3" * 40), (4, b"\4" * 40), (77, bytes([77]) * 40)] and reader.frames_read == 2
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read()
+    assert plain == b"".join(bytes([i]) * 40 for i in range(100))
+    for at in (10, len(out.getvalue()) - 20):
+        damaged = bytearray(out.getvalue())
+        damaged[at] ^= 1
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(token_files.FrameReader(io.BytesIO(bytes(damaged))).read())
+
+
+def test_token_files_empty(spark):
+    manifest = token_files.write_token_files(documents(spark, []), public_tokenizers.path("word_bpe_49k.json"), 1, False)
+    assert token_files.read_token_files(manifest).count() == 0
+
+
+# 10 URL filters
+
+
+def test_url_filter_matches_brute_force(spark):
+    rng = random.Random(13)
+    hosts = ["a.example", "www.a.example", "b.example", "x.y.b.example", "c.example"]
+    captures = [(i, f"https://{rng.choice(hosts)}/{rng.choice('pq')}/{rng.choice('rs')}?z=1", rng.randrange(100)) for i in range(300)]
+    captures += [(900, None, 5), (901, "not a url", 5), (902, "http://u:p@WWW.A.Example.:80/p", 50), (903, "https://a.example/p", None), (0, captures[0][1], captures[0][2])]
+    patterns = [("host", h) for h in hosts] + [("domain", h) for h in hosts] + [("prefix", f"{h}/p") for h in hosts] + [("prefix", "c.example/q/r"), ("domain", None)]
+    changes = [(rng.choice("lm"), *rng.choice(patterns), rng.choice(["block", "allow", "remove"]), rng.randrange(100)) for _ in range(80)]
+    changes = list({(c[0], c[1], c[2], c[4]): c for c in changes}.values())
+    cap = spark.createDataFrame(captures, "page_id long, url string, fetched_at int").withColumn("best", F.lit("x"))
+    got = url_filter.judge(cap, spark.createDataFrame(changes, "list string, kind string, pattern string, action string, at int"))
+    assert got.count() == len(captures)
+    history = defaultdict(list)
+    for name, kind, pattern, action, at in changes:
+        if pattern:
+            history[name, kind, pattern].append((at, action))
+
+    def active(key, at):
+        past = [x for x in sorted(history[key]) if x[0] <= at]
+        return past[-1][1] if past and past[-1][1] != "remove" else None
+
+    for r in got.collect():
+        hits = []
+        if r.url and "//" in r.url and r.fetched_at is not None:
+            host = r.url.split("//")[1].split("/")[0].split("@")[-1].split(":")[0].lower().rstrip(".")
+            path = "/".join(p for p in r.url.split("//")[1].split("?")[0].split("/")[1:] if p)
+            for (name, kind, pattern), _ in list(history.items()):
+                fits = host == pattern if kind == "host" else host == pattern or host.endswith("." + pattern) if kind == "domain" else f"{host}/{path}/".startswith(pattern + "/")
+                if fits and (action := active((name, kind, pattern), r.fetched_at)):
+                    hits.append((3 if kind == "prefix" else 2 if kind == "host" else 1, len(pattern), action == "allow", name, kind, pattern, action))
+        best = max(hits, default=None)
+        assert r.decision == (best[-1] if best else "none") and r.n_active == len(hits)
+    none = spark.createDataFrame([], "list string, kind string, pattern string, action string, at int")
+    assert url_filter.select(cap, none).count() == len(captures)
