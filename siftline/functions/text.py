@@ -116,7 +116,7 @@ def channel_key(candidate: Column, kind: Column, email: Column, url: Column) ->
 
 def evidence_window(text: Column, target: Column, most: int = 700) -> Column:
     """Up to `most` characters around the first place where target stands; the text's beginning if it doesn't."""
-    at = F.charindex(target, text)
+    at = F.call_function("locate", target, text)
     return F.substring(text, F.greatest(F.lit(1), at - most // 2), F.lit(most))
 
 
