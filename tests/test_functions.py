@@ -151,3 +151,23 @@ def test_page_facts(spark):
     assert p.emails == ["hi@a.org", "info@a.org", "shop@a.org"] and p.forms[0].action == "/send" and "message" in p.forms[0].fields and "var t" not in p.text
     empty = value(spark, html.page_facts(L(None).cast("string")))
     assert empty.text == "" and empty.title is None and empty.emails == []
+
+
+def test_evidence(spark):
+    from siftline.functions import evidence as e
+
+    assert value(spark, e.evidence_list(L('["b","a"]'))) == ["b", "a"] and value(spark, e.evidence_list(L("x; ;y"))) == ["x", "y"]
+    assert value(spark, e.evidence_list(L(None).cast("string"))) == [] and value(spark, e.evidence_list(L('{"k":"v"}'))) == ["v"]
+    assert value(spark, e.json_list(F.array(L("b"), L(""), L("a"), L("b")))) == '["a","b"]'
+    assert value(spark, e.first_url(L("see https://a.org/x now"))) == "https://a.org/x"
+    p = value(spark, e.paragraphs(L("one\n\ntwo"), 3))
+    assert (p.body_paragraph_01, p.body_paragraph_02, p.body_paragraph_03) == ("one", "two", "")
+    assert value(spark, e.display_name(L("Demo: Spring  round"))) == "Spring round"
+    assert value(spark, e.site_names_company(L("Fern Bakery"), L("our BAKERY"))) and not value(spark, e.site_names_company(L("Fern Bakery"), L("x"))) and value(spark, e.site_names_company(L("The Inc"), L("x")))
+    for mail, ok in (("ann@a.org", True), ("ann.lee@a.org", True), ("alee@a.org", True), ("annlee+x@a.org", True), ("bob@a.org", False)):
+        assert value(spark, e.mailbox_agrees(L("Ann Lee"), L(mail))) is ok
+    raw = '{"pages":[{"url":"https://a.org/contact","fetch_status":"SUCCESS","channels":[{"email":"Hi@a.org","type":"GENERAL_BUSINESS_EMAIL"},{"email":"x@b.org","type":"GENERAL_BUSINESS_EMAIL"},{"email":"p@a.org","name":"P","type":"NAMED_PERSON_EMAIL"}]},{"url":"https://b.org/contact","fetch_status":"SUCCESS"}]}'
+    df = spark.createDataFrame([("c", "a.org", raw)], "candidate_id string, canonical_domain string, evidence_json string")
+    assert sorted((r.channel_type, r.email) for r in e.channel_rows(df).collect()) == [("CONTACT_PAGE", ""), ("GENERAL_BUSINESS_EMAIL", "hi@a.org")]
+    pages = df.select(e.without_personal(F.from_json("evidence_json", f"pages {e.PAGES}")["pages"]).alias("v")).first().v
+    assert [c.email for c in pages[0].channels] == ["Hi@a.org", "x@b.org"] and "name" not in pages[0].channels[0].__fields__

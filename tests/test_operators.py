@@ -105,3 +105,27 @@ def test_components_of_reports(spark):
     for r in reports.distribution(df, "g", "c").collect():
         rows[r.g][r.c] = (r.n, r.total, r.basis_points)
     assert rows == {"a": {"x": (1, 2, 5000), "y": (1, 2, 5000)}, "b": {"x": (1, 1, 10000)}, "All": {"x": (2, 3, 6666), "y": (1, 3, 3333)}}
+
+
+def test_campaigns(spark):
+    from siftline.operators import campaigns
+
+    page = '{"pages":[{"fetch_status":"SUCCESS","http_status":200,"visible_text_length":90}]}'
+    candidates = spark.createDataFrame([("a", "VERIFIED", "ELIGIBLE", page), ("b", "VERIFIED", "ELIGIBLE", "{}"), ("c", "VERIFIED", "ELIGIBLE", page)], "candidate_id string, verification_status string, geo_eligibility_status string, evidence_json string")
+    channels = spark.createDataFrame([(i, "GENERAL_BUSINESS_EMAIL", f"hi@{i}.org", "", "PENDING") for i in "abc"] + [("a", "CONTACT_FORM", None, "text only", "PENDING")], "candidate_id string, channel_type string, email string, evidence string, review_status string")
+    overlay = spark.createDataFrame([("c", "LIKELY_CHAIN_OR_FRANCHISE")], "candidate_id string, chain_location_concern string")
+    assert [(r.candidate_id, r.channel_type) for r in campaigns.contactable(channels, candidates, overlay, []).collect()] == [("a", "GENERAL_BUSINESS_EMAIL")]
+    rows = spark.createDataFrame([(1, "x", 5), (2, "y", 9), (3, "y", 1), (1, "y", 7)], "k long, kind string, score long")
+    got = campaigns.mixed_sample(rows, [F.col("kind") == "x", F.col("kind") == "y"], "k", "score", 2).collect()
+    assert [(r.k, r.leg) for r in got] == [(1, 0), (2, 1)]
+    assert campaigns.recheck_sample(rows, {"low": F.col("score") < 6, "high": F.col("score") >= 6}, "k", 1).count() == 2
+    old = spark.createDataFrame([(1, "2020", "a"), (3, "2021", "c")], "id long, created string, v string")
+    new = spark.createDataFrame([(1, "2024", "A"), (2, "2024", "B")], "id long, created string, v string")
+    assert sorted(map(tuple, campaigns.registry(new, old, "id", ["created"]).collect())) == [(1, "2020", "A"), (2, "2024", "B"), (3, "2021", "c")]
+    inv = spark.createDataFrame([("t", 10, True), ("u", 10, False)], "token_hash string, expires_at long, delivered boolean")
+    subs = spark.createDataFrame([("t", "r1", 1), ("t", "r1", 2), ("t", "r2", 3), ("t", "r3", 11), ("u", "r", 1), ("z", "r", 1)], "token_hash string, response_hash string, submitted_at long")
+    assert sorted((r.token_hash, r.submitted_at, r.outcome) for r in campaigns.accepted_submissions(subs, inv).collect()) == [("t", 1, "ACCEPTED"), ("t", 2, "DUPLICATE"), ("t", 3, "NEEDS_REVIEW"), ("t", 11, "EXPIRED"), ("u", 1, "NOT_DELIVERED"), ("z", 1, "UNKNOWN_REFERENCE")]
+    drafts = spark.createDataFrame([("A@x.org",), ("b@x.org",), ("c@x.org",)], "recipient string")
+    sup = spark.createDataFrame([("a@X.org",)], "email string")
+    replies = spark.createDataFrame([("b@x.org", "UNSUBSCRIBE"), ("c@x.org", "QUESTION")], "email string, reply_class string")
+    assert [r.recipient for r in campaigns.suppressed(drafts, sup, replies).collect()] == ["c@x.org"]
