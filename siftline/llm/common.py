@@ -52,6 +52,13 @@ def lists(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[list[l
             yield [c.to_pylist() for c in batch.slice(at, step).columns]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in shorter runs of rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _bytes = np.arange(256)
 #: Byte to byte; 0 parts words.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces, stored
 from .hashing import spans
 from .quality import slices
 
@@ -97,7 +97,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [], []
-        for _, some in slices(texts, 1 << 20):
+        for _, some in slices(texts, 1 << 18):
             z, has = self.logits(some)
             z = z / self.temperature
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -143,8 +143,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, mark = np.zeros(SIZE + 1, np.int64), 0, np.zeros(SIZE, np.uint8)
-        for batch in batches:
-            for _, some in slices(batch.column(0).to_pylist(), 1 << 20):
+        for batch in pieces(batches):
+            for _, some in slices(batch.column(0).to_pylist(), 1 << 18):
                 grams, offsets, _ = ngrams(some)
                 n += len(some)
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -176,9 +176,9 @@ def fit(docs: DataFrame, per_lang: int = 2500, shards: int = 8, epochs: int = 3,
     code = {x: i for i, x in enumerate(langs)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, ranks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for first, some in slices(batch.column(0).to_pylist(), 1 << 20):
+            for first, some in slices(batch.column(0).to_pylist(), 1 << 18):
                 grams, offsets, _ = ngrams(some)
                 at, x = [], []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, per_lang: int = 2500, shards: int = 8, epochs: int = 3,
     weights[means["at"], means["label"]] = means["w"]
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             labels, ats, xs = (c.to_pylist() for c in batch.columns)
             z = [(np.array(x) @ weights[np.array(at, np.int64)]).tolist() if at else [0.0] * classes for at, x in zip(ats, xs, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(z, pa.list_(pa.float64()))], ["label", "z"])
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out (if there), lang_pred, score for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(2).to_pylist()
             langs, scores = model.predict(texts) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])

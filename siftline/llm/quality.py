@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces, stored
 from .hashing import BY_SPACE, chained, mix, spans, words_of
 
 BUCKET_BITS = 15
@@ -76,7 +76,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about `most` characters: the place of the first, and the texts."""
     at, held, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, smoothing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             good = batch.column(1).to_numpy(zero_copy_only=False)
             for at, some in slices(batch.column(0).to_pylist()):
                 grams, offsets = ngrams(some)
@@ -170,7 +170,7 @@ def scores(docs: DataFrame, model: Model, seed: int = 11) -> DataFrame:
     """doc_id, log_weight, key (sortable long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0).to_pylist()
             w = model.log_weights(batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(sortable(w + gumbel(ids, seed)))], ["doc_id", "log_weight", "key"])
@@ -221,7 +221,7 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 11, **how) -> DataFra
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             w = model.log_weights(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             keep = np.isfinite(w) & (threshold is not None)
             if keep.any():
