@@ -15,7 +15,11 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that a Python worker keeps at most, in two generations.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
+
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level vocabularies write each byte: printable ones as themselves, the others in order from U+0100.
+AS_TEXT = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
 
 
 class TextEncoder:
@@ -62,9 +66,9 @@ class TextEncoder:
                 young[w] = got
             elif (s := self.string(w)) is None:
                 return False
-            elif len(w) > 2 and w[-1] in ".," and "a" <= w[-2] <= "z":  # a mark after a letter is a piece of its own
+            elif len(w) > 2 and w[-1] in ".," and self.one_piece(w[-2]):  # a mark after a letter is a piece of its own
                 ends.append(w)
-            elif w.isascii() and w.isalpha():  # one piece, so the model alone will do
+            elif self.one_piece(w):
                 young[w] = self.piece(w)
             else:
                 new.append((w, s))
@@ -73,7 +77,7 @@ class TextEncoder:
             if body not in young:
                 if (got := old.get(body)) is not None:
                     young[body] = got
-                elif body.isascii() and body.isalpha():
+                elif self.one_piece(body):
                     young[body] = self.piece(body)
                 else:
                     new.append((body, self.string(body)))
@@ -84,9 +88,21 @@ class TextEncoder:
             young[w] = young[w[:-1]] + self.mark(w[-1])
         return True
 
+    @staticmethod
+    def one_piece(word: str) -> bool:
+        """Letters alone, none beyond Latin-1 and its neighbours: the splitting rules leave it whole, and the model alone will do."""
+        return word.isalpha() and (word.isascii() or max(word) < "\u0130")
+
     def piece(self, word: str) -> bytes:
-        """The ids of an ASCII word after a space."""
-        return np.array([t.id for t in self.model.tokenize("\u0120" + word if self.spaced else word.lower())], "<u4").tobytes()
+        """The ids of such a word after a space."""
+        if not self.spaced:
+            low = word.lower()
+            known = self.young.get(low) or self.old.get(low)
+            if known:
+                return known
+            word = low
+        written = word if word.isascii() else "".join([AS_TEXT[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize("\u0120" + written if self.spaced else written)], "<u4").tobytes()
 
     def mark(self, c: str) -> bytes:
         key = "\0" + c
