@@ -304,6 +304,24 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def hub(places, versions):
+    """A base text and versions with 26 more words at one of some places: versions of one place are alike, and all are like the base."""
+    rng = random.Random(12)
+    base = prose(rng, 200, 5000).split()
+    rows = [(1, " ".join(base))]
+    for i in range(versions):
+        at = 10 + 20 * (i % places)
+        rows.append((2 + i, " ".join(base[:at] + [f"x{i}y{k}" for k in range(26)] + base[at:])))
+    texts = {i: t.split() for i, t in rows}
+    assert edits(texts[1], texts[2]) == 26 and edits(texts[2], texts[3]) > 45 >= edits(texts[2], texts[2 + places])
+    return rows
+
+
+def test_near_duplicates_keep_members_near_a_centre_as_candidates(spark):
+    got = near_dup.near_duplicates(documents(spark, hub(3, 90))).collect()
+    assert {r.class_id for r in got} == {1}
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
 
