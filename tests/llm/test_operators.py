@@ -322,6 +322,39 @@ def test_near_duplicates_keep_members_near_a_centre_as_candidates(spark):
     assert {r.class_id for r in got} == {1}
 
 
+def test_near_duplicates_of_a_hub_whose_versions_are_not_alike(spark):
+    got = near_dup.near_duplicates(documents(spark, hub(10, 400))).collect()
+    assert {r.class_id for r in got} == {1}
+
+
+def test_near_duplicates_among_documents_of_frequent_passages(spark):
+    """Documents of 10 of 20 passages in one order, which aren't alike but for a few planted copies with changed words."""
+    rng = random.Random(13)
+    passages = [prose(rng, 20, 5000) for _ in range(20)]
+    rows = [(i, " ".join(passages[p] for p in sorted(rng.sample(range(20), 10)))) for i in range(150)]
+    for i in range(10):
+        w = rows[i][1].split()
+        at = rng.randrange(170)
+        w[at : at + 24] = [f"z{i}y{k}" for k in range(24)]
+        rows.append((1000 + i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    texts = [(i, t.split()) for i, t in rows]
+    parent = {i: i for i, _ in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(texts):
+        for j, b in texts[:n]:
+            x, y = (set(zip(*(w[s:] for s in range(5)), strict=False)) for w in (a, b))
+            if len(x & y) >= 0.5 * len(x | y) and find(i) != find(j) and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in parent}
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
 
