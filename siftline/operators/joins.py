@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,42 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.round(F.greatest(sequence_ratio(plain_key(a), plain_key(b)), jaccard(a, b)), 4)
 
 
+def name_tokens(names: DataFrame) -> DataFrame:
+    """block, kind, token, x, size: the words of each key x and its characters, labelled with their occurrence; size counts those of the kind."""
+    words = F.array_distinct(F.split("x", " "))
+    letters = F.expr("transform(sequence(1, length(x)), i -> concat(substr(x, i, 1), length(substr(x, 1, i)) - length(replace(substr(x, 1, i), substr(x, i, 1), ''))))")
+    kinds = F.array(F.struct(F.lit("w").alias("kind"), words.alias("t")), F.struct(F.lit("c").alias("kind"), letters.alias("t")))
+    each = names.where("x <> ''").select("block", "x", F.explode(kinds).alias("k"))
+    return each.select("block", "x", "k.kind", F.size("k.t").alias("size"), F.explode("k.t").alias("token"))
+
+
+def alike_keys(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """block, x, y: all pairs of one block's keys (block, x) that can reach the similarity, by equi-joins on rare words and characters.
+
+    A sequence ratio of r needs r / 2 of both lengths as common characters, a Jaccard similarity of r needs r / (1 + r) of
+    both sizes as common words, so each key is looked up by so many of its rarest that no such pair is lost."""
+    least = least - 0.00005 - 1e-9  # similarities are rounded to four places
+    a, b = name_tokens(left), name_tokens(right)
+    often = a.unionByName(b).groupBy("block", "kind", "token").agg(F.count("*").alias("n"))
+    part = F.when(F.col("kind") == "w", least / (1 + least)).otherwise(least / 2)
+    place = F.row_number().over(Window.partitionBy("block", "x", "kind").orderBy("n", "token"))
+
+    def rare(tokens: DataFrame) -> DataFrame:
+        fewest = F.ceil(F.col("size") * part / (1 - part))  # common ones with the smallest key that can be alike
+        return tokens.join(often, ["block", "kind", "token"]).withColumn("i", place).where(F.col("i") <= F.col("size") - fewest + 1).drop("n")
+
+    x, y = rare(a), rare(b).withColumnsRenamed({"x": "y", "size": "y_size", "i": "y_i"})
+    room = F.least(F.col("size") - F.col("i"), F.col("y_size") - F.col("y_i")) + 1
+    found = x.join(y, ["block", "kind", "token"]).where(room >= part * (F.col("size") + F.col("y_size"))).select("block", "x", "y")
+    empty = left.where("x = ''").join(right.where("x = ''").select("block", F.col("x").alias("y")), "block").select("block", "x", "y")
+    return found.unionByName(empty).distinct()
+
+
 def similar_names(left: DataFrame, right: DataFrame, block: str, name: str, other: str, least: float = 0.72) -> DataFrame:
-    """Pairs of one block whose names are alike; block keeps candidates apart (a domain, a place), so names aren't all compared with all."""
-    return left.join(right, block).withColumn("similarity", name_similarity(F.col(name), F.col(other))).where(F.col("similarity") >= least)
+    """Pairs of one block whose names are alike; block keeps candidates apart (a domain, a place). Each pair of distinct
+    keys is compared once, and only if it can be alike."""
+    left, right = left.withColumn("_x", plain_key(F.col(name))), right.withColumn("_y", plain_key(F.col(other)))
+    keys = alike_keys(left.select(F.col(block).alias("block"), F.col("_x").alias("x")).distinct(), right.select(F.col(block).alias("block"), F.col("_y").alias("x")).distinct(), least)
+    alike = keys.withColumn("similarity", name_similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
+    alike = alike.select(F.col("block").alias(block), F.col("x").alias("_x"), F.col("y").alias("_y"), "similarity")
+    return left.join(alike, [block, "_x"]).join(right, [block, "_y"]).drop("_x", "_y")

@@ -232,7 +232,7 @@ def token_jaccard(t: Tables) -> DataFrame:
 
 @query("JOIN-22, FN-61")
 def fuzzy_name(t: Tables) -> DataFrame:
-    left = t.part.where("p_size <= 5").select(F.concat_ws("|", "p_brand", "p_size").alias("block"), F.col("p_partkey").alias("a"), F.col("p_name").alias("name"))
+    left = t.part.select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("a"), F.col("p_name").alias("name"))
     right = left.select("block", F.col("a").alias("b"), F.col("name").alias("other"))
     return joins.similar_names(left, right, "block", "name", "other").where("a < b").select("a", "b", "similarity")
 

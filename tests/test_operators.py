@@ -91,6 +91,39 @@ def test_name_similarity(spark):
         assert abs(r.s - max(difflib.SequenceMatcher(None, r.a.lower(), r.b.lower()).ratio(), len(x & y) / len(x | y))) < 1e-4
 
 
+def ratio(a, b):
+    import difflib
+    import re
+
+    a, b = (re.sub("[^a-z0-9]+", " ", (n or "").lower()).strip() for n in (a, b))
+    x, y = set(a.split(" ")), set(b.split(" "))
+    return round(max(difflib.SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y)), 4)
+
+
+def test_similar_names_match_brute_force(spark):
+    rng = random.Random(14)
+    names = ["", None, "a", "Ab", "blue fern", "fern, blue", "xa blue fern inn of the old quay", "old quay of the blue fern inn"]
+    names += ["".join(rng.choice("aab c") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    rows = [(i % 2, i, n) for i, n in enumerate(names * 2)]
+    left = spark.createDataFrame(rows, "block long, a long, name string")
+    got = joins.similar_names(left, left.select("block", F.col("a").alias("b"), F.col("name").alias("other")), "block", "name", "other").where("a < b")
+    want = {(a, b): ratio(x, y) for p, a, x in rows for q, b, y in rows if p == q and a < b and ratio(x, y) >= 0.72}
+    assert got.columns == ["block", "a", "name", "similarity", "b", "other"]
+    assert {(r.a, r.b): r.similarity for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_fuzzy_name_reads_all_sizes(spark):
+    from types import SimpleNamespace
+
+    from siftline.plans import catalog, entity_queries
+
+    assert "fuzzy_name" in catalog.QUERIES
+    rows = [(1, "Brand#1", 3, "blue bolt"), (2, "Brand#1", 30, "blue bolt"), (3, "Brand#1", 31, "blue bolts"), (4, "Brand#2", 30, "blue bolt"), (5, "Brand#1", 40, "hot gear")]
+    part = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_name string")
+    got = entity_queries.fuzzy_name(SimpleNamespace(part=part)).collect()
+    assert {(r.a, r.b) for r in got} == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_overlay_and_preferred(spark):
     base = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
     over = spark.createDataFrame([(1, "z")], "id long, v string")
