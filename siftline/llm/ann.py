@@ -1,29 +1,35 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees are fitted on a bounded sample (`sample_rows`, the lowest hashes of vec_id): a node splits by
-the hyperplane between two of its sample's vectors, drawn at random. All vectors are then indexed: each goes to a
-leaf of every tree. Leaves are to hold about `leaf_rows` of all vectors, so trees grow by a level
-as the corpus doubles; below the sample's resolution nodes split by random directions through
-their centre. Inner products are searched as angles, with the usual extra coordinate that gives
-all vectors one length.
+the hyperplane between two of its sample's vectors, drawn at random. All vectors are then indexed:
+each goes to a leaf of every tree. Leaves are to hold about `leaf_rows` of all vectors, so trees
+grow by a level as the corpus doubles; below the sample's resolution nodes split by random
+directions through their centre. Inner products are searched as angles, with the usual extra
+coordinate that gives all vectors one length.
 
 A query walks all trees through one priority queue, ordered by the squared margins crossed on the
-way, and takes leaves until it has `search_share` times the corpus, `search_rows` at least, in
-expected candidates (the same vector counts in each tree). Queries and vectors then meet by
-(tree, leaf): a leaf's vectors are compared with the queries that chose it, in blocks, and give
-each its nearest few. These are joined and ranked anew by exact inner products.
-
-How much must be searched for a recall of 0.9 is a matter of the data. Vectors that are spread
-evenly over 64 dimensions, as most of the driver's are, need 40 to 60 percent of the corpus
-compared; SEARCH_SHARE is set for them. On clustered vectors a few percent will do.
+way. How many leaves it takes is measured, at every corpus size in the same way: a few of the
+sample's vectors are searched in the sample, whose true neighbours are known, and the share of
+leaves in which `recall` of these are found is the share that all queries take. It is a matter of
+the data: clustered vectors need a few percent; vectors spread evenly over 64 dimensions, as the
+driver's are, need leaves that hold half of the corpus or more, counted in each tree, and then the
+work grows with queries times rows, as it must for any method that compares vectors.
+
+Leaves are numbered in the order of the tree, and neighbouring leaves form branches of about
+`branch_rows` vectors. Queries are dealt into blocks of about `block_rows`. A task compares one
+block with one branch, in slices, and only where query and leaf met; it holds no more than these
+two, however many queries like a leaf. A query's vector moves once for each branch it visits. The
+best of each task are joined and ranked anew by exact inner products of the original vectors.
+Queries that found fewer than k (in nearly empty leaves) search once more, all leaves of a tree.
 
 Equal vectors are one entry with its k + 1 least ids, so a vector that a third of all rows share
 neither floods a leaf nor hides other neighbours; equal queries are searched once.
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold a null or
 non-finite component take no part; ties go to the smaller vec_id; a query with fewer candidates
-than k gets them all where the search reaches them, and all of them when the corpus has no more
-than `search_rows` vectors; rows that repeat a vec_id count once; no queries or rows give an empty result.
+than k gets them all; of rows that repeat a vec_id with different vectors the one with the
+smallest components, in order, counts, as candidate and as query; no queries or rows give an empty
+result; other columns are ignored. Texts don't occur; a vector's length is bounded by its row.
 """
 
 from __future__ import annotations
@@ -38,9 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import blocks_for, stored
 
-TREES, LEAF_ROWS, SEARCH_ROWS, SEARCH_SHARE, SAMPLE_ROWS = 4, 512, 16_384, 1.0, 32_768
+TREES, LEAF_ROWS, SAMPLE_ROWS, RECALL, MEASURED = 4, 32, 32_768, 0.95, 100
+#: Vectors of a branch and queries of a block, as a task compares them.
+BRANCH_ROWS, BLOCK_ROWS = 4096, 4096
 
 
 @dataclass
@@ -74,7 +82,6 @@ def grow(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> Tree:
         if where:
             children[where[0]][where[1]] = child
 
-    finished = []
     while heap and n_leaves < leaves:
         share, _, own, where = heapq.heappop(heap)
         x = sample[own]
@@ -96,9 +103,15 @@ def grow(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> Tree:
             tie += 1
             heapq.heappush(heap, (share * (len(part) / len(own) if len(own) > 1 else 0.5), tie, part, (me, side)))
         n_leaves += 1
-    finished += heap
-    for leaf, (_, _, _, where) in enumerate(finished):
-        attach(where, -1 - leaf)
+    for _, _, _, where in heap:
+        attach(where, -1)
+    leaf, todo = 0, [0] if cuts else []
+    while todo:  # leaves are numbered from left to right, so that neighbours have one parent
+        node = todo.pop()
+        if isinstance(node, tuple):
+            children[node[0]][node[1]], leaf = -1 - leaf, leaf + 1
+        else:
+            todo += [child if child >= 0 else (node, side) for side, child in ((1, children[node][1]), (0, children[node][0]))]
     return Tree(np.array(normals).reshape(len(cuts), sample.shape[1]), np.array(cuts), np.array(children, np.int64).reshape(len(cuts), 2))
 
 
@@ -120,93 +133,169 @@ def search(forest: list[Tree], q: np.ndarray, leaves: int) -> list[tuple[int, in
     return out
 
 
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with one more coordinate, which gives them all the squared length `longest`."""
+    return np.column_stack([x, np.sqrt(np.maximum(0, longest - np.einsum("ij,ij->i", x, x)))])
+
+
+def measured_share(sample: np.ndarray, longest: float, k: int, trees: int, leaf_rows: int, recall: float, rng: np.random.Generator, queries: int = MEASURED) -> float:
+    """Leaves to visit, as a share of one tree's leaves, for the recall of the k nearest within the sample."""
+    n_leaves = -(-len(sample) // leaf_rows)
+    if n_leaves < 2:
+        return float(trees)
+    points = lifted(sample, longest)
+    forest = [grow(points, n_leaves, rng) for _ in range(trees)]
+    leaf_of = np.stack([tree.leaves(points) for tree in forest])
+    reached = []
+    for i in rng.permutation(len(sample))[:queries].tolist():
+        scores = sample @ sample[i]
+        scores[i] = -np.inf
+        best = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
+        when = np.full((trees, n_leaves), trees * n_leaves)
+        for at, (t, leaf) in enumerate(search(forest, np.append(sample[i], 0.0), trees * n_leaves)):
+            when[t, leaf] = at + 1
+        reached.append(np.min([when[t][leaf_of[t][best]] for t in range(trees)], axis=0))
+    return float(np.quantile(np.concatenate(reached), recall)) / n_leaves
+
+
 def clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, v of the vectors that take part."""
+    """vec_id, v of the vectors that take part; one for each vec_id."""
     v = F.col("embedding")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    return rows.where(fine).where(F.exists("v", lambda x: x != 0))
+    return rows.where(fine).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def distinct_vectors(rows: DataFrame, keep: int, salts: int = 32) -> DataFrame:
-    """u (hash), v, ids (the `keep` least vec_ids) of each distinct vector; large groups are thinned in two steps, by order alone."""
+    """u (its least vec_id), v, ids (the `keep` least vec_ids) of each distinct vector; large groups are thinned in two steps, by order alone."""
     keyed = rows.withColumn("u", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
     first = Window.partitionBy("u", "v", "salt").orderBy("vec_id")
     thin = keyed.withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep).drop("k", "salt")
-    return thin.groupBy("u", "v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"))
+    return thin.groupBy("u", "v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids")).select(F.col("ids")[0].alias("u"), "v", "ids")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, search_share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries its k nearest rows of vectors but itself."""
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.simpleString()
-    unique = stored(distinct_vectors(clean(vectors), k + 1), "vectors")
-    stats = unique.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)).alias("top")).orderBy(F.desc("n"), "dim").first()
-    if stats is None:
-        return spark.createDataFrame([], schema)
-    dim, n, longest = stats.dim, stats.n, stats.top * (1 + 1e-12)
-    unique = unique.where(F.size("v") == dim)
-
-    sample = unique.orderBy(F.xxhash64(F.element_at("ids", 1), F.lit(seed))).limit(sample_rows).select("v").toArrow()
-    sample = np.array(sample["v"].to_pylist(), np.float32).reshape(-1, dim)
-    rng = np.random.default_rng(seed)
-
-    def lifted(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x, np.sqrt(np.maximum(0, longest - np.einsum("ij,ij->i", x, x)))])
-
-    n_leaves = max(1, -(-n // leaf_rows))
-    forest = [grow(lifted(sample.astype(np.float64)), n_leaves, rng) for _ in range(trees)]
-    used = forest if n > search_rows else forest[:1]  # one tree holds them all
-    visit = n_leaves if n <= search_rows else min(trees * n_leaves, max(-(-search_rows // leaf_rows), int(search_share * n_leaves)))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = lifted(batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim))
-            for t, tree in enumerate(used):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaves(x)), *batch.columns], ["tree", "leaf", "u", "v"])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-            chosen = [search(used, np.append(q, 0.0), visit) for q in x]
-            row = np.repeat(np.arange(len(x)), [len(c) for c in chosen])
-            flat = np.array([p for c in chosen for p in c], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1]), *(c.take(pa.array(row)) for c in batch.columns)], ["tree", "leaf", "qu", "q"])
-
-    wanted = clean(queries).where(F.size("v") == dim).dropDuplicates(["vec_id"]).withColumn("qu", F.xxhash64("v"))
-    wanted = stored(wanted, "queries")
-    asked = wanted.groupBy("qu").agg(F.first("v").alias("q"))
-    leaves = unique.select("u", "v").mapInArrow(index, f"tree int, leaf long, u long, v {kind}")
-    visits = asked.select("qu", "q").mapInArrow(choose, f"tree int, leaf long, qu long, q {kind}")
+@dataclass
+class Forest:
+    trees: list[Tree]
+    n_leaves: int
+    longest: float
+    dim: int
+    kind: str
+    leaves_per_branch: int
+
+    def index(self, unique: DataFrame, trees: int) -> DataFrame:
+        """tree, branch, leaf, u, v: each vector once for each of the first `trees` trees."""
+        forest, longest, dim, per = self.trees[:trees], self.longest, self.dim, self.leaves_per_branch
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = lifted(batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim), longest)
+                    for t, tree in enumerate(forest):
+                        leaf = tree.leaves(x)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaf // per), pa.array(leaf), *batch.columns], ["tree", "branch", "leaf", "u", "v"])
+
+        return unique.select("u", "v").mapInArrow(run, f"tree int, branch long, leaf long, u long, v {self.kind}")
+
+    def visits(self, asked: DataFrame, trees: int, leaves: int) -> DataFrame:
+        """tree, branch, qu, q, leaves: each query once for each branch that it visits, with its leaves there."""
+        forest, dim, per = self.trees[:trees], self.dim, self.leaves_per_branch
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
+                    rows, tree, branch, taken = [], [], [], []
+                    for i, q in enumerate(batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dim)):
+                        got = np.array(sorted(search(forest, np.append(q, 0.0), leaves)), np.int64)
+                        key = got[:, 0] * (1 << 40) + got[:, 1] // per
+                        for own in np.split(got, np.flatnonzero(np.diff(key)) + 1):
+                            rows.append(i), tree.append(int(own[0, 0])), branch.append(int(own[0, 1]) // per), taken.append(own[:, 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(branch, pa.int64()), *(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(taken, pa.list_(pa.int64()))], ["tree", "branch", "qu", "q", "leaves"])
+
+        return asked.select("qu", "q").mapInArrow(run, f"tree int, branch long, qu long, q {self.kind}, leaves array<long>")
+
+
+def comparer(k: int, leaves_per_branch: int):
+    """Compares the queries of a block with the vectors of a branch, each with those of the leaves that it visits."""
 
     def compare(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         qu, us, scores = [], [], []
         if len(qs) and len(vs):
+            vs = vs.sort_values("u")  # so that ties go to the smaller id
             v, u = np.stack(vs["v"].to_list()).astype(np.float64), vs["u"].to_numpy()
+            place = (vs["leaf"].to_numpy() % leaves_per_branch).astype(np.int64)
             m = min(len(v), k + 1)
-            for a in range(0, len(qs), 256):  # in blocks
-                q = np.stack(qs["q"].iloc[a : a + 256].to_list()).astype(np.float64)
-                best = np.argpartition(-(q @ v.T), m - 1, axis=1)[:, :m]
-                exact = np.einsum("ij,ij->i", q[np.repeat(np.arange(len(q)), m)], v[best.ravel()])
-                qu += qs["qu"].iloc[a : a + 256].to_list()
-                us += list(u[best])
-                scores += list(exact.reshape(-1, m))
+            for a in range(0, len(qs), 256):
+                part = qs.iloc[a : a + 256]
+                q = np.stack(part["q"].to_list()).astype(np.float64)
+                seen = np.zeros((len(q), leaves_per_branch), bool)
+                for i, leaves in enumerate(part["leaves"]):
+                    seen[i, np.asarray(leaves) % leaves_per_branch] = True
+                near = np.where(seen[:, place], q @ v.T, -np.inf)
+                least = np.partition(near, len(v) - m, axis=1)[:, len(v) - m]
+                for i, name in enumerate(part["qu"].tolist()):
+                    best = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
+                    if len(best) > m:
+                        above = near[i][best] > least[i]
+                        best = np.concatenate([best[above], best[~above][: m - np.count_nonzero(above)]])
+                    if len(best):
+                        qu.append(name), us.append(u[best]), scores.append(np.einsum("j,kj->k", q[i], v[best]))
         return pd.DataFrame({"qu": pd.Series(qu, dtype=np.int64), "us": pd.Series(us, dtype=object), "scores": pd.Series(scores, dtype=object)})
 
+    return compare
+
+
+def merger(k: int):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        """The nearest of one query's leaves; a vector found in two trees has one score."""
+        """The nearest of one query's branches; a vector found in two trees has one score."""
         u, score = np.concatenate(rows["us"].to_list()), np.concatenate(rows["scores"].to_list())
         u, first = np.unique(u, return_index=True)
-        order = np.lexsort((u, -score[first]))
-        order = order[score[first][order] >= score[first][order[min(k, len(order) - 1)]]]  # ties of the last one too
+        order = np.lexsort((u, -score[first]))[: k + 1]
         return pd.DataFrame({"qu": rows["qu"].iloc[0], "u": u[order], "score": score[first][order]})
 
-    met = visits.groupBy("tree", "leaf").cogroup(leaves.groupBy("tree", "leaf")).applyInPandas(compare, "qu long, us array<long>, scores array<double>")
-    found = met.groupBy("qu").applyInPandas(merge, "qu long, u long, score double")
+    return merge
+
+
+def searched(forest: Forest, unique: DataFrame, asked: DataFrame, k: int, trees: int, leaves: int, blocks: int) -> DataFrame:
+    """qu, u, score: the nearest entries found, k + 1 where there are as many."""
+    block = F.pmod(F.xxhash64("qu"), F.lit(blocks)).alias("block")
+    left = forest.visits(asked, trees, leaves).select("*", block)
+    right = forest.index(unique, trees).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = left.groupBy("tree", "branch", "block").cogroup(right.groupBy("tree", "branch", "block")).applyInPandas(comparer(k, forest.leaves_per_branch), "qu long, us array<long>, scores array<double>")
+    return met.groupBy("qu").applyInPandas(merger(k), "qu long, u long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, share: float | None = None, seed: int = 3) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of queries its k nearest rows of vectors but itself.
+
+    share: of one tree's leaves to visit, in all trees together; None: as measured for `recall`."""
+    spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.simpleString()
+    unique = stored(distinct_vectors(clean(vectors), k + 1), "vectors")
+    stats = unique.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)).alias("top")).orderBy(F.desc("n"), "dim").first()
+    if stats is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n, longest = stats.dim, stats.n, stats.top * (1 + 1e-12)
+    unique = unique.where(F.size("v") == dim)
+
+    sample = unique.orderBy(F.xxhash64("u", F.lit(seed)), "u").limit(sample_rows).select("v").toArrow()
+    sample = np.array(sample["v"].to_pylist(), np.float64).reshape(-1, dim)
+    rng = np.random.default_rng(seed)
+    n_leaves = max(1, -(-n // leaf_rows))
+    share = measured_share(sample, longest, k, trees, leaf_rows, recall, rng) if share is None else share
+    points = lifted(sample, longest)
+    forest = Forest([grow(points, n_leaves, rng) for _ in range(trees)], n_leaves, longest, dim, kind, max(1, BRANCH_ROWS // leaf_rows))
+
+    wanted = clean(queries).where(F.size("v") == dim).withColumn("qu", F.xxhash64("v"))
+    wanted = stored(wanted, "queries")
+    asked = stored(wanted.groupBy("qu").agg(F.first("v").alias("q")), "asked")
+    blocks = blocks_for(asked.count(), BLOCK_ROWS)
+    found = stored(searched(forest, unique, asked, k, trees, min(trees * n_leaves, max(1, round(share * n_leaves))), blocks), "found")
+    enough = found.join(unique.select("u", F.size("ids").alias("c")), "u").groupBy("qu").agg(F.sum("c").alias("c")).where(F.col("c") > k)
+    few = stored(asked.join(enough, "qu", "left_anti"), "few")
+    n_few = few.count()
+    if n_few and n_leaves > 1:  # a tree's leaves hold every vector once
+        more = searched(forest, unique, few, k, 1, n_leaves, blocks_for(n_few, BLOCK_ROWS))
+        found = found.join(few, "qu", "left_anti").unionByName(stored(more, "found"))
     found = stored(found.join(unique.select("u", "ids"), "u").select("qu", "score", "ids"), "found")
     pairs = wanted.select(F.col("vec_id").alias("query_id"), "qu").join(found, "qu").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)

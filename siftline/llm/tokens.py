@@ -34,26 +34,43 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.spaced, self.half = spaced, cache_words // 2
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}  # of words after a space
         self.old: dict[str, bytes] = {}
+        self.firsts: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # of words that begin a text
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " \n").split(" ")
-        words[0] = "\0" + words[0]
+        first = self.first(words[0])
+        if first is None:
+            return self.whole(text)
+        rest = words[1:]
         try:
-            return b"".join(map(self.young.__getitem__, words))
+            return first + b"".join(map(self.young.__getitem__, rest))
         except KeyError:
-            return b"".join(map(self.young.__getitem__, words)) if self.learn(words) else self.whole(text)
+            return first + b"".join(map(self.young.__getitem__, rest)) if self.learn(rest) else self.whole(text)
+
+    def first(self, word: str) -> bytes | None:
+        """The ids of a text's first word, which no space precedes; None if it can't stand alone."""
+        young, old = self.firsts
+        got = young.get(word)
+        if got is None:
+            if word[:1] == "\n" or self.string(word) is None:
+                return None
+            if len(young) > self.half // 8:
+                self.firsts = young, old = {}, young
+            got = young[word] = old.get(word) or self.whole(word)
+        return got
 
     def string(self, word: str) -> str | None:
-        """What the tokenizer is given for a word, None if it can't stand alone."""
-        bare = word[1:] if word[:1] in ("\n", "\0") else word
+        """What the tokenizer is given for a word after a space, None if it can't stand alone."""
+        bare = word[1:] if word[:1] == "\n" else word
         if not bare or bare != bare.strip() or "\0" in bare:
             return None
-        return bare if word[0] == "\0" else word if word[0] == "\n" or not self.spaced else " " + word
+        return word if word[0] == "\n" or not self.spaced else " " + word
 
     def learn(self, words: list[str]) -> bool:
         """Puts all words into the young generation; False if one of them can't stand alone."""
@@ -105,10 +122,9 @@ class TextEncoder:
         return np.array([t.id for t in self.model.tokenize("\u0120" + written if self.spaced else written)], "<u4").tobytes()
 
     def mark(self, c: str) -> bytes:
-        key = "\0" + c
-        if key not in self.young:
-            self.young[key] = self.whole(c)
-        return self.young[key]
+        if c not in self.marks:
+            self.marks[c] = self.whole(c)
+        return self.marks[c]
 
 
 @lru_cache(maxsize=2)

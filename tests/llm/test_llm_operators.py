@@ -79,6 +79,16 @@ def test_word_ids_are_the_texts_ids(name, spaced, texts):
         assert encoder.encode(t) == encoder.whole(t)
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@given(st.lists(st.one_of(st.text(max_size=30), st.lists(st.sampled_from(["\0foo", "foo", "the", "\0", ".", "a.", "\0,", "\n\0x", "ab,", "É.", "ſ", "don't", "1st"]), max_size=8).map(" ".join)), min_size=1, max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_word_ids_over_all_of_unicode(name, spaced, texts):
+    """What the worker met before makes no difference: one encoder reads all texts, NUL characters included."""
+    encoder = tokens.encoder(public_tokenizers.path(name), spaced)
+    for t in [*texts, " ".join(texts), "\n".join(texts)]:
+        assert encoder.encode(t) == encoder.whole(t)
+
+
 def test_packing_places_every_piece(spark):
     rng = random.Random(2)
     rows = EDGES + [(100 + i, prose(rng, rng.randrange(1, 900))) for i in range(60)]
@@ -395,7 +405,7 @@ def test_nearest_small_is_exact(spark):
     bad = [(900, None), (901, [0.0] * 6), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (903, [float("nan")] + [1.0] * 5), (904, [float("inf")] + [1.0] * 5), (None, [1.0] * 6), (905, [1.0, 2.0])]
     df = spark.createDataFrame([*rows.items(), *bad], "vec_id long, embedding array<float>").withColumn("v", F.lit("x")).withColumn("rank", F.lit("x"))
     got = defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, leaf_rows=16).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, leaf_rows=16, share=4.0).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert dict(got) == brute_nearest(rows, {i: v for i, v in rows.items() if i % 20 == 0}, 20)
 
@@ -406,7 +416,7 @@ def test_forest_recall_and_few_rows(spark):
     x = centres[rng.integers(0, 30, 3000)] + 0.3 * rng.standard_normal((3000, 24))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(set)
-    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), k=20, trees=6, leaf_rows=32, search_rows=800, search_share=0.2, sample_rows=1000).collect():
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), k=20, trees=6, leaf_rows=32, sample_rows=1000).collect():
         got[r.query_id].add(r.vec_id)
         assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-12)
     want = brute_nearest(dict(enumerate(x.tolist())), {i: x[i].tolist() for i in range(0, 3000, 100)}, 20)
@@ -416,6 +426,43 @@ def test_forest_recall_and_few_rows(spark):
     assert ann.nearest(few.where("vec_id < 0"), few, k=20).count() == 0 and ann.nearest(few, few.where("vec_id < 0")).count() == 0
 
 
+def recall_of(spark, x, every, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where(f"vec_id % {every} = 0"), k=20, **how).collect():
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(np.float32).astype(np.float64)
+    found = []
+    for q in range(0, len(x), every):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        found.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert all(len(v) == 20 for v in got.values())
+    return np.mean(found)
+
+
+@pytest.mark.parametrize("n", [600, 4000, 20_000])
+def test_forest_recall_of_evenly_spread_vectors(spark, n):
+    """Unit vectors without any structure, as most of the driver's are, with the registered parameters."""
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    assert recall_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True), max(20, n // 60)) >= 0.9
+
+
+def test_share_of_leaves_follows_the_data():
+    rng = np.random.default_rng(21)
+    even = rng.standard_normal((2000, 32))
+    clustered = rng.standard_normal((40, 32))[rng.integers(0, 40, 2000)] + 0.1 * rng.standard_normal((2000, 32))
+    share = [ann.measured_share(x, float(np.max(np.sum(x * x, axis=1))) * 1.001, 20, 4, 32, 0.95, rng) for x in (even, clustered)]
+    assert share[0] > 0.5 and share[1] < share[0] / 2
+
+
+def test_nearest_of_a_repeated_vec_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.2, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 20 = 0")).orderBy("rank").collect()]
+    assert got == [(20, 1, 2), (20, 2, 1)]  # its smaller vector counts
+
+
 # 9 token files
 
 
