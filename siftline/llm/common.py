@@ -109,13 +109,12 @@ class KeyFilter:
         if n:
             table = keys.mapInArrow(run, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
             whole[table.column(0).to_numpy()] = table.column(1).to_numpy()
-        return cls(np.unpackbits(whole.view(np.uint8)).astype(bool) if size <= 1 << 20 else whole.view(np.uint8))
+        return cls(whole.view(np.uint8))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        packed = self.bits.dtype == np.uint8
         out = np.ones(len(keys), bool)
-        for at in self.places(np.ascontiguousarray(keys, np.int64), len(self.bits) * (8 if packed else 1)):
-            out &= ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) if packed else self.bits[at]
+        for at in self.places(np.ascontiguousarray(keys, np.int64), 8 * len(self.bits)):
+            out &= ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
         return out
 
     def column(self, key: Column) -> Column:

@@ -172,44 +172,92 @@ def test_kth_largest(spark):
 
 
 def brute_lines(rows, least=line_dedup.MIN_WORDS):
+    """rows in order: the text that stays of each."""
+
     def near(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if abs(len(a) - len(b)) > 1 or max(len(a), len(b)) < least:
             return False
         i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
-    seen, out = [], {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        keep = []
+    seen, out, before = [], [], None
+    for key, text in rows:
+        if key == before:  # the same doc_id and text
+            out.append(out[-1])
+            continue
+        before, keep = key, []
         for line in (text or "").split("\n"):
             w = line.split()
-            if not w or not any(w == s or (len(w) >= least and len(s) >= least and near(w, s)) for s in seen):
+            if not w or not any(w == s or near(w, s) for s in seen):
                 keep.append(line)
             if w:
                 seen.append(w)
-        out[doc_id] = None if text is None else "\n".join(keep)
+        out.append(None if text is None else "\n".join(keep))
     return out
 
 
-def test_line_dedup_matches_brute_force(spark):
-    rng = random.Random(5)
+def line_rows(rng, n):
     base = [[f"v{rng.randrange(50)}" for _ in range(rng.randrange(1, 14))] for _ in range(40)]
 
     def line():
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 1, 2])):
-            i = rng.randrange(len(w))
+            i = rng.randrange(len(w)) if w else 0
             w[i : i + rng.choice([0, 1])] = [f"n{rng.randrange(9)}"] * rng.choice([0, 1])
         return " ".join(w)
 
-    rows = [(1, None), (2, ""), (3, "\n\n")] + [(10 + i, "\n".join(line() for _ in range(rng.randrange(1, 8)))) for i in range(80)]
-    want = brute_lines(rows)
-    got = line_dedup.deduplicated(documents(spark, rows))
-    assert {r.doc_id: r.text for r in got.collect()} == want
-    kept = line_dedup.select(documents(spark, rows))
-    assert kept.columns == documents(spark, []).columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, t in rows if not (t or "").strip() or want[i].strip()}
-    assert all(r.n_chars == len(r.text or "") for r in kept.collect())
+    return ["\n".join(line() for _ in range(rng.randrange(1, 8))) for _ in range(n)]
+
+
+def check_lines(spark, docs):
+    ordered = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").orderBy(F.col("doc_id").asc_nulls_first(), "t").collect()
+    want = brute_lines([((r.doc_id, r.t), r.text) for r in ordered])
+    show = lambda i, x: (i is not None, i or 0, x or "", x is None)
+    got = line_dedup.deduplicated(docs).collect()
+    assert sorted(show(r.doc_id, r.text) for r in got) == sorted(show(r.doc_id, w) for r, w in zip(ordered, want, strict=True))
+    for r in got:
+        assert r.n_lines - r.n_gone == (0 if r.text is None else len(r.text.split("\n"))) or not r.text
+    kept = line_dedup.select(docs)
+    assert kept.columns == docs.columns
+    stay = [(r.doc_id, w) for r, w in zip(ordered, want, strict=True) if not (r.text or "").strip() or w.strip()]
+    kept = kept.collect()
+    assert sorted(show(r.doc_id, r.text) for r in kept) == sorted(show(*x) for x in stay)
+    assert all(r.n_chars == len(r.text or "") for r in kept)
+
+
+def test_line_dedup_matches_brute_force(spark):
+    texts = line_rows(random.Random(5), 80)
+    check_lines(spark, documents(spark, [(1, None), (2, ""), (3, "\n\n")] + [(10 + i, t) for i, t in enumerate(texts)]))
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    """Rows that share a doc_id, or have none, lose only lines of their own; columns with the operator's own names change nothing."""
+    rng = random.Random(15)
+    texts = line_rows(rng, 60)
+    rows = [(9, "alpha beta gamma delta one\nunique delta"), (9, "alpha beta gamma delta one\nother words here"), (None, "only this\nshared line of five words"), (None, "shared line of five words\nnothing else"), (None, None), (9, "alpha beta gamma delta one\nunique delta")]
+    rows += [(rng.choice([None, 9, 20, 21]), t) for t in texts]
+    docs = documents(spark, rows)
+    for name in ("t", "gone", "gone_id", "gone_t", "first", "n_gone", "n_lines", "_id", "g", "line", "keys"):
+        docs = docs.withColumn(name, F.lit("x"))
+    check_lines(spark, docs)
+
+
+def test_line_dedup_of_a_very_long_line(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:20_000] + ["new"] + words[20_000:])), (3, " ".join(words[:10] + ["a", "b"] + words[10:]))]
+    assert {r.doc_id: r.n_gone for r in line_dedup.deduplicated(documents(spark, rows)).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("n", [0, 5, 3000])
+def test_key_filter_has_all_keys(spark, n):
+    from siftline.llm.common import KeyFilter, stored
+
+    rng = np.random.default_rng(n)
+    keys = rng.integers(-(2**63), 2**63 - 1, n)
+    for most in (1 << 26, 1 << 10):
+        some = KeyFilter.of(stored(spark.createDataFrame([(int(k),) for k in keys], "key long"), "t"), most)
+        assert some.has(keys).all()
+        assert some.has(rng.integers(-(2**63), 2**63 - 1, 1000)).mean() < 0.05 or most < 1 << 20
 
 
 def test_line_dedup_empty(spark):
