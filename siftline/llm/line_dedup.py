@@ -98,11 +98,15 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return narrow(docs).mapInArrow(run, "doc_id long, t long, line int, h long, g long, words int, keys array<long>")
 
 
-def line_texts(docs: DataFrame, chosen: KeyFilter) -> DataFrame:
-    """h, g, line_text of the lines whose h may be among the chosen."""
+def line_texts(docs: DataFrame, chosen: KeyFilter, rows: KeyFilter) -> DataFrame:
+    """h, g, line_text of the lines whose h may be among the chosen, in texts whose hash may be among the rows."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(rows.has(batch.column(1).to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in lists(batches, 256):
+        for _, _, texts in lists(some(batches), 256):
             words = [w for text in texts for line in text.split("\n") if (w := line.split())]
             keys = np.array([line_key(w) for w in words], np.int64).reshape(-1, 2)
             at = np.flatnonzero(chosen.has(keys[:, 0]))
@@ -198,7 +202,7 @@ def chosen_lines(distinct: DataFrame) -> DataFrame:
 def near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h, g of the lines that have an earlier line within one edit."""
     chosen = stored(chosen_lines(distinct), "near")
-    texts = line_texts(docs, KeyFilter.of(chosen.select("h"))).groupBy(*LINE).agg(F.first("line_text").alias("line_text"))
+    texts = line_texts(docs, KeyFilter.of(chosen.select("h")), KeyFilter.of(chosen.select("first.t"))).groupBy(*LINE).agg(F.first("line_text").alias("line_text"))
     texts = stored(texts.join(chosen.hint("merge"), LINE), "texts")
 
     met = stored(variants(texts).groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v"), "keys")
