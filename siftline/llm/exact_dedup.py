@@ -12,7 +12,8 @@ no hot key.
 
 Defined results: a null text is the empty text, and empty texts are copies of each other; rows
 that repeat a doc_id get the same answer; a null doc_id loses against any other and, alone in its
-group, keeps itself; an empty table gives an empty result; other columns are ignored.
+group, keeps itself; texts of any length are hashed and compared whole, each in one task; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -131,11 +131,19 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def sample(docs: DataFrame, per_lang: int, salts: int = 32) -> DataFrame:
-    """doc_id, lang, rank of at most per_lang documents of each language, thinned in two steps."""
-    keyed = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("o")).withColumn("salt", F.pmod("o", F.lit(salts)))
-    thin = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("o", "doc_id"))).where(F.col("rank") <= per_lang)
-    return thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("rank") <= per_lang).select("doc_id", "lang", "rank")
+def sample(docs: DataFrame, per_lang: int) -> DataFrame:
+    """text, lang, rank of at most per_lang documents of each language, those with the lowest hashes.
+
+    Languages are counted first, and only documents below a hash that leaves hardly more than per_lang of each are
+    ranked, so no task ranks more than that however large a language is. Rows that share a doc_id have hashes of their own."""
+    steps = 1 << 30
+    counts = stored(docs.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row for each language
+    some = F.least(F.lit(1.0), F.lit(per_lang + 8 * per_lang**0.5) / F.col("n"))
+    limits = F.broadcast(counts.select(F.col("lang").alias("name"), (some * steps).cast("long").alias("limit")))
+    keyed = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("o"))
+    low = keyed.join(limits, F.col("lang") == F.col("name")).where(F.pmod(F.shiftright("o", 8), F.lit(steps)) <= F.col("limit"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.shiftright("o", 8), F.lit(steps)), "o")
+    return low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("text", "lang", "rank")
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -167,8 +175,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, per_lang: int = 2500, shards: int = 8, epochs: int = 3, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.02, l2: float = 0.01) -> Model | None:
     """docs: doc_id, text, lang of the documents to learn from."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = stored(sample(docs, per_lang), "lang-sample")
-    langs = [r.lang for r in chosen.select("lang").distinct().orderBy("lang").collect()]
+    picked = stored(sample(docs, per_lang), "lang-sample")
+    langs = [r.lang for r in picked.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
     df, n = document_frequencies(docs)
@@ -188,7 +196,6 @@ def fit(docs: DataFrame, per_lang: int = 2500, shards: int = 8, epochs: int = 3,
                 upto = first + len(some)
                 yield pa.RecordBatch.from_arrays([pa.array([code[y] for y in names[first:upto]], pa.int32()), pa.array(ranks[first:upto], pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["label", "rank", "at", "x"])
 
-    picked = docs.join(F.broadcast(chosen.select("doc_id", "rank")), "doc_id").select("text", "lang", "rank")  # at most per_lang for each language
     rows = stored(picked.mapInArrow(features, "label int, rank int, at array<int>, x array<float>"), "lang-features")
     classes = len(langs)
 

@@ -9,7 +9,10 @@ an eighth of their room left are dealt into shards again and packed once more, u
 no bin; a shard's last bins thus don't add up over many shards.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a doc_id are packed as
-rows of their own; a null doc_id is packed like any other; an empty table gives an empty result.
+rows of their own; a null doc_id is packed like any other, and however many rows share an id or
+have none, they are spread over all shards; texts of any length are read whole, one at a time, and
+give as many pieces as they need; an empty table gives an empty result; other columns of `parts` are
+passed through by `pack`, but one named sequence_id or offset is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, lists, stored, text_or_empty
+from .common import blocks_for, lists, own, stored, text_or_empty
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -142,41 +145,43 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return full + [[int(rest[i]) for i in b] for b in bins]
 
 
-def packer(columns: list[str], capacity: int, level: int):
+def packer(columns: list[str], shard: str, open_: str, capacity: int, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         sequence, offset, is_open = (np.zeros(len(rows), np.int64) for _ in range(3))
-        base = (level << 59) + (int(rows["_shard"].iloc[0]) << 24)
+        base = (level << 59) + (int(rows[shard].iloc[0]) << 24)
         for k, b in enumerate(pack_lengths(lengths, capacity)):
             at = np.cumsum(lengths[b]) - lengths[b]
             sequence[b], offset[b], is_open[b] = base + k, at, at[-1] + lengths[b[-1]] <= capacity - capacity // 8
-        return rows[columns].assign(sequence_id=sequence, offset=offset, _open=is_open.astype(bool))
+        return rows[columns].assign(**{"sequence_id": sequence, "offset": offset, open_: is_open.astype(bool)})
 
     return run
 
 
 def pack(parts: DataFrame, capacity: int = 1024, per_shard: int = 8192, rounds: int = 4) -> DataFrame:
     """parts (with a length up to capacity) with sequence_id and offset. Other columns are passed through."""
-    columns = parts.columns
-    schema = parts.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("_open")).schema
+    columns = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    shard, open_ = own([*columns, "sequence_id", "offset"], "shard", "open")
+    zero = F.lit(0).cast("long")
+    schema = parts.select(*columns, zero.alias("sequence_id"), zero.alias("offset"), F.lit(True).alias(open_)).schema
     done: list[DataFrame] = []
-    left, before = parts, None
+    left, before = stored(parts.select(*columns), "parts"), None
     for level in range(rounds):
         n = left.count()
         shards = blocks_for(n, per_shard)
-
-        spread = F.pmod(F.xxhash64(*(c for c in ("doc_id", "piece") if c in columns), "length", F.lit(level)), F.lit(shards))
-        packed = stored(left.withColumn("_shard", spread).groupBy("_shard").applyInPandas(packer(columns, capacity, level), schema), f"packed{level}")
-        bins = packed.where("_open").agg(F.countDistinct("sequence_id").alias("n")).first().n
+        # A stored table's rows have the same place in every attempt, so rows that repeat an id are told apart by it.
+        spread = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(shards))
+        packed = stored(left.withColumn(shard, spread).groupBy(shard).applyInPandas(packer(columns, shard, open_, capacity, level), schema), f"packed{level}")
+        bins = packed.where(F.col(open_)).agg(F.countDistinct("sequence_id").alias("n")).first().n
         last = shards == 1 or level == rounds - 1 or (before is not None and bins >= 0.98 * before)
-        done.append(packed if last else packed.where(~F.col("_open")))
+        done.append(packed if last else packed.where(~F.col(open_)))
         if last:
             break
-        left, before = packed.where("_open").select(*columns), bins
+        left, before = packed.where(F.col(open_)).select(*columns), bins
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    return out.drop("_open")
+    return out.drop(open_)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -3,13 +3,12 @@
 Two generative models over hashed n-grams are compared: one of target text (documents labelled as
 good), one of the raw corpus (all documents). The importance weight of a document is the ratio of
 its probabilities under the two, and documents are drawn without replacement in proportion to
-their weights by Gumbel top-k: the k largest of log weight + Gumbel noise (times TEMPERATURE) stay. The noise is
-seeded by doc_id, so reruns agree.
+their weights by Gumbel top-k: the k largest of log weight / temperature + Gumbel noise stay. The
+noise is seeded by doc_id, so reruns agree; at the default temperature of 1 the draw is by weight.
 
-k is not a fixed share. With a fraction p of target-like text in the corpus, p times the weight is
-the probability that a document is target-like; k is the number of documents for which this is
-LEAST or more, so that good but short texts, which say little for themselves, stay. p is the
-fraction of good ones among all labels.
+How many are drawn is an argument: k documents, or a share of those with a word. Without either, k
+is an estimate of how many are target-like: with a fraction p of good ones among all labels, p
+times the weight is the probability that a document is, and k counts those with `least` or more.
 
 N-grams are of three views, so that junk shows at any corpus size: words, pairs of words, and
 triples of word shapes (case, digits, symbols, end mark, same word as before).
@@ -20,9 +19,10 @@ the driver has the models' fixed size. The threshold of the top k is found exact
 digits of the keys, without sorting them in one place.
 
 Defined results: null and empty texts have no n-grams and are rejected; rows that repeat a doc_id
-and text get the same key; ties at the threshold all stay; without any good label, nothing is
-known and every document with a word stays; an empty table gives an empty result; other columns
-are passed through by `select`.
+and text get the same key, rows that share a doc_id the same noise and label, and a null doc_id is
+never labelled; ties at the threshold all stay; without any good label, nothing is known and every
+document with a word stays; texts of any length are read whole, in slices of about 2^19 characters of
+whole texts; an empty table gives an empty result; other columns are passed through by `select`.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import own, pieces, stored
 from .hashing import BY_SPACE, chained, mix, spans, words_of
 
 BUCKET_BITS = 15
@@ -58,6 +58,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kind = kind[: words.starts[-1] + words.lengths[-1]]
     shape = np.bitwise_or.reduceat(kind, words.starts).astype(np.uint64)
     same = np.concatenate([[False], words.hashes[1:] == words.hashes[:-1]])
+    same[words.offsets[:-1][np.diff(words.offsets) > 0]] = False  # a text's first word has none before it
     flags = kind[words.starts + words.lengths - 1] == 8, kind[words.starts] == 2, same, words.lengths > 1
     for k, flag in enumerate(flags):
         shape |= flag.astype(np.uint64) << np.uint64(5 + k)
@@ -100,18 +101,19 @@ class Model:
         return self.__dict__ | {"chosen": None}  # tasks need the numbers alone
 
     def flagged(self, docs: DataFrame) -> DataFrame:
-        """docs with `_target` as the last column; the sample's size is bounded."""
-        own = self.chosen.select(F.col("doc_id").alias("_id"), F.col("target").alias("_own"))
-        joined = docs.join(F.broadcast(own), F.col("doc_id") == F.col("_id"), "left")
-        return joined.select(*(docs[c] for c in docs.columns), F.coalesce("_own", F.lit(False)).alias("_target"))
+        """docs with one more column, whether a document is of the sample, the size of which is bounded."""
+        name, flag, target = own(docs.columns, "chosen_id", "chosen", "target")
+        chosen = self.chosen.select(F.col("doc_id").alias(name), F.col("target").alias(flag))
+        joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col(name), "left")
+        return joined.select(*docs.columns, F.coalesce(flag, F.lit(False)).alias(target))
 
     def log_weights(self, texts: list[str | None], target: np.ndarray) -> np.ndarray:
         """-inf for texts without a word."""
         out = []
         for at, some in slices(texts):
             grams, offsets = ngrams(some)
-            own = np.repeat(target[at : at + len(some)].astype(np.int64), np.diff(offsets))
-            sums = np.concatenate([[0.0], np.cumsum(self.log_ratio[own, grams])])
+            inside = np.repeat(target[at : at + len(some)].astype(np.int64), np.diff(offsets))
+            sums = np.concatenate([[0.0], np.cumsum(self.log_ratio[inside, grams])])
             out.append(np.where(np.diff(offsets) > 0, sums[offsets[1:]] - sums[offsets[:-1]], -np.inf))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, smoothing
     n = graded.agg(F.count("*").alias("all"), F.count_if(F.col("quality") == 1).alias("good")).first()
     chosen = graded.where("quality = 1").select("doc_id", F.lit(True).alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
     model = Model(np.zeros((2, SIZE)), n.good / n.all if n.good else 1.0, stored(chosen, "quality-sample"))
-    flagged = model.flagged(docs.select("doc_id", "text")).select("text", "_target")
+    flagged = model.flagged(docs.select("doc_id", "text")).drop("doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
@@ -148,16 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, smoothing
     return model
 
 
-#: The probability at which a document counts among the k.
+#: The probability from which a document counts as target-like, where k isn't given.
 LEAST = 0.1
-#: Noise is scaled by this: documents are drawn in proportion to weight ** (1 / TEMPERATURE).
-TEMPERATURE = 0.25
+TEMPERATURE = 1.0
+SEED = 11
 
 
 def gumbel(doc_ids: list[int | None], seed: int) -> np.ndarray:
     ids = np.array([0 if i is None else i for i in doc_ids], np.int64).view(np.uint64)
     u = (mix(ids * np.uint64(2) + np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5
-    return -TEMPERATURE * np.log(-np.log(u / 2.0**53))
+    return -np.log(-np.log(u / 2.0**53))
 
 
 def sortable(keys: np.ndarray) -> np.ndarray:
@@ -166,16 +168,16 @@ def sortable(keys: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def scores(docs: DataFrame, model: Model, seed: int = 11) -> DataFrame:
+def scores(docs: DataFrame, model: Model, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, log_weight, key (sortable long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids = batch.column(0).to_pylist()
             w = model.log_weights(batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(sortable(w + gumbel(ids, seed)))], ["doc_id", "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(sortable(w / temperature + gumbel(ids, seed)))], ["doc_id", "log_weight", "key"])
 
-    return model.flagged(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, log_weight double, key long")
+    return model.flagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, log_weight double, key long")
 
 
 def kth_largest(df: DataFrame, col: str, k: int) -> int | None:
@@ -194,29 +196,30 @@ def kth_largest(df: DataFrame, col: str, k: int) -> int | None:
     return prefix
 
 
-def resample(scored: DataFrame, model: Model, k: int | None = None) -> int | None:
-    """The threshold: keys at or above it are drawn. k: how many to draw; None: as many as are target-like with a probability of LEAST."""
+def resample(scored: DataFrame, model: Model, k: int | None = None, share: float | None = None, least: float = LEAST) -> int | None:
+    """The threshold: keys at or above it are drawn. k, share: how many to draw; neither: as many as are target-like with a probability of `least`."""
     real = scored.where(F.col("log_weight") > float("-inf"))
+    n = real.count()
     if k is None:
-        k = real.where(F.col("log_weight") >= math.log(LEAST / model.share)).count()
-    return kth_largest(real, "key", min(k, real.count()))
+        k = round(share * n) if share is not None else real.where(F.col("log_weight") >= math.log(least / model.share)).count()
+    return kth_largest(real, "key", min(k, n))
 
 
 def kept(threshold: int | None):
     return (F.col("log_weight") > float("-inf")) & (F.lit(False) if threshold is None else F.col("key") >= threshold)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, log_weight, kept for every row of docs."""
+def quality_scores(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, seed: int = SEED, temperature: float = TEMPERATURE, **how) -> DataFrame:
+    """doc_id, log_weight, kept for every row of docs. Further options: see `fit`."""
     model = fit(docs, labels, **how)
-    scored = stored(scores(docs, model), "scores")
-    return scored.select("doc_id", F.when(F.col("log_weight") > float("-inf"), F.col("log_weight")).alias("log_weight"), kept(resample(scored, model)).alias("kept"))
+    scored = stored(scores(docs, model, seed, temperature), "scores")
+    return scored.select("doc_id", F.when(F.col("log_weight") > float("-inf"), F.col("log_weight")).alias("log_weight"), kept(resample(scored, model, k, share)).alias("kept"))
 
 
-def select(docs: DataFrame, labels: DataFrame, seed: int = 11, **how) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None, seed: int = SEED, temperature: float = TEMPERATURE, **how) -> DataFrame:
     """The rows of docs that are drawn, with their columns as they were. Texts are scored once more rather than shuffled."""
     model = fit(docs, labels, **how)
-    threshold = resample(stored(scores(docs, model, seed), "scores"), model)
+    threshold = resample(stored(scores(docs, model, seed, temperature), "scores"), model, k, share)
     columns = docs.columns
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
@@ -225,7 +228,7 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 11, **how) -> DataFra
             w = model.log_weights(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             keep = np.isfinite(w) & (threshold is not None)
             if keep.any():
-                keep &= sortable(w + gumbel(batch.column(id_at).to_pylist(), seed)) >= threshold
+                keep &= sortable(w / temperature + gumbel(batch.column(id_at).to_pylist(), seed)) >= threshold
             yield batch.select(columns).filter(pa.array(keep))
 
     return model.flagged(docs).mapInArrow(run, docs.schema)

@@ -25,11 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import stored
     from .packing import pack, pieces
 
     cut = pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), spaced=True, end_id=2, capacity=1024)
-    return pack(stored(cut, "pieces"), capacity=1024)
+    return pack(cut, capacity=1024)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +127,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(x) AS text_sha256 FROM d JOIN g USING (x)""",
     "op6_mixing": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                          md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+                          md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
               FROM d GROUP BY source),
         o AS (SELECT *, 2.0::DOUBLE * source_size AS cap, coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0) AS held, sum(w) OVER after AS free,

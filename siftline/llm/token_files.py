@@ -12,8 +12,9 @@ order. A task writes a file under a name of its own and returns it; only names r
 that succeeded enter the manifest, so files of lost or repeated attempts are never read.
 
 Defined results: null text is empty, and an empty text is the end id alone; a null doc_id comes
-first; rows that repeat a doc_id follow each other in the order of their texts; an empty table
-gives an empty manifest.
+first; rows that repeat a doc_id follow each other in the order of their texts; texts of any length
+are encoded whole, and a document is never parted, so one longer than a frame is a frame of its own; all
+rows of one doc_id are in one file; an empty table gives an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations

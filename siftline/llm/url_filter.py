@@ -18,8 +18,10 @@ longer pattern first; allow before block), as with exceptions in filter lists.
 
 Defined results: a null or unreadable URL matches nothing and is kept; a null fetch time too;
 changes of one entry at the same time leave the last by action; entries with a null pattern or
-time are ignored; rows that repeat a capture are judged alike; empty lists keep everything; columns of
-`captures` with the name of a result column are replaced by it in `judge` and kept by `select`.
+time are ignored; rows that repeat a capture are judged alike; URLs of any length are read whole, and
+give no more keys than the deepest entry has path segments and host labels; empty lists keep
+everything, an empty table of captures gives an empty result; columns of `captures` with the name of a
+result column are replaced by it in `judge` and kept by `select`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import own, small, stored
 
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*(/[^?#]*)"
@@ -46,24 +48,34 @@ def intervals(changes: DataFrame) -> DataFrame:
     return spans.where("action <> 'remove'").select("list", "kind", "pattern", "action", "valid_from", "valid_to")
 
 
-def keys(url: Column) -> Column:
-    """(kind, pattern) of every entry that could match a URL: its host, the host's parents, its path's beginnings."""
+def keys(url: Column, labels_most: int, segments_most: int) -> Column:
+    """(kind, pattern) of every entry that could match a URL: its host, the host's parents, its path's beginnings; no longer than entries are."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("pattern")))
+    n = F.least(F.size(labels), F.lit(labels_most))
+    parents = F.transform(
+        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+        lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("pattern")),
+    )
     path = F.filter(F.split(F.regexp_extract(F.trim(url), PATH, 1), "/"), lambda s: s != "")
+    n = F.least(F.size(path), F.lit(segments_most))
     begins = F.transform(
-        F.when(F.size(path) > 0, F.sequence(F.lit(1), F.size(path))).otherwise(F.array().cast("array<int>")),
+        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
         lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(path, 1, k), "/"))).alias("pattern")),
     )
-    own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern")))
-    return F.when(host.isNotNull(), F.array_distinct(F.concat(own, parents, begins)))
+    own_host = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern")))
+    return F.when(host.isNotNull(), F.array_distinct(F.concat(own_host, parents, begins)))
 
 
 def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched_at) with decision (allow, block, none), list, kind, pattern of the entry that decides, and n_active."""
-    active = small(stored(intervals(changes), "intervals"), weight=F.length("pattern"), limit=1 << 24)
-    keyed = captures.select("page_id", "url", "fetched_at", F.explode(keys(F.col("url"))).alias("k")).select("page_id", "url", "fetched_at", "k.kind", "k.pattern")
+    active = stored(intervals(changes), "intervals")
+    most = active.agg(
+        F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))).alias("labels"),
+        F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1)).alias("segments"),
+    ).first()
+    active = small(active, weight=F.length("pattern"), limit=1 << 24)
+    keyed = captures.select("page_id", "url", "fetched_at", F.explode(keys(F.col("url"), most.labels or 0, most.segments or 0)).alias("k")).select("page_id", "url", "fetched_at", "k.kind", "k.pattern")
     met = keyed.join(active, ["kind", "pattern"]).where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     rank = F.struct(
         F.when(F.col("kind") == "prefix", 3).when(F.col("kind") == "host", 2).otherwise(1).alias("kind_rank"),
@@ -71,15 +83,15 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(F.col("action") == "allow", 1).otherwise(0).alias("allows"),
         "list", "kind", "pattern", "action",
     )
-    best = met.groupBy("page_id", "url", "fetched_at").agg(F.max(rank).alias("best"), F.count_distinct("list", "kind", "pattern").alias("n_active"))
-    best = best.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), F.col("best").alias("_best"), F.col("n_active").alias("_n"))
-    out = captures.join(best, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
+    page, url, at, best, n = own(captures.columns, "u_page", "u_url", "u_at", "u_best", "u_n")
+    found = met.groupBy(F.col("page_id").alias(page), F.col("url").alias(url), F.col("fetched_at").alias(at)).agg(F.max(rank).alias(best), F.count_distinct("list", "kind", "pattern").alias(n))
+    out = captures.join(found, F.col("page_id").eqNullSafe(F.col(page)) & (F.col("url") == F.col(url)) & (F.col("fetched_at") == F.col(at)), "left")
     made = {
-        "decision": F.coalesce("_best.action", F.lit("none")),
-        "list": F.col("_best.list"),
-        "kind": F.col("_best.kind"),
-        "pattern": F.col("_best.pattern"),
-        "n_active": F.coalesce("_n", F.lit(0)).cast("long"),
+        "decision": F.coalesce(F.col(best)["action"], F.lit("none")),
+        "list": F.col(best)["list"],
+        "kind": F.col(best)["kind"],
+        "pattern": F.col(best)["pattern"],
+        "n_active": F.coalesce(n, F.lit(0)).cast("long"),
     }
     return out.select(*(captures[c] for c in captures.columns if c not in made), *(v.alias(k) for k, v in made.items()))
 

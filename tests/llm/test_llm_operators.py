@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -127,6 +128,14 @@ def test_local_search_never_loses_to_best_fit(lengths):
     assert len(bins) <= (n == 64).sum() + len(packing.best_fit(rest, 64))
 
 
+def test_packing_spreads_rows_without_an_id(spark):
+    parts = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (F.lit(1) + F.col("id") % 3).alias("length"), F.lit("x").alias("shard"), F.lit("x").alias("open"), F.lit("x").alias("offset"))
+    got = packing.pack(parts, capacity=64, per_shard=500)
+    assert got.count() == 3000 and got.where("shard <> 'x' OR open <> 'x'").count() == 0
+    full = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert full.where("n > 64 OR n <> end").count() == 0 and full.count() <= 6000 / 64 + 10
+
+
 def test_packing_empty(spark):
     cut = packing.pieces(documents(spark, []), public_tokenizers.path("byte_bpe_50k.json"), True, 2)
     assert packing.pack(cut).count() == 0
@@ -147,6 +156,54 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def brute_quality(rows, good, all_labels, k, seed=quality.SEED, smoothing=10.0):
+    """Log weights by counting n-grams in dictionaries, and the k largest with their noise."""
+
+    def views(text):
+        words = [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
+        shapes = []
+        for i, w in enumerate(words):
+            kinds = {quality.KINDS[b] for b in w.encode()}
+            last, first = quality.KINDS[w.encode()[-1]] == 8, quality.KINDS[w.encode()[0]] == 2
+            shapes.append((frozenset(kinds), last, first, i > 0 and words[i - 1] == w, len(w.encode()) > 1))
+        return words, list(zip(words, words[1:], strict=False)), list(zip(shapes, shapes[1:], shapes[2:], strict=False))
+
+    raw, target = [defaultdict(int) for _ in range(3)], [defaultdict(int) for _ in range(3)]
+    for i, t in rows:
+        for v, grams in enumerate(views(t)):
+            for g in grams:
+                raw[v][g] += 1
+                target[v][g] += i in good
+    weights = {}
+    for i, t in rows:
+        w = 0.0
+        for v, grams in enumerate(views(t)):
+            scale = sum(target[v].values()) / max(1, sum(raw[v].values()))
+            for g in grams:
+                w += math.log((max(0, target[v][g] - (i in good)) + smoothing) / (max(0, raw[v][g] - 1) * scale + smoothing))
+        weights[i] = w
+    keys = {i: w + float(quality.gumbel([i], seed)[0]) for i, w in weights.items()}
+    return weights, set(sorted(keys, key=keys.get, reverse=True)[:k])
+
+
+def test_quality_matches_brute_force(spark):
+    rng = random.Random(23)  # few words, so that no two n-grams share a bucket
+    rows = [(i, " ".join(rng.choice(["The", "cat.", "42é"]) for _ in range(rng.randrange(1, 30)))) for i in range(120)]
+    good, bad = set(range(0, 60, 2)), set(range(1, 60, 4))
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in bad], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    for name in ("_id", "_own", "_target", "chosen", "chosen_id", "target", "log_weight"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for k in (1, 40, 119):
+        weights, drawn = brute_quality(rows, good, labels, k)
+        got = quality.quality_scores(docs, labels, k=k).collect()
+        assert {r.doc_id for r in got if r.kept} == drawn
+        for r in got:
+            assert r.log_weight == pytest.approx(weights[r.doc_id], abs=1e-6)
+    kept = quality.select(docs, labels, share=40 / 120)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == brute_quality(rows, good, labels, 40)[1]
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = documents(spark, [(1, "a b"), (2, None)])
@@ -280,6 +337,39 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_ftrl_matches_a_plain_version():
+    """The update rule, a weight at a time."""
+    rng = random.Random(24)
+    model, classes = langid.Ftrl(3, 1.0, 0.1, 0.02, 0.01), 3
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(b, c):
+        if abs(z[b, c]) <= 0.02:
+            return 0.0
+        return -(z[b, c] - math.copysign(0.02, z[b, c])) / ((0.1 + math.sqrt(n[b, c])) / 1.0 + 0.01)
+
+    for _ in range(200):
+        at = rng.sample(range(40), 6)
+        x, label = [rng.random() for _ in at], rng.randrange(classes)
+        model.learn(np.array(at), np.array(x), label)
+        w = {(b, c): weight(b, c) for b in at for c in range(classes)}
+        scores = [sum(v * w[b, c] for b, v in zip(at, x, strict=True)) for c in range(classes)]
+        p = [math.exp(s) / sum(map(math.exp, scores)) for s in scores]
+        for b, v in zip(at, x, strict=True):
+            for c in range(classes):
+                g = v * (p[c] - (c == label))
+                z[b, c] += g - (math.sqrt(n[b, c] + g * g) - math.sqrt(n[b, c])) * w[b, c]
+                n[b, c] += g * g
+    got = model.weights(np.arange(40))
+    assert all(got[b, c] == pytest.approx(weight(b, c), abs=1e-9) for b in range(40) for c in range(classes))
+
+
+def test_language_sample_is_bounded_and_even(spark):
+    rows = [(i % 7 if i % 2 else i, f"text {i}", "en" if i % 10 else "de") for i in range(4000)]
+    got = langid.sample(documents(spark, rows), 300).groupBy("lang").agg(F.count("*").alias("n"), F.max("rank").alias("rank")).collect()
+    assert {r.lang: (r.n, r["rank"]) for r in got} == {"en": (300, 300), "de": (300, 300)}
+
+
 def test_language_id_with_nothing_to_learn(spark):
     assert langid.language_id(documents(spark, [])).count() == 0
     assert [r.lang_pred for r in langid.language_id(documents(spark, [(1, "words", None)])).collect()] == ["und"]
@@ -319,6 +409,27 @@ def test_mixing_meets_targets(spark):
     assert copies.agg(F.sum(mixing.words())).first()[0] == sum(taken.values())
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Targets are met to the word, however many rows share an id, or an id and a text."""
+    same = [(None, "ten words of one text that many rows do share", "en", "b")] * 200
+    rows = [(None, prose(random.Random(i), 10), "en", "abc"[i % 3]) for i in range(300)] + same + [(7, "a b c", "en", "c")] * 50 + [(7, "d e f", "en", "c")] * 50
+    docs = documents(spark, rows).repartition(5)
+    for name in ("m_size", "m_key", "_key", "__size", "m_last", "s", "t", "upto", "n", "target"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for share in (0.5, 1.1, 1.3, 1.5, 1.9):
+        got = mixing.mix(docs, share=share, per_slice=20).collect()
+        assert len(got) == len(rows)
+        taken, target = defaultdict(int), {}
+        for r in got:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert 0 <= r.taken <= 2 * r.size
+        for s in target:
+            assert taken[s] == pytest.approx(target[s], abs=1), (share, s)
+    copies = mixing.repeated(docs, share=1.3)
+    assert copies.columns == docs.columns and copies.agg(F.sum(mixing.words())).first()[0] == sum(r.taken for r in mixing.mix(docs, share=1.3).collect())
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(documents(spark, [(1, None)])).collect()] == [0]
@@ -626,6 +737,8 @@ def test_url_filter_matches_brute_force(spark):
     changes = [(rng.choice("lm"), *rng.choice(patterns), rng.choice(["block", "allow", "remove"]), rng.randrange(100)) for _ in range(80)]
     changes = list({(c[0], c[1], c[2], c[4]): c for c in changes}.values())
     cap = spark.createDataFrame(captures, "page_id long, url string, fetched_at int").withColumn("best", F.lit("x"))
+    for name in ("_id", "_url", "_best", "u_page", "u_url", "u_best", "k"):
+        cap = cap.withColumn(name, F.lit("x"))
     got = url_filter.judge(cap, spark.createDataFrame(changes, "list string, kind string, pattern string, action string, at int"))
     assert got.count() == len(captures)
     history = defaultdict(list)
