@@ -2,6 +2,12 @@
 
 run() applies the stages in order. Each stage's rows are written as Parquet and read again as the
 next one's docs, so a lost executor never costs more than the stage at hand.
+
+Defined results: null and empty texts go in the first stage, which finds no word in them; null and
+repeated doc_ids are rows of their own in every stage, and rows that repeat doc_id and text share
+their fate until the mixture, which counts each; texts of any length are read whole; ties go as each
+operator's docstring says; other columns are passed through up to the mixture, whatever their
+names; an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece's place in a sequence of at most 1024 tokens."""
     cut = packing.pieces(docs, vocabulary("byte_bpe_50k.json"), spaced=True, end_id=2, capacity=1024)
-    return packing.pack(stored(cut, "pieces"), capacity=1024)
+    return packing.pack(cut, capacity=1024)
 
 
 STAGES = [
