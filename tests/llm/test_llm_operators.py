@@ -506,7 +506,7 @@ def test_near_duplicates_among_documents_of_frequent_passages(spark):
         at = rng.randrange(170)
         w[at : at + 24] = [f"z{i}y{k}" for k in range(24)]
         rows.append((1000 + i, " ".join(w)))
-    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows), overlap=0.5).collect()}
     texts = [(i, t.split()) for i, t in rows]
     parent = {i: i for i, _ in texts}
 
