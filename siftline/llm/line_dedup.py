@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KeyFilter, lists, own, stored
+from .common import KeyFilter, lists, own, pieces, stored
 from .hashing import powers
 
 MIN_WORDS = 5
@@ -169,15 +169,23 @@ def within_one(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-@F.pandas_udf(T.StringType())
-def without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """The texts without the lines of these numbers."""
+def shortened(rows: DataFrame, numbers: str) -> DataFrame:
+    """rows whose text lacks the lines of the column `numbers` (null: none)."""
+    text_at, gone_at = rows.columns.index("text"), rows.columns.index(numbers)
 
-    def rest(t: str, numbers) -> str:
-        dropped = set(numbers.tolist())
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in dropped)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            texts = []
+            for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
+                if gone is not None and text is not None:
+                    dropped = set(gone)
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in dropped)
+                texts.append(text)
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return pd.Series([rest(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def place() -> Column:
@@ -245,13 +253,10 @@ def with_lines_dropped(docs: DataFrame, min_words: int, n_lines: str, n_gone: st
     n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     gone = gone.select(F.col("doc_id").alias(gone_id), F.col("t").alias(gone_t), F.col("gone").alias(numbers))
     loses = keyed.where(maybe).join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(t) == F.col(gone_t)), "left")
-    some = F.col(numbers).isNotNull()
-    text = F.when(some, without(F.coalesce("text", F.lit("")), F.coalesce(numbers, F.array().cast("array<int>")))).otherwise(F.col("text"))
-    made = loses.select(*(F.col(c) for c in kept), n.alias(n_lines), F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(n_gone), text.alias(t), some.alias(numbers))
-    shown = {"text": F.col(t)}
+    made = shortened(loses.select(*kept, n.alias(n_lines), F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(n_gone), numbers), numbers)
     if "n_chars" in kept:
-        shown["n_chars"] = F.when(F.col(numbers), F.char_length(t)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    made = made.select(*(shown[c].alias(c) if c in shown else F.col(c) for c in kept), n_lines, n_gone)
+        made = made.withColumn("n_chars", F.when(F.col(numbers).isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    made = made.select(*kept, n_lines, n_gone)
     return keyed.where(~maybe).select(*kept, n.alias(n_lines), F.lit(0).cast("long").alias(n_gone)).unionByName(made)
 
 
