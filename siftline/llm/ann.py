@@ -259,7 +259,8 @@ def merger(k: int):
 def searched(forest: Forest, unique: DataFrame, asked: DataFrame, k: int, trees: int, leaves: int, blocks: int) -> DataFrame:
     """qu, u, score: the nearest entries found, k + 1 where there are as many."""
     block = F.pmod(F.xxhash64("qu"), F.lit(blocks)).alias("block")
-    left = forest.visits(asked, trees, leaves).select("*", block)
+    spread = asked.repartition(blocks_for(asked.count(), 256), "qu")  # walking the trees is work for many tasks
+    left = forest.visits(spread, trees, leaves).select("*", block)
     right = forest.index(unique, trees).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     met = left.groupBy("tree", "branch", "block").cogroup(right.groupBy("tree", "branch", "block")).applyInPandas(comparer(k, forest.leaves_per_branch), "qu long, us array<long>, scores array<double>")
     return met.groupBy("qu").applyInPandas(merger(k), "qu long, u long, score double")
