@@ -120,11 +120,14 @@ def after(df: DataFrame, key: str, last: object, batch: int) -> DataFrame:
     return rows.orderBy(key).limit(min(25, max(10, batch)))
 
 
-def latest_status(files: list[DataFrame], key: str, status: str) -> DataFrame:
-    """The status of each key in the last file, and the last row of it, that has the key (SRC-16)."""
+def latest_status(files: list[DataFrame], key: str, status: str, order_by: str | None = None) -> DataFrame:
+    """The status of each key in the last file, and the last row of it, that has the key (SRC-16).
+
+    order_by: a column with a row's place in its file; without one, rows count in the order of the file's splits."""
     out = None
     for order, df in enumerate(files):
-        rows = df.select(key, status, F.lit(order).alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+        place = F.col(order_by).cast("long") if order_by else F.monotonically_increasing_id()
+        rows = df.select(key, status, F.lit(order).alias("_file"), place.alias("_pos"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy(key).agg(F.max_by(status, F.struct("_file", "_pos")).alias(status))
 

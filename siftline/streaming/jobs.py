@@ -1,7 +1,7 @@
 """The stateful behaviour as Structured Streaming: event-time windows, idempotent appends, resumable work.
 
 Event time, watermarks and late rows are this library's additions; a stream read to its end gives
-what the batch operators give (tests/test_streaming.py).
+what the batch operators give (tests/test_sources.py).
 """
 
 from __future__ import annotations
