@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -22,6 +23,11 @@ _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 AS_TEXT = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Few ids as little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class TextEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers. spaced: a word's ids differ after a space."""
 
@@ -78,15 +84,15 @@ class TextEncoder:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new, ends = [], []
-        for w in {w for w in words if w not in young}:
+        for w in set(words).difference(young):
             if (got := old.get(w)) is not None:
                 young[w] = got
+            elif self.one_piece(w):
+                young[w] = self.piece(w)
             elif (s := self.string(w)) is None:
                 return False
             elif len(w) > 2 and w[-1] in ".," and self.one_piece(w[-2]):  # a mark after a letter is a piece of its own
                 ends.append(w)
-            elif self.one_piece(w):
-                young[w] = self.piece(w)
             else:
                 new.append((w, s))
         for w in ends:
@@ -100,7 +106,7 @@ class TextEncoder:
                     new.append((body, self.string(body)))
         if new:
             for (w, _), e in zip(new, self.tokenizer.encode_batch_fast([s for _, s in new], add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
+                young[w] = packed(e.ids)
         for w in ends:
             young[w] = young[w[:-1]] + self.mark(w[-1])
         return True
@@ -119,7 +125,7 @@ class TextEncoder:
                 return known
             word = low
         written = word if word.isascii() else "".join([AS_TEXT[b] for b in word.encode()])
-        return np.array([t.id for t in self.model.tokenize("\u0120" + written if self.spaced else written)], "<u4").tobytes()
+        return packed([t.id for t in self.model.tokenize("\u0120" + written if self.spaced else written)])
 
     def mark(self, c: str) -> bytes:
         if c not in self.marks:
