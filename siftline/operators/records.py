@@ -172,3 +172,83 @@ def open_routes(routes: DataFrame, attempts: DataFrame, key: str, order: str) ->
         F.max_by("error", F.when(F.col("status") == "failed", F.col(order))).alias("last_error"),
     )
     return routes.join(seen, key, "left").where(~holds(F.col("_done"))).withColumn("n_failed", F.coalesce("n_failed", F.lit(0))).drop("_done")
+
+
+def quality_rows(rows: DataFrame, key: str) -> DataFrame:
+    """What is still to be learned of an entity (FN-89): its size class, what its site's rating may be said of, and a list of needs.
+
+    rows: key, status (of its site), commercial (null: unconfirmed), rating, size_class, industries."""
+    status, commercial = F.col("status"), F.coalesce("commercial", F.lit("UNCONFIRMED"))
+    doubtful, shut = status.isin("AMBIGUOUS_IDENTITY", "INSUFFICIENT_EVIDENCE"), status.isin("FETCH_FAILED", "ACCESS_BLOCKED")
+    #: What is asked for, in this order.
+    needs = [
+        (doubtful, "independent first-party identity evidence (legal name, about/imprint, or Wikidata-linked identifier)"),
+        (shut, "independent accessible first-party identity source; do not bypass controls"),
+        (commercial == "UNCONFIRMED", "current operating/commercial-status evidence"),
+        (commercial.isin("NONCOMMERCIAL_INDICATED", "ASSOCIATION_INDICATED"), "confirm whether commercial research scope includes this entity type"),
+        (~holds(F.col("size_class") == "LARGE_ENTERPRISE_SUPPORTED"), "sourced employee count or other defensible size evidence"),
+        (blank(F.col("industries")), "industry evidence"),
+    ]
+    relevance = first_match(
+        [
+            (~holds(status == "VERIFIED"), "UNATTRIBUTABLE_UNVERIFIED_SITE"),
+            (commercial == "NONCOMMERCIAL_INDICATED", "NOT_COMMERCIAL_GEO_TARGET"),
+            (holds(F.col("rating").isin("HIGH", "MEDIUM", "LOW")), F.col("rating")),
+        ],
+        "UNKNOWN",
+    )
+    return rows.select(
+        key,
+        commercial.alias("commercial_business_assessment"),
+        relevance.alias("relevance_assessment"),
+        F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(text)) for c, text in needs))), "; ").alias("additional_evidence_needed"),
+    )
+
+
+def pilot_rows(rows: DataFrame, sites: DataFrame, key: str) -> DataFrame:
+    """A row an entity with its site, the first by domain of those that aren't profiles elsewhere, and flags of size (FN-90).
+
+    rows: key, size_class; sites: key, url. An entity without a site of its own keeps nulls and isn't qualified."""
+    own_sites = sites.select(key, "url", domain_key(F.col("url")).alias("domain")).where("domain <> ''").where(~holds(third_party(F.col("url"))))
+    chosen = own_sites.groupBy(key).agg(F.min(F.struct("domain", "url")).alias("_site"), F.count_distinct("domain").alias("n_domains"))
+    large = holds(F.col("size_class") == "LARGE_ENTERPRISE_SUPPORTED")
+    return rows.join(chosen, key, "left").select(
+        key,
+        F.col("_site.url").alias("website_url"),
+        F.col("_site.domain").alias("normalized_domain"),
+        F.coalesce("n_domains", F.lit(0)).alias("n_domains"),
+        large.alias("large_enterprise"),
+        (holds(F.col("size_class").startswith("SMB"))).alias("smb_supported"),
+        (F.col("_site").isNotNull() & ~large).alias("qualified"),
+    )
+
+
+def validation_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: candidate_total and, a column each, the counts of its values as a sorted JSON map (SNK-19). One scan; values are labels, few in number."""
+    named = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("_cell")
+    counts = rows.select(named).groupBy("_cell.name", "_cell.value").agg(F.count("*").alias("n"))
+    maps = {c: F.sort_array(F.collect_list(F.when(F.col("name") == c, F.struct(F.coalesce("value", F.lit("null")).alias("value"), "n")))) for c in columns}
+    total = F.coalesce(F.sum(F.when(F.col("name") == columns[0], F.col("n"))), F.lit(0)).alias("candidate_total")
+    return counts.agg(total, *(F.to_json(F.map_from_entries(m)).alias(c) for c, m in maps.items()))
+
+
+def acquisition(objects: DataFrame, active: DataFrame) -> DataFrame:
+    """One row of a source's yield (SNK-19): objects seen, without a usable site, inactive, of the active cohort, repeats of a domain, and new.
+
+    objects: url, inactive (boolean); active: domain, one row each."""
+    marked = objects.select(domain_key(F.col("url")).alias("_domain"), holds(F.col("inactive")).alias("_inactive"))
+    usable = ~blank(F.col("_domain")) & ~F.col("_inactive")
+    folded = marked.groupBy(F.when(usable, F.col("_domain")).alias("_domain")).agg(F.count("*").alias("n"), F.count_if("_inactive").alias("idle"))
+    known = F.col("active.domain").isNotNull()
+    joined = folded.join(active.select("domain").alias("active"), F.col("_domain") == F.col("active.domain"), "left")
+    here, new = F.col("_domain").isNotNull(), F.col("_domain").isNotNull() & ~known
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return joined.agg(
+        total("n").alias("objects_examined"),
+        total("idle").alias("inactive_objects"),
+        total(F.when(~here, F.col("n") - F.col("idle"))).alias("objects_without_site"),
+        total(F.when(known, F.col("n"))).alias("active_cohort_duplicates"),
+        total(F.when(new, F.col("n") - 1)).alias("duplicate_domain_objects"),
+        F.count_if(here).alias("distinct_domains"),
+        F.count_if(new).alias("new_unique_candidates"),
+    )

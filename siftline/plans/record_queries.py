@@ -143,3 +143,62 @@ def open_routes(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
     attempts = t.orders.select(F.col("o_custkey").alias("c_custkey"), status.alias("status"), F.col("o_orderpriority").alias("error"), "o_orderkey")
     return records.open_routes(t.customer.select("c_custkey"), attempts, "c_custkey", "o_orderkey")
+
+
+@query(
+    "FN-89",
+    """WITH r AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'VERIFIED' WHEN '2-HIGH' THEN 'ACCESS_BLOCKED' WHEN '3-MEDIUM' THEN 'AMBIGUOUS_IDENTITY' ELSE 'REJECTED_MISMATCH' END AS status, o_orderstatus AS s, o_totalprice AS p FROM orders)
+       SELECT o_orderkey, CASE s WHEN 'F' THEN 'NONCOMMERCIAL_INDICATED' ELSE 'UNCONFIRMED' END AS commercial_business_assessment,
+         CASE WHEN status <> 'VERIFIED' THEN 'UNATTRIBUTABLE_UNVERIFIED_SITE' WHEN s = 'F' THEN 'NOT_COMMERCIAL_GEO_TARGET' WHEN s = 'O' THEN 'HIGH' ELSE 'UNKNOWN' END AS relevance_assessment,
+         concat_ws('; ', CASE WHEN status = 'AMBIGUOUS_IDENTITY' THEN 'independent first-party identity evidence (legal name, about/imprint, or Wikidata-linked identifier)' END,
+           CASE WHEN status = 'ACCESS_BLOCKED' THEN 'independent accessible first-party identity source; do not bypass controls' END,
+           CASE WHEN s = 'F' THEN 'confirm whether commercial research scope includes this entity type' ELSE 'current operating/commercial-status evidence' END,
+           CASE WHEN p < 100000 THEN 'sourced employee count or other defensible size evidence' END, CASE WHEN p < 50000 THEN 'industry evidence' END) AS additional_evidence_needed FROM r""",
+)
+def quality_rows(t: Tables) -> DataFrame:
+    priority, status, price = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
+    rows = t.orders.select(
+        "o_orderkey",
+        F.when(priority == "1-URGENT", "VERIFIED").when(priority == "2-HIGH", "ACCESS_BLOCKED").when(priority == "3-MEDIUM", "AMBIGUOUS_IDENTITY").otherwise("REJECTED_MISMATCH").alias("status"),
+        F.when(status == "F", "NONCOMMERCIAL_INDICATED").alias("commercial"),
+        F.when(status == "O", "HIGH").alias("rating"),
+        F.when(price >= 100000, "LARGE_ENTERPRISE_SUPPORTED").alias("size_class"),
+        F.when(price >= 50000, "Q1").alias("industries"),
+    )
+    return records.quality_rows(rows, "o_orderkey")
+
+
+@query(
+    "FN-90",
+    """WITH s AS (SELECT o_custkey AS c_custkey, min('c' || o_orderkey || '.com') AS d, count(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+       SELECT c_custkey, 'https://www.' || d || '/x' AS website_url, d AS normalized_domain, coalesce(n, 0) AS n_domains, c_acctbal >= 5000 AS large_enterprise, c_acctbal < 0 AS smb_supported, d IS NOT NULL AND c_acctbal < 5000 AS qualified
+       FROM customer LEFT JOIN s USING (c_custkey)""",
+)
+def pilot_rows(t: Tables) -> DataFrame:
+    size = F.when(F.col("c_acctbal") >= 5000, "LARGE_ENTERPRISE_SUPPORTED").when(F.col("c_acctbal") < 0, "SMB_SUPPORTED")
+    url = F.when(F.col("o_orderstatus") == "F", "https://www.facebook.com/a").otherwise(F.concat(F.lit("https://www.c"), "o_orderkey", F.lit(".com/x")))
+    return records.pilot_rows(t.customer.select("c_custkey", size.alias("size_class")), t.orders.select(F.col("o_custkey").alias("c_custkey"), url.alias("url")), "c_custkey")
+
+
+@query(
+    "SNK-19",
+    """WITH m AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1)
+       SELECT (SELECT count(*) FROM orders) AS candidate_total, (SELECT '{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}' FROM m) AS o_orderstatus,
+         (SELECT '{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}' FROM p) AS o_orderpriority""",
+)
+def validation_summary(t: Tables) -> DataFrame:
+    return records.validation_summary(t.orders, ["o_orderstatus", "o_orderpriority"])
+
+
+@query(
+    "SNK-19",
+    """WITH o AS (SELECT o_custkey AS k, o_orderstatus = 'P' AS idle, o_orderpriority <> '5-LOW' AS site FROM orders),
+        d AS (SELECT k, count(*) AS n, k IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS known FROM o WHERE site AND NOT idle GROUP BY k)
+       SELECT (SELECT count(*) FROM o) AS objects_examined, (SELECT count(*) FROM o WHERE idle) AS inactive_objects, (SELECT count(*) FROM o WHERE NOT idle AND NOT site) AS objects_without_site,
+         CAST(coalesce(sum(n) FILTER (WHERE known), 0) AS BIGINT) AS active_cohort_duplicates, CAST(coalesce(sum(n - 1) FILTER (WHERE NOT known), 0) AS BIGINT) AS duplicate_domain_objects,
+         count(*) AS distinct_domains, count(*) FILTER (WHERE NOT known) AS new_unique_candidates FROM d""",
+)
+def acquisition(t: Tables) -> DataFrame:
+    site = F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("https://c"), "o_custkey", F.lit(".com/")))
+    objects = t.orders.select(site.alias("url"), (F.col("o_orderstatus") == "P").alias("inactive"))
+    return records.acquisition(objects, t.customer.where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey", F.lit(".com")).alias("domain")))

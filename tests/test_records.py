@@ -86,3 +86,20 @@ def test_replay_and_routes(spark):
     tried = spark.createDataFrame([("a", "failed", "x", 1), ("a", "complete", None, 2), ("b", "failed", "y", 1), ("b", "failed", "z", 2), ("b", None, None, 3)], "route string, status string, error string, at int")
     got = sorted((str(r.route), r.n_failed, r.last_error) for r in records.open_routes(routes, tried, "route", "at").collect())
     assert got == [("None", 0, None), ("b", 2, "z"), ("c", 0, None)]
+
+
+def test_rows_on_nulls_and_empty_tables(spark):
+    rows = spark.createDataFrame([(1, None, None, None, None, None)], "id int, status string, commercial string, rating string, size_class string, industries string")
+    got = records.quality_rows(rows, "id").first()
+    assert got.relevance_assessment == "UNATTRIBUTABLE_UNVERIFIED_SITE" and got.additional_evidence_needed.count(";") == 2
+    sites = spark.createDataFrame([(1, None), (1, "https://facebook.com/x"), (2, "https://z.com"), (2, "https://a.com/2"), (2, "https://a.com/1")], "id int, url string")
+    sized = spark.createDataFrame([(1, None), (2, "SMB_SUPPORTED")], "id int, size_class string")
+    pilots = {r.id: tuple(r)[1:] for r in records.pilot_rows(sized, sites, "id").collect()}
+    assert pilots == {1: (None, None, 0, False, False, False), 2: ("https://a.com/1", "a.com", 2, False, True, True)}
+    states = spark.createDataFrame([("x", None), ("x", "b"), ("a", "b")], "p string, q string")
+    assert tuple(records.validation_summary(states, ["p", "q"]).first()) == (3, '{"a":1,"x":2}', '{"b":2,"null":1}')
+    assert records.validation_summary(states.limit(0), ["p", "q"]).first().candidate_total == 0
+    seen = spark.createDataFrame([(None, None), ("https://a.com", False), ("https://a.com/2", None), ("https://b.com", True), ("https://c.com", False)], "url string, inactive boolean")
+    known = spark.createDataFrame([("c.com",)], "domain string")
+    assert tuple(records.acquisition(seen, known).first()) == (5, 1, 1, 1, 1, 2, 1)
+    assert tuple(records.acquisition(seen.limit(0), known).first()) == (0,) * 7
