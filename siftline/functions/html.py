@@ -20,6 +20,7 @@ PAGE = T.StructType(
         T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("canonical", T.StringType()),
         T.StructField("text", T.StringType()), T.StructField("types", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(T.StringType())),
         T.StructField("emails", T.ArrayType(T.StringType())), T.StructField("forms", T.ArrayType(T.StructType([T.StructField("action", T.StringType()), T.StructField("fields", T.StringType())]))),
+        T.StructField("anchors", T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())]))),
     ]
 )
 
@@ -29,9 +30,9 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.silent, self.in_title, self.in_json, self.form = 0, False, False, None
+        self.silent, self.in_title, self.in_json, self.form, self.anchor = 0, False, False, None, None
         self.title, self.description, self.canonical = [], None, None
-        self.text, self.json, self.links, self.mails, self.forms = [], [], [], [], []
+        self.text, self.json, self.links, self.mails, self.forms, self.anchors = [], [], [], [], [], []
 
     def handle_starttag(self, tag, attributes):
         a = {k: v or "" for k, v in attributes}
@@ -51,6 +52,8 @@ class Page(HTMLParser):
                 self.mails.append(a["href"][7:].split("?")[0])
             else:
                 self.links.append(a["href"])
+                self.anchor = (a["href"], [])
+                self.anchors.append(self.anchor)
         elif tag == "form":
             self.form = {"action": a.get("action", ""), "fields": []}
             self.forms.append(self.form)
@@ -64,6 +67,8 @@ class Page(HTMLParser):
             self.in_title = False
         elif tag == "form":
             self.form = None
+        elif tag == "a":
+            self.anchor = None
 
     def handle_data(self, data):
         if self.in_json:
@@ -72,6 +77,8 @@ class Page(HTMLParser):
             return
         if self.in_title:
             self.title.append(data)
+        if self.anchor is not None:
+            self.anchor[1].append(data)
         self.text.append(data)
 
     def structured(self) -> list:
@@ -110,12 +117,13 @@ def read_page(markup: str | None, text_most: int | None = None) -> dict:
         "title": squeeze(page.title) or None, "description": page.description, "canonical": page.canonical, "text": text[:text_most], "types": sorted(kinds),
         "links": list(dict.fromkeys(page.links)), "emails": sorted({m.strip(" .,;:<>[]()\"'").lower() for m in mails if MAIL.fullmatch(m.strip(" .,;:<>[]()\"'"))}),
         "forms": [{"action": f["action"], "fields": " ".join(f["fields"]).lower()} for f in page.forms],
+        "anchors": [{"href": href, "label": squeeze(label)} for href, label in page.anchors],
     }
 
 
 @F.pandas_udf(PAGE)
 def page_facts(markup: pd.Series) -> pd.DataFrame:
-    """title, description, canonical, text, types, links, emails, forms of each page."""
+    """title, description, canonical, text, types, links, emails, forms, anchors of each page."""
     return pd.DataFrame([read_page(m) for m in markup], columns=PAGE.names)
 
 

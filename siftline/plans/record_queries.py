@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import channels, records
 from .catalog import Tables, query
 
 
@@ -202,3 +202,26 @@ def acquisition(t: Tables) -> DataFrame:
     site = F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("https://c"), "o_custkey", F.lit(".com/")))
     objects = t.orders.select(site.alias("url"), (F.col("o_orderstatus") == "P").alias("inactive"))
     return records.acquisition(objects, t.customer.where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey", F.lit(".com")).alias("domain")))
+
+
+@query(
+    "FN-65",
+    """WITH p AS (SELECT c_custkey, 'c' || c_custkey || '.com' AS host, c_mktsegment AS s, c_acctbal AS b FROM customer)
+       SELECT c_custkey, 'sales@' || host AS email, 'SALES_MARKETING_EMAIL' AS channel_type, 'https://' || host || '/home' AS channel_url FROM p WHERE s = 'BUILDING'
+       UNION ALL SELECT c_custkey, 'info@' || host, 'GENERAL_BUSINESS_EMAIL', 'https://' || host || '/home' FROM p WHERE s = 'MACHINERY'
+       UNION ALL SELECT c_custkey, 'privacy@' || host, 'RESTRICTED_EMAIL', 'https://' || host || '/home' FROM p WHERE s = 'FURNITURE'
+       UNION ALL SELECT c_custkey, NULL, 'CONTACT_FORM', 'https://' || host || '/send' FROM p WHERE b >= 0
+       UNION ALL SELECT c_custkey, NULL, 'CONTACT_FORM', 'https://forms.net/f' FROM p WHERE s = 'HOUSEHOLD'""",
+)
+def page_channels(t: Tables) -> DataFrame:
+    host, segment = F.concat(F.lit("c"), "c_custkey", F.lit(".com")), F.col("c_mktsegment")
+    body = (
+        F.when(segment == "BUILDING", F.concat(F.lit("<a href='mailto:Sales@"), host, F.lit("?subject=x'>write</a>")))
+        .when(segment == "MACHINERY", F.concat(F.lit("<p>info [at] c"), "c_custkey", F.lit(" [dot] com</p>")))
+        .when(segment == "FURNITURE", F.concat(F.lit("<p>privacy@"), host, F.lit("</p>")))
+        .when(segment == "HOUSEHOLD", F.lit("<a href='https://forms.net/f'>Contact us</a><a href='https://forms.net/privacy'>Contact</a><a href='/in'>Contact</a>"))
+        .otherwise("<p>ann.lee@mail.org</p>")
+    )
+    form = F.when(F.col("c_acctbal") >= 0, "<form action='/send'><input type='email' placeholder='general inquiry'></form>").otherwise("<form action='/join'><input type='email' name='newsletter'></form>")
+    pages = t.customer.select("c_custkey", F.concat(F.lit("https://"), host, F.lit("/home")).alias("url"), F.concat(F.lit("<body>"), body, form).alias("html"))
+    return channels.page_channels(pages, "c_custkey", "url", "html")
