@@ -224,4 +224,4 @@ def page_channels(t: Tables) -> DataFrame:
     )
     form = F.when(F.col("c_acctbal") >= 0, "<form action='/send'><input type='email' placeholder='general inquiry'></form>").otherwise("<form action='/join'><input type='email' name='newsletter'></form>")
     pages = t.customer.select("c_custkey", F.concat(F.lit("https://"), host, F.lit("/home")).alias("url"), F.concat(F.lit("<body>"), body, form).alias("html"))
-    return channels.page_channels(pages, "c_custkey", "url", "html")
+    return channels.page_channels(pages, "c_custkey", "url", "html").select("c_custkey", "email", "channel_type", "channel_url")
