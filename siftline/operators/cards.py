@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .channels import absolute, host
-from .nodes import attribute, inside, nodes, read_pages, with_text
+from .nodes import HEADINGS, attribute, first, nodes, read_pages, said, within
 from .views import holds
 
 # Classes of cards, of their titles and of their categories; item types of companies; labels of website links.
@@ -21,35 +21,34 @@ ITEM_TYPES = ["Organization", "LocalBusiness"]
 WEBSITE_LABELS = ["visit website", "website"]
 
 
-def has_class(*names: str) -> Column:
-    return F.arrays_overlap(F.split(attribute("class"), r"\s+"), F.array(*map(F.lit, names)))
+def has_class(node: Column, *names: str) -> Column:
+    return F.arrays_overlap(F.split(attribute(node, "class"), r"\s+"), F.array(*map(F.lit, names)))
 
 
 def signatures(every: DataFrame, depth: int = 2) -> DataFrame:
-    """page, n, signature: a hash of the tag paths below each element, down to `depth` levels; leaves have none."""
+    """page, n, parent, signature: a hash of the tag paths below each element, down to `depth` levels; leaves have none."""
     elements = every.where("tag <> '#text'")
-    below = elements.select("page", "tag", F.posexplode(F.slice("up", 1, depth)).alias("far", "n"))
-    counted = below.groupBy("page", "n").agg(F.array_sort(F.collect_set(F.struct("far", "tag"))).alias("paths"))
-    return elements.select("page", "n", "up", "tag").join(counted, ["page", "n"]).select("page", "n", F.get("up", F.lit(0)).alias("parent"), F.xxhash64("tag", "paths").alias("signature"))
+    below = elements.select("page", F.posexplode(F.slice("up", 1, depth)).alias("far", "n"), F.col("tag").alias("below"))
+    counted = below.groupBy("page", "n").agg(F.array_sort(F.collect_set(F.struct("far", "below"))).alias("paths"))
+    shaped = elements.select("page", "n", "up", "tag").join(counted, ["page", "n"])
+    return shaped.select("page", "n", F.coalesce(F.get("up", F.lit(0)), F.lit(-1)).alias("parent"), F.xxhash64("tag", "paths").alias("signature"))
 
 
 def repeated(every: DataFrame, least: int = 3, depth: int = 2) -> DataFrame:
     """page, n of the elements that have at least least - 1 siblings of their own shape."""
-    shaped = signatures(every, depth)
-    often = shaped.groupBy("page", "parent", "signature").agg(F.count("*").alias("times")).where(F.col("times") >= least).drop("times")
-    return shaped.withColumn("parent", F.coalesce("parent", F.lit(-1))).join(often.withColumn("parent", F.coalesce("parent", F.lit(-1))), ["page", "parent", "signature"]).select("page", "n")
+    often = signatures(every, depth).groupBy("page", "parent", "signature").agg(F.collect_list("n").alias("ns"))
+    return often.where(F.size("ns") >= least).select("page", F.explode("ns").alias("n"))
 
 
-def marked(every: DataFrame) -> DataFrame:
-    """page, n of the elements that say that they are cards."""
-    item = F.element_at("attrs", "itemscope").isNotNull() & attribute("itemtype").rlike("|".join(ITEM_TYPES))
-    return every.where((F.col("tag") != "#text") & (has_class(*CARD_CLASSES) | item)).select("page", "n")
+def is_card(x: Column) -> Column:
+    """Whether an element says that it is a card."""
+    item = F.element_at(x["attrs"], "itemscope").isNotNull() & attribute(x, "itemtype").rlike("|".join(ITEM_TYPES))
+    return (x["tag"] != "#text") & (has_class(x, *CARD_CLASSES) | item)
 
 
-def first_text(pages: DataFrame, cards: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-    """page, box_n and the text, as `name`, of the first of parts inside each card."""
-    first = inside(cards, parts.select("page", "n", "t0", "t1")).groupBy("page", "box_n").agg(F.min_by(F.struct("t0", "t1"), "n").alias("s"))
-    return with_text(pages, first.select("page", "box_n", F.col("s.t0").alias(f"{name}_t0"), F.col("s.t1").alias(f"{name}_t1")), name)
+def first_text(parts: Column | str, fits) -> Column:
+    """The text of the first of a card's parts that fits; null if none does."""
+    return said(first(F.filter(parts, fits)))
 
 
 def directory_cards(pages: DataFrame, key: str, url: str, markup: str, own_host: str = "", shapes: bool = False) -> DataFrame:
@@ -57,40 +56,42 @@ def directory_cards(pages: DataFrame, key: str, url: str, markup: str, own_host:
 
     A card needs a name and a link to a website on another host than own_host's; others are left out. The detail link names the
     record: its URL, and as identifier what stands behind its last hyphen; without one the page's URL does. shapes: also take
-    repeated blocks without a mark, whose name is then the text of their first heading, strong text or link.
-
-    Defined results: null markup has no cards; nested cards are records of their own; a page may repeat a card; a card without
-    category or place has null there."""
+    repeated blocks without a mark, whose name is then the text of their first heading, strong text or link; pages are read twice
+    then, once for the shapes.
+
+    A card's parts are one slice of its page's nodes. Defined results: null markup has no cards; nested cards are records of their
+    own; a page may repeat a card; a card without category or place has null there."""
+    prop = lambda x: F.lower(attribute(x, "itemprop"))
+    has_prop = lambda p: lambda x: prop(x) == p
+    linked = lambda x: (x["tag"] == "a") & F.element_at(x["attrs"], "href").isNotNull()
     read = read_pages(pages, key, url, markup)
-    every = nodes(read)
-    chosen = marked(every)
+    chosen = F.filter("nodes", is_card)
     if shapes:
-        chosen = chosen.unionByName(repeated(every)).distinct()
-    cards = every.join(chosen, ["page", "n"], "left_semi").select("page", "n", "last")
-    prop = F.lower(attribute("itemprop"))
-    elements = every.where("tag <> '#text'")
-    names = first_text(read, cards, elements.where(prop == "name"), "company_name")
+        alike = repeated(nodes(read)).groupBy("page").agg(F.collect_set("n").alias("shaped"))
+        read = read.join(alike, "page", "left")
+        chosen = F.filter("nodes", lambda x: is_card(x) | F.coalesce(F.array_contains("shaped", x["n"]), F.lit(False)))
+    cards = read.select("key", "url", "text", "nodes", F.explode(chosen).alias("card")).withColumn("parts", within(F.col("card")))
+    name = first_text("parts", lambda x: prop(x) == "name")
     if shapes:
-        other = first_text(read, cards, elements.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "a")), "_other")
-        names = names.join(other, ["page", "box_n"], "full").withColumn("company_name", F.coalesce("company_name", "_other")).drop("_other")
-    links = elements.where((F.col("tag") == "a") & F.element_at("attrs", "href").isNotNull())
+        name = F.coalesce(name, first_text("parts", tagged_as(*HEADINGS, "strong", "b", "a")))
     # The website's link holds a mark that says so, or is labelled so.
-    same_as = elements.where(prop == "sameas").select("page", F.get("up", F.lit(0)).alias("n"), F.col("n").alias("mark"))
-    marks = links.select("page", "n", attribute("href").alias("href")).join(same_as, ["page", "n"]).select("page", F.col("mark").alias("n"), F.lit(0).alias("how"), "href")
-    labelled = with_text(read, links.select("page", "n", attribute("href").alias("href"), F.col("t0").alias("label_t0"), F.col("t1").alias("label_t1")), "label").where(F.lower("label").isin(WEBSITE_LABELS)).select("page", "n", F.lit(1).alias("how"), "href")
-    sites = inside(cards, marks.unionByName(labelled)).groupBy("page", "box_n").agg(F.min_by("href", F.struct("how", "n")).alias("_site"))
-    titles = elements.where(has_class(TITLE_CLASS)).select("page", "n", "last")
-    titled = inside(titles, links.select("page", "n", attribute("href").alias("href"))).select("page", "n", "href")
-    details = inside(cards, titled.unionByName(links.where(prop == "url").select("page", "n", attribute("href").alias("href")))).groupBy("page", "box_n").agg(F.min_by("href", "n").alias("_detail"))
-    places = [first_text(read, cards, elements.where(prop == p.lower()), c) for p, c in (("addressLocality", "_locality"), ("addressRegion", "_region"))]
-    categories = first_text(read, cards, elements.where(has_class(*CATEGORY_CLASSES) | (prop == "category")), "category")
-    rows = names.join(sites, ["page", "box_n"])
-    for side in (details, *places, categories):
-        rows = rows.join(side, ["page", "box_n"], "left")
-    rows = rows.join(read.select("page", F.col("key").alias(key), "url"), "page")
-    site = absolute(F.col("_site"), F.col("url"))
-    detail = F.when(F.col("_detail").isNull(), F.col("url")).otherwise(absolute(F.col("_detail"), F.col("url")))
+    marks = F.filter("parts", lambda x: prop(x) == "sameas")
+    above = F.filter(F.transform(marks, lambda x: F.get("nodes", first(x["up"]))), lambda x: linked(x) & (x["n"] > F.col("card.n")))
+    labelled = F.filter("parts", lambda x: linked(x) & F.lower(said(x)).isin(WEBSITE_LABELS))
+    site = attribute(first(F.concat(above, labelled)), "href")
+    titled = F.flatten(F.transform(F.filter("parts", lambda x: has_class(x, TITLE_CLASS)), lambda t: F.filter(within(t), linked)))
+    details = F.concat(titled, F.filter("parts", lambda x: linked(x) & (prop(x) == "url")))
+    place = F.array_compact(F.array(*(F.nullif(first_text("parts", has_prop(p)), F.lit("")) for p in ("addresslocality", "addressregion"))))
+    rows = cards.select(
+        "key", "url", name.alias("company_name"), F.when(F.size(F.concat(above, labelled)) > 0, site).alias("site"), F.nullif(F.array_join(place, ", "), F.lit("")).alias("location"),
+        first_text("parts", lambda x: has_class(x, *CATEGORY_CLASSES) | (prop(x) == "category")).alias("category"), first(F.array_sort(F.transform(details, lambda x: F.struct(x["n"].alias("n"), attribute(x, "href").alias("href")))))["href"].alias("detail"),
+    )
+    whole = absolute(F.col("site"), F.col("url"))
+    detail = F.when(F.col("detail").isNull(), F.col("url")).otherwise(absolute(F.col("detail"), F.col("url")))
     identifier = F.element_at(F.split(F.regexp_replace(detail, "/+$", ""), "-"), -1)
-    whole = holds(site.rlike("^https?://")) & (F.lit(own_host == "") | ~F.lower(host(site)).contains(own_host.lower()))
-    location = F.nullif(F.concat_ws(", ", F.nullif("_locality", F.lit("")), F.nullif("_region", F.lit(""))), F.lit(""))
-    return rows.where(whole).select(key, "company_name", site.alias("website"), location.alias("location"), "category", detail.alias("source_url"), identifier.alias("identifier"))
+    fine = holds(F.col("company_name").isNotNull() & F.col("site").isNotNull() & whole.rlike("^https?://")) & (F.lit(own_host == "") | ~F.lower(host(whole)).contains(own_host.lower()))
+    return rows.where(fine).select(F.col("key").alias(key), "company_name", whole.alias("website"), "location", "category", detail.alias("source_url"), identifier.alias("identifier"))
+
+
+def tagged_as(*tags: str):
+    return lambda x: x["tag"].isin(*tags)

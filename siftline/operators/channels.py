@@ -1,20 +1,19 @@
 """Ways to reach a company that its pages show: addresses, people, forms and links to contact pages elsewhere (FN-62..FN-65).
 
-Everything is read from the node relation (`operators.nodes`): what an address is for follows from the element it stands
-in and the heading before it, not from the page at large.
+Everything is read from a page's nodes (`operators.nodes`): what an address is for follows from the element it stands in
+and the heading before it, not from the page at large. Pages are read once and their parts found in their own row; what
+moves are the narrow rows of found parts, to drop those that agree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contacts import NOT_FOR_CONTACT, channel_type
 from ..functions.people import people_said, person_nearby, plausible_name
 from ..functions.text import EMAIL, deobfuscated_emails, evidence_window, normal_email, role
-from .nodes import ancestors, attribute, covering_text, inside, nodes, preceding, read_pages, with_text
+from .nodes import HEADINGS, attribute, covering_text, first, holder, let, preceding, read_pages, said, span, within
 from .views import holds
 
 # Words of links to a contact page and of paths that aren't one; elements that hold a thing of its own, headings
@@ -22,7 +21,6 @@ from .views import holds
 CONTACT_LABELS = ["contact us", "contact", "partnership", "partnerships", "collaboration", "collaborations", "business inquiries", "contact sales"]
 OTHER_PATHS = ["accessibility", "privacy", "legal", "abuse", "careers", "jobs", "login", "sign-in", "subscribe", "newsletter"]
 HOLDERS = ["article", "li", "section", "div", "footer"]
-HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 STRONG = [*HEADINGS, "strong", "b"]
 CONTROLS = ["input", "textarea", "select", "button"]
 BUSINESSES = ["Organization", "LocalBusiness", "MedicalOrganization", "Corporation", "Store"]
@@ -61,119 +59,101 @@ def titled_role(text: Column) -> Column:
     return holds((F.length(text) <= TITLE) & ~role(text).isin("UNKNOWN", "OTHER"))
 
 
-def linked_mail(every: DataFrame) -> DataFrame:
-    """The links to an address, with email."""
-    href = attribute("href")
-    bare = F.split_part(F.regexp_replace(href, "^[^:]*:", ""), F.lit("?"), F.lit(1))
-    return every.where((F.col("tag") == "a") & F.lower(href).startswith("mailto:")).withColumn("email", normal_email(bare)).where("email IS NOT NULL")
-
-
-def holder(wanted: DataFrame, every: DataFrame, pages: DataFrame, near: int, fits: Column, else_far: int) -> DataFrame:
-    """wanted with box_n, box_last, box_t0, box_t1: the nearest of `near` ancestors `a` that fits, else the else_far-th, else the whole page."""
-    climbed = ancestors(wanted.select("page", "n", "up").distinct(), every, max(near, else_far))
-    order = F.when(fits & (F.col("far") <= near), F.col("far")).when(F.col("far") == else_far, F.lit(1000))
-    chosen = climbed.where(order.isNotNull()).groupBy("page", "n").agg(F.min_by("a", order).alias("_a"))
-    whole = pages.select("page", F.length("text").alias("_length"))
-    joined = wanted.join(chosen, ["page", "n"], "left").join(whole, "page")
-    of = {"n": F.lit(-1), "last": F.lit((1 << 31) - 1), "t0": F.lit(0), "t1": F.col("_length")}
-    return joined.select(*wanted.columns, *(F.coalesce(F.col("_a")[k], other).alias(f"box_{k}") for k, other in of.items()))
-
-
-def nearby_person(wanted: DataFrame, every: DataFrame, pages: DataFrame) -> DataFrame:
-    """wanted (page, n, email, box_*) with box (its text), name and title: a person named there whose mailbox it is, and their first short text with a role."""
-    read = with_text(pages, wanted.select("*", F.col("box_t0").alias("_b0"), F.col("box_t1").alias("_b1")), "box")
-    named = read.withColumn("name", person_nearby(F.substring("box", 1, 1200), F.col("email")))
-    around = named.where("name IS NOT NULL").select("page", F.col("box_n").alias("n"), F.col("box_last").alias("last")).distinct()
-    marks = every.where(F.col("tag").isin(STRONG)).select("page", "n", "t0", "t1")
-    # A box that is the whole page covers all of its places.
-    ends = every.groupBy("page").agg(F.max("last").alias("_end"))
-    boxes = around.join(ends, "page").select("page", F.greatest("n", F.lit(-1)).alias("n"), F.least("last", "_end").alias("last"))
-    shown = with_text(pages, inside(boxes, marks).select("page", "n", "box_n", F.col("t0").alias("title_t0"), F.col("t1").alias("title_t1")), "title")
-    titles = shown.where(titled_role(F.col("title"))).groupBy("page", "box_n").agg(F.min_by("title", "n").alias("title"))
-    return named.drop("_b0", "_b1").join(titles, ["page", "box_n"], "left").withColumn("title", F.when(F.col("name").isNotNull(), F.col("title")))
-
-
-def channel(place: Column, order: int, **fields) -> Column:
-    """A found channel; order and place say which of two rows came later."""
-    text = F.lit(None).cast("string")
-    shown = {name: fields.get(name, text) for name in ("email", "channel_type", "channel_url", "source_url", "name", "title", "evidence", "purpose")}
-    return F.struct(F.lit(order).alias("kind"), place.cast("long").alias("place"), *(v.alias(k) for k, v in shown.items()))
-
-
-def mail_channels(pages: DataFrame, every: DataFrame) -> DataFrame:
-    """page, c: channels of linked addresses, by the text of their element behind the heading before it."""
-    fits = F.col("a.tag").isin(HOLDERS) & (F.col("a.t1") - F.col("a.t0") <= HOLDS)
-    held = holder(linked_mail(every), every, pages, 6, fits, 1)
-    headed = preceding(held, every.where(F.col("tag").isin(HEADINGS)), "heading")
-    near = with_text(pages, nearby_person(headed, every, pages), "heading").join(pages.select("page", "url"), "page")
-    own = evidence_window(F.col("box"), F.col("email"), CONTEXT)
-    context = F.when(F.col("heading").isNull(), own).otherwise(F.substring(F.concat("heading", F.lit(" | "), own), 1, CONTEXT))
-    typed = near.withColumn("_context", context)
-    kind = F.when(F.col("name").isNotNull(), "NAMED_PERSON_EMAIL").otherwise(channel_type(F.col("_context"), F.col("email"), F.lit(False)))
-    return typed.select("page", channel(F.col("n"), 1, email=F.col("email"), channel_type=kind, channel_url=F.col("url"), name=F.col("name"), title=F.col("title"), evidence=F.col("_context"), purpose=F.substring("_context", 1, 500)).alias("c"))
-
-
-def visible_mail(pages: DataFrame, every: DataFrame) -> DataFrame:
-    """page, at (from 0), place (of the address among the page's), email of the addresses that a page's text shows, each once."""
-    found = pages.select("page", "text", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(EMAIL), 1))).alias("place", "raw"))
-    located = found.select("page", "place", (F.call_function("locate", F.lower("raw"), F.lower("text")) - 1).alias("at"), normal_email(F.col("raw")).alias("email"))
-    first = Window.partitionBy("page", "email").orderBy("place")
-    return located.where("email IS NOT NULL").withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-
-
-def shown_channels(pages: DataFrame, every: DataFrame, known: DataFrame) -> DataFrame:
-    """page, c: channels of addresses in a page's text, besides known (page, email), by the element around their text."""
-    fresh = visible_mail(pages, every).join(known, ["page", "email"], "left_anti")
-    fits = F.col("a.tag").isin(HOLDERS)
-    held = holder(covering_text(fresh, every).where("n IS NOT NULL"), every, pages, 4, fits, 5)
-    near = nearby_person(held, every, pages).join(pages.select("page", "url"), "page")
-    context = evidence_window(F.col("box"), F.col("email"), CONTEXT)
-    kind = F.when(F.col("name").isNotNull(), "NAMED_PERSON_EMAIL").otherwise(channel_type(context, F.col("email"), F.lit(False)))
-    typed = near.withColumn("_kind", kind).where("_kind <> 'OTHER'")
-    return typed.select("page", channel(F.col("place"), 3, email=F.col("email"), channel_type=F.col("_kind"), channel_url=F.col("url"), name=F.col("name"), title=F.col("title"), evidence=context, purpose=F.substring(context, 1, 500)).alias("c"))
-
-
-def spelt_channels(pages: DataFrame) -> DataFrame:
-    """page, c: channels of addresses that are spelt out; what they are for is said by their mailbox and the page's URL."""
-    found = pages.select("page", "url", F.posexplode(deobfuscated_emails(F.col("text"))).alias("place", "raw")).withColumn("email", normal_email(F.col("raw"))).where("email IS NOT NULL")
-    kind = channel_type(F.substring(F.concat_ws(" ", "email", "url"), 1, CONTEXT), F.col("email"), F.lit(False))
-    return found.select("page", channel(F.col("place"), 2, email=F.col("email"), channel_type=kind, channel_url=F.col("url"), evidence=F.col("raw"), purpose=F.col("raw")).alias("c"))
-
-
-def stated_channels(pages: DataFrame) -> DataFrame:
-    """page, c: channels of addresses in structured data."""
-    found = pages.select("page", "url", F.posexplode("things").alias("place", "t")).withColumn("email", normal_email(F.col("t.email"))).where("email IS NOT NULL")
-    person = F.array_contains("t.types", "Person")
-    said = channel_type(F.col("t.evidence"), F.col("email"), F.lit(False))
-    business = F.arrays_overlap("t.types", F.array(*map(F.lit, BUSINESSES)))
-    kind = F.when(person, "NAMED_PERSON_EMAIL").when((said == "OTHER") & business, "GENERAL_BUSINESS_EMAIL").otherwise(said)
-    return found.select("page", channel(F.col("place"), 4, email=F.col("email"), channel_type=kind, channel_url=F.col("url"), name=F.when(person, F.col("t.name")), evidence=F.col("t.evidence"), purpose=F.col("t.purpose")).alias("c"))
-
-
-def form_channels(pages: DataFrame, every: DataFrame) -> DataFrame:
-    """page, c: forms that ask for an address or a message, and say that they are for contact."""
-    forms = every.where("tag = 'form'").select("page", "n", "last", "t0", "t1", attribute("action").alias("action"))
-    named = F.concat_ws(" ", attribute("name"), attribute("id"), attribute("placeholder"))
-    asks = ((F.col("tag") == "input") & ((F.lower(attribute("type")) == "email") | F.lower(attribute("name")).contains("email"))) | ((F.col("tag") == "textarea") & F.lower(attribute("name")).contains("message"))
-    controls = every.where(F.col("tag").isin(CONTROLS)).select("page", "n", named.alias("said"), asks.alias("asks"))
-    fields = inside(forms, controls).groupBy("page", F.col("box_n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "said"))).alias("fields"), F.max("asks").alias("asks"))
-    asking = forms.join(fields.where("asks"), ["page", "n"]).withColumn("said", F.lower(F.array_join(F.transform("fields", lambda f: f["said"]), " "))).drop("fields", "asks")
-    headed = preceding(asking.withColumn("label_t0", F.col("t0")).withColumn("label_t1", F.col("t1")), every.where(F.col("tag").isin(HEADINGS[:4])), "heading")
-    read = with_text(pages, headed, "label", "heading").join(pages.select("page", "url"), "page")
-    context = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("heading", "label", "said")))
-    typed = read.withColumn("_said", context).where(~F.lower("_said").rlike(NOT_FOR_CONTACT)).withColumn("_context", F.substring(F.concat_ws(" ", "_said", "url"), 1, 1800))
-    typed = typed.withColumn("_kind", channel_type(F.col("_context"), F.lit(None).cast("string"), F.lit(True))).where("_kind <> 'OTHER'")
-    return typed.select("page", channel(F.col("n"), 5, channel_type=F.col("_kind"), channel_url=absolute(F.col("action"), F.col("url")), source_url=F.col("url"), evidence=F.substring("_context", 1, 1200), purpose=F.substring("_context", 1, 500)).alias("c"))
-
-
-def link_channels(pages: DataFrame, every: DataFrame) -> DataFrame:
-    """page, c: links to another host whose label says contact."""
-    links = every.where((F.col("tag") == "a") & (attribute("href") != "")).select("page", "n", attribute("href").alias("href"), F.col("t0").alias("label_t0"), F.col("t1").alias("label_t1"))
-    away = links.where(F.col("href").rlike("(?i)^(https?:)?//"))  # others stay on the page's host
-    read = with_text(pages, away, "label").join(pages.select("page", "url"), "page").withColumn("_to", absolute(F.col("href"), F.col("url")))
-    path = F.regexp_extract("_to", r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    fine = words_in(F.col("label"), CONTACT_LABELS) & F.col("_to").rlike("(?i)^https?://") & ~F.lower(path).rlike("|".join(OTHER_PATHS)) & ~host(F.col("_to")).eqNullSafe(host(F.col("url")))
-    return read.where(holds(fine)).select("page", channel(F.col("n"), 6, channel_type=F.lit("CONTACT_FORM"), channel_url=F.col("_to"), source_url=F.col("url"), evidence=F.col("label"), purpose=F.col("label")).alias("c"))
+def tagged(*tags: str):
+    return lambda x: x["tag"].isin(*tags)
+
+
+#: What a page may show, in one shape. kind and place: where it was found, which orders what agrees; box: the element around it
+#: or the thing itself; head: the heading before it; said: what is known without the page's text.
+FOUND = "struct<kind:int,place:long,email:string,box:struct<n:int,last:int,t0:int,t1:int>,head:struct<t0:int,t1:int>,said:string,target:string,name:string,types:array<string>>"
+MAIL, SPELT, SHOWN, STATED, FORM, LINK = range(1, 7)
+
+
+def found(kind: int, place: Column, **fields) -> Column:
+    """A FOUND."""
+    null = F.lit(None)
+    return F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place"), *(fields.get(n, null).alias(n) for n in ("email", "box", "head", "said", "target", "name", "types"))).cast(FOUND)
+
+
+def mail_of(node: Column) -> Column:
+    """The address of a link to one; null if it isn't one."""
+    bare = F.split_part(F.regexp_replace(attribute(node, "href"), "^[^:]*:", ""), F.lit("?"), F.lit(1))
+    return normal_email(bare)
+
+
+def linked_mail() -> Column:
+    """Links to addresses among a page's nodes."""
+    return F.filter("nodes", lambda x: (x["tag"] == "a") & F.lower(attribute(x, "href")).startswith("mailto:") & mail_of(x).isNotNull())
+
+
+def in_holder(tags: list[str], most: int | None = None):
+    return lambda a: a["tag"].isin(tags) & (F.lit(True) if most is None else a["t1"] - a["t0"] <= most)
+
+
+def around(mark: Column) -> Column:
+    """From where to where a heading's text stands."""
+    return let(mark, lambda m: F.struct(m["t0"].alias("t0"), m["t1"].alias("t1")))
+
+
+def mail_found(near: int, most: int | None) -> Column:
+    return F.transform(linked_mail(), lambda m: found(MAIL, m["n"], email=mail_of(m), box=holder(m, near, in_holder(HOLDERS, most), 1), head=around(preceding(m, "heads"))))
+
+
+def shown_found(near: int) -> Column:
+    """Addresses in a page's text, each once, where they first stand."""
+    raw = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(EMAIL), 1), normal_email))
+    placed = F.transform(F.filter(raw, lambda m: m.isNotNull()), lambda m: F.struct(m.alias("email"), (F.call_function("locate", m, F.lower("text")) - 1).alias("at")))
+    stood = F.transform(placed, lambda p: F.struct(p["email"].alias("email"), covering_text(p["at"]).alias("node")))
+    return F.transform(stood, lambda p, k: found(SHOWN, k, email=p["email"], box=let(p["node"], lambda x: holder(x, near, in_holder(HOLDERS), near + 1))))
+
+
+def spelt_found() -> Column:
+    spelt = F.transform(deobfuscated_emails(F.col("text")), normal_email)
+    return F.transform(F.filter(spelt, lambda m: m.isNotNull()), lambda m, k: found(SPELT, k, email=m, said=m))
+
+
+def stated_found() -> Column:
+    stated = F.filter("things", lambda t: normal_email(t["email"]).isNotNull())
+    return F.transform(stated, lambda t, k: found(STATED, k, email=normal_email(t["email"]), said=t["evidence"], target=t["purpose"], name=F.when(F.array_contains(t["types"], "Person"), t["name"]), types=t["types"]))
+
+
+def asks(x: Column) -> Column:
+    """Whether a control asks for an address or a message."""
+    name = F.lower(attribute(x, "name"))
+    return ((x["tag"] == "input") & ((F.lower(attribute(x, "type")) == "email") | name.contains("email"))) | ((x["tag"] == "textarea") & name.contains("message"))
+
+
+def form_found() -> Column:
+    asking = F.filter("nodes", lambda f: (f["tag"] == "form") & F.exists(within(f), asks))
+    named = lambda x: F.concat_ws(" ", attribute(x, "name"), attribute(x, "id"), attribute(x, "placeholder"))
+    fields = lambda f: F.lower(F.array_join(F.transform(F.filter(within(f), tagged(*CONTROLS)), named), " "))
+    upper = F.filter("heads", tagged(*HEADINGS[:4]))
+    return F.transform(asking, lambda f: found(FORM, f["n"], box=span(f["t0"], f["t1"], f["n"], f["last"]), head=around(preceding(f, upper)), said=fields(f), target=attribute(f, "action")))
+
+
+def link_found() -> Column:
+    away = F.filter("nodes", lambda x: (x["tag"] == "a") & attribute(x, "href").rlike("(?i)^(https?:)?//"))  # others stay on the page's host
+    return F.transform(away, lambda x: found(LINK, x["n"], box=span(x["t0"], x["t1"], x["n"], x["last"]), target=attribute(x, "href")))
+
+
+def parts_found(pages: DataFrame, *parts: Column) -> DataFrame:
+    """page, key, url and a FOUND's fields, with the box's and the heading's text, the person named in the box whose mailbox it is, and their title.
+
+    A page's parts are worked out in its own row; then each is a row of its own."""
+    marked = pages.withColumn("heads", F.filter("nodes", tagged(*HEADINGS)))
+    rows = marked.withColumn("f", F.explode(F.concat(*parts))).select("page", "key", "url", "f.*", said(F.col("f.box")).alias("box_text"), said(F.col("f.head")).alias("heading"),
+        F.when(F.col("f.kind").isin(MAIL, SHOWN), F.transform(F.filter(within(F.col("f.box")), tagged(*STRONG)), lambda x: said(x))).alias("strong"))
+    mailed = F.col("kind").isin(MAIL, SHOWN)
+    named = rows.withColumn("_who", person_nearby(F.when(mailed, F.substring("box_text", 1, 1200)), F.when(mailed, F.col("email"))))
+    title = F.when(F.col("_who").isNotNull(), first(F.filter("strong", titled_role)))
+    return named.withColumn("name", F.coalesce("name", "_who")).withColumn("title", title).drop("_who", "strong", "box", "head")
+
+
+def without_known(rows: DataFrame, known: list[int]) -> DataFrame:
+    """rows without shown addresses that a part of a known kind has as well."""
+    others = Window.partitionBy("page", "email")
+    seen = F.max(F.when(F.col("kind").isin(known), True)).over(others)
+    return rows.withColumn("_seen", F.coalesce(seen, F.lit(False))).where(~((F.col("kind") == SHOWN) & F.col("_seen"))).drop("_seen")
 
 
 def page_channels(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
@@ -186,43 +166,59 @@ def page_channels(pages: DataFrame, key: str, url: str, markup: str) -> DataFram
 
     Defined results: null or empty markup has no channels; rows that repeat a key are pages of their own; a null URL leaves
     channel_url null, or relative links as they are; pages of any length are read whole."""
-    read = read_pages(pages, key, url, markup)
-    every = nodes(read)
-    mail, spelt = mail_channels(read, every), spelt_channels(read)
-    known = mail.unionByName(spelt).select("page", "c.email").distinct()
-    found = reduce(DataFrame.unionByName, [mail, spelt, shown_channels(read, every, known), stated_channels(read), form_channels(read, every), link_channels(read, every)])
-    last = found.groupBy("page", "c.email", "c.channel_type", "c.channel_url").agg(F.max_by("c", F.struct("c.kind", "c.place")).alias("c"))
-    return last.join(read.select("page", F.col("key").alias(key)), "page").select(key, "c.*").drop("kind", "place")
-
-
-def person_cards(pages: DataFrame, every: DataFrame) -> DataFrame:
-    """page, n, name, title of people whom a heading, strong text or element of class name names, with a role beside it."""
-    kinds = F.lower(attribute("class"))
-    named = F.array_contains(F.split(kinds, r"\s+"), "name") | kinds.endswith("-name") | kinds.endswith("__name")
-    wanted = every.where(F.col("tag").isin(STRONG) | ((F.col("tag") != "#text") & named))
-    boxes = every.select(F.col("page").alias("_page"), F.col("n").alias("_n"), F.lower(F.concat_ws(" ", attribute("id"), attribute("class"))).alias("_mark"))
-    kept = wanted.join(boxes, (F.col("page") == F.col("_page")) & (F.col("box") == F.col("_n")), "left").where(~F.coalesce(F.col("_mark").rlike("|".join(NOT_STAFF)), F.lit(False)))
-    marked = kinds.rlike(r"(?:^|[\s_-])name(?:$|[\s_-])")
-    cards = kept.select("page", "n", "box", "before", "after", marked.alias("marked"), F.col("t0").alias("name_t0"), F.col("t1").alias("name_t1"))
-    cards = with_text(pages, cards, "name").where(plausible_name(F.col("name")))
-    beside = cards.select("page", "n", "name", F.posexplode(F.array("before", "after")).alias("pos", "m")).where("m >= 0")
-    parts = every.where(F.col("tag").isin("p", "strong", "b", "span")).select("page", F.get("up", F.lit(0)).alias("box"), F.col("n").alias("m"))
-    among = cards.where("marked AND box >= 0").join(parts, ["page", "box"]).select("page", "n", "name", (F.col("m") + 2).alias("pos"), "m")
-    places = every.select("page", F.col("n").alias("m"), F.col("t0").alias("title_t0"), F.col("t1").alias("title_t1"))
-    tried = with_text(pages, beside.unionByName(among).where("m <> n").join(places, ["page", "m"]), "title")
-    return tried.where(titled_role(F.col("title"))).groupBy("page", "n", "name").agg(F.min_by("title", "pos").alias("title"))
-
-
-def spoken_people(pages: DataFrame, every: DataFrame) -> DataFrame:
-    """page, name, title, place of the people whom a page's sentences name, outside what customers and authors say."""
-    others = every.where(F.lower(attribute("class")).rlike("|".join(NOT_SPEAKING)) & (F.col("tag") != "#text")).select("page", "n", "last")
-    texts = every.where("tag = '#text'").select("page", "n", F.col("t0").alias("said_t0"), F.col("t1").alias("said_t1"))
-    marked = pages.join(others.select("page").distinct(), "page", "left_semi")  # only these pages are put together anew
-    silent = inside(others, texts).select("page", "n").distinct()
-    left = with_text(marked, texts.join(silent, ["page", "n"], "left_anti"), "said")
-    spoken = left.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), " ").alias("text"))
-    whole = pages.join(others.select("page").distinct(), "page", "left_anti").select("page", "text").unionByName(spoken)
-    return whole.select("page", F.posexplode(people_said(F.col("text"))).alias("place", "p")).select("page", "place", "p.name", "p.title")
+    rows = parts_found(read_pages(pages, key, url, markup), mail_found(6, HOLDS), spelt_found(), shown_found(4), stated_found(), form_found(), link_found())
+    kind, none, no = F.col("kind"), F.lit(None).cast("string"), F.lit(False)
+    own = evidence_window(F.col("box_text"), F.col("email"), CONTEXT)
+    filled = lambda *names: F.concat_ws(" ", *(F.nullif(n, F.lit("")) for n in names))
+    context = (
+        F.when((kind == MAIL) & F.col("heading").isNotNull(), F.substring(F.concat("heading", F.lit(" | "), own), 1, CONTEXT))
+        .when(kind.isin(MAIL, SHOWN), own)
+        .when(kind == FORM, F.substring(filled("heading", "box_text", "said", "url"), 1, 1800))
+        .when(kind == LINK, F.col("box_text"))
+        .otherwise(F.col("said"))
+    )
+    target = F.when(kind.isin(FORM, LINK), absolute(F.col("target"), F.col("url"))).otherwise(F.col("url"))
+    rows = rows.withColumn("_context", context).withColumn("channel_url", target)
+    about = F.when(kind == SPELT, F.substring(F.concat_ws(" ", "said", "url"), 1, CONTEXT)).otherwise(F.col("_context"))
+    said_type = channel_type(about, F.col("email"), kind == FORM)
+    path = F.regexp_extract("channel_url", r"^[^:]+://[^/?#]*([^?#]*)", 1)
+    leads = words_in(F.col("box_text"), CONTACT_LABELS) & F.col("channel_url").rlike("(?i)^https?://") & ~F.lower(path).rlike("|".join(OTHER_PATHS)) & ~host(F.col("channel_url")).eqNullSafe(host(F.col("url")))
+    business = F.arrays_overlap("types", F.array(*map(F.lit, BUSINESSES)))
+    typed = (
+        F.when(kind == LINK, F.when(holds(leads), "CONTACT_FORM").otherwise("OTHER"))
+        .when((kind == STATED) & F.array_contains("types", "Person"), "NAMED_PERSON_EMAIL")
+        .when((kind == STATED) & business & (said_type == "OTHER"), "GENERAL_BUSINESS_EMAIL")
+        .when(kind.isin(MAIL, SHOWN) & F.col("name").isNotNull(), "NAMED_PERSON_EMAIL")
+        .when((kind == FORM) & F.lower(filled("heading", "box_text", "said")).rlike(NOT_FOR_CONTACT), "OTHER")
+        .otherwise(said_type)
+    )
+    kept = without_known(rows.withColumn("channel_type", typed), [MAIL, SPELT]).where(~(kind.isin(SHOWN, FORM, LINK) & (F.col("channel_type") == "OTHER")))
+    purpose = F.when(kind == STATED, F.col("target")).otherwise(F.substring("_context", 1, 500))
+    shown = {"email": F.col("email"), "channel_type": F.col("channel_type"), "channel_url": F.col("channel_url"), "source_url": F.when(kind.isin(FORM, LINK), F.col("url")), "name": F.col("name"), "title": F.col("title"), "evidence": F.substring("_context", 1, 1200), "purpose": purpose}
+    last = kept.groupBy("page", "key", "email", "channel_type", "channel_url").agg(F.max_by(F.struct(*(c.alias(n) for n, c in shown.items())), F.struct("kind", "place")).alias("c"))
+    return last.select(F.col("key").alias(key), "c.*")
+
+
+def person_cards() -> Column:
+    """n, name, title of the people whom a heading, strong text or element of class name names, with a role beside it."""
+    kinds = lambda x: F.lower(attribute(x, "class"))
+    named = lambda x: F.array_contains(F.split(kinds(x), r"\s+"), "name") | kinds(x).endswith("-name") | kinds(x).endswith("__name")
+    box = lambda x: F.get("nodes", x["box"])
+    staff = lambda x: ~F.coalesce(F.lower(F.concat_ws(" ", attribute(box(x), "id"), attribute(box(x), "class"))).rlike("|".join(NOT_STAFF)), F.lit(False))
+    wanted = F.filter("nodes", lambda x: (x["tag"].isin(STRONG) | ((x["tag"] != "#text") & named(x))) & plausible_name(said(x)) & staff(x))
+    beside = lambda x: F.transform(F.filter(F.array(x["before"], x["after"]), lambda i: i >= 0), lambda i: F.get("nodes", i))
+    parts = lambda x: F.filter(within(box(x)), lambda y: y["tag"].isin("p", "strong", "b", "span") & (first(y["up"]) == x["box"]) & (y["n"] != x["n"]))
+    marked = lambda x: kinds(x).rlike(r"(?:^|[\s_-])name(?:$|[\s_-])") & (x["box"] >= 0)
+    texts = lambda x: F.concat(F.transform(beside(x), lambda y: said(y)), F.when(marked(x), F.transform(parts(x), lambda y: said(y))).otherwise(F.array().cast("array<string>")))
+    cards = F.transform(wanted, lambda x: F.struct(x["n"].alias("n"), said(x).alias("name"), first(F.filter(texts(x), titled_role)).alias("title")))
+    return F.filter(cards, lambda c: c["title"].isNotNull())
+
+
+def spoken_text() -> tuple[Column, Column]:
+    """The elements in which customers and authors speak, for the column _others; a page's text without what is said there."""
+    others = F.filter("nodes", lambda x: (x["tag"] != "#text") & F.lower(attribute(x, "class")).rlike("|".join(NOT_SPEAKING)))
+    texts = F.filter("nodes", lambda x: (x["tag"] == "#text") & ~F.exists("_others", lambda o: (o["n"] < x["n"]) & (x["n"] <= o["last"])))
+    return others, F.when(F.size("_others") == 0, F.col("text")).otherwise(F.array_join(F.transform(texts, lambda x: said(x)), " "))
 
 
 def contact_evidence(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
@@ -232,16 +228,17 @@ def contact_evidence(pages: DataFrame, key: str, url: str, markup: str) -> DataF
     shown, then people with a role but no address. Facts that agree in name, address and role count once; shown addresses only if
     not known yet. Defined results: as those of page_channels."""
     read = read_pages(pages, key, url, markup)
-    every = nodes(read)
-    none = F.lit(None).cast("string")
-    stated = read.select("page", F.posexplode("things").alias("place", "t")).select("page", F.lit(1).alias("kind"), "place", none.alias("name"), none.alias("title"), normal_email(F.col("t.email")).alias("email")).where("email IS NOT NULL")
-    linked = nearby_person(holder(linked_mail(every), every, read, 5, F.col("a.tag").isin(HOLDERS), 1), every, read)
-    linked = linked.select("page", F.lit(2).alias("kind"), F.col("n").alias("place"), "name", "title", "email")
-    known = stated.unionByName(linked).select("page", "email").distinct()
-    shown = visible_mail(read, every).join(known, ["page", "email"], "left_anti").select("page", F.lit(3).alias("kind"), "place", none.alias("name"), none.alias("title"), "email")
-    cards = person_cards(read, every).select("page", F.lit(4).alias("kind"), F.col("n").alias("place"), "name", "title", none.alias("email"))
-    spoken = spoken_people(read, every).select("page", F.lit(5).alias("kind"), "place", "name", "title", none.alias("email"))
-    found = reduce(DataFrame.unionByName, [stated, linked, shown, cards, spoken])
-    first = found.groupBy("page", F.lower("name").alias("_name"), F.col("email").alias("_email"), role(F.col("title")).alias("_role")).agg(F.min_by(F.struct("name", "title", "email", "kind"), F.struct("kind", "place")).alias("c"))
+    others, spoken = spoken_text()
+    cards = F.transform(person_cards(), lambda p, k: found(FORM, k, name=p["name"], said=p["title"]))
+    sentences = F.array(found(LINK, F.lit(0), said=spoken))  # a page's, as one part
+    rows = parts_found(read.withColumn("_others", others), stated_found(), mail_found(5, None), shown_found(4), cards, sentences)
+    said_by = rows.withColumn("_people", people_said(F.when(F.col("kind") == LINK, F.col("said"))))
+    rows = said_by.select("*", F.posexplode_outer("_people").alias("_k", "_p")).where((F.col("kind") != LINK) | F.col("_p").isNotNull())
+    sentence, card = F.col("kind") == LINK, F.col("kind") == FORM
+    facts = without_known(rows, [STATED, MAIL]).withColumn("place", F.coalesce("_k", "place"))
+    facts = facts.withColumn("title", F.when(sentence, F.col("_p.title")).when(card, F.col("said")).otherwise(F.col("title")))
+    facts = facts.withColumn("name", F.when(sentence, F.col("_p.name")).when(card | (F.col("kind") == MAIL), F.col("name")))
+    order = F.when(F.col("kind") == STATED, 0).otherwise(F.col("kind"))
+    once = facts.groupBy("page", "key", "url", F.lower("name").alias("_name"), F.col("email").alias("_email"), role(F.col("title")).alias("_role")).agg(F.min_by(F.struct("name", "title", "email"), F.struct(order, F.col("place"))).alias("c"))
     kind = F.when(F.col("c.name").isNotNull(), "PERSON").otherwise("GENERIC_BUSINESS_CONTACT")
-    return first.join(read.select("page", F.col("key").alias(key), "url"), "page").select(key, "c.name", "c.title", "c.email", kind.alias("contact_type"), F.col("url").alias("source_url"))
+    return once.select(F.col("key").alias(key), "c.*", kind.alias("contact_type"), F.col("url").alias("source_url"))

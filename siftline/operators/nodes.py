@@ -1,27 +1,28 @@
-"""A page as a relation of nodes, and the structural joins over it.
+"""Pages as numbered nodes, and what lies around and inside them.
 
-`read_pages` reads markup once (functions.dom) and writes a row for each page; `nodes` is the relation: a row for each
-element and text with its place n, the last place inside (last), and from where to where its text stands in the page's.
-Containment is an interval: x is inside y where y.n < x.n <= y.last. The joins below are equi-joins on page and place, a
-range join on a grid of places, or one ordered pass over a page's nodes; none pairs a page's nodes with one another.
+`read_pages` reads markup once (functions.dom), a row for each page. Its nodes stand in document order, so a node's number is
+its place in the array: an ancestor is found by its number, and what is inside a node is one slice, from n + 1 to last. All that
+a page says of itself is worked out in its own row; nothing moves between tasks. `nodes` is the same as a relation, a row for each
+node, for what compares nodes with one another.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.dom import PAGE, reader
-from ..sources.scratch import written
+
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
 def read_pages(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
-    """page (a number of its own), key, url, text, nodes, things of each row of pages; a stored table. Rows that repeat a key stay apart."""
+    """page (a number of its own), key, url, text, nodes, things of each row of pages. Rows that repeat a key stay apart."""
     rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(markup).cast("string").alias("markup"))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(PAGE).fields])
-    return written(rows.mapInArrow(reader(to_arrow_schema(schema)), schema), "pages")
+    return rows.mapInArrow(reader(to_arrow_schema(schema)), schema)
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -29,52 +30,53 @@ def nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page", F.inline("nodes"))
 
 
-def attribute(name: str) -> Column:
+def attribute(node: Column, name: str) -> Column:
     """An attribute's value; empty where a node has none."""
-    return F.coalesce(F.element_at("attrs", name), F.lit(""))
+    return F.coalesce(F.element_at(node["attrs"], name), F.lit(""))
+
+
+def within(node: Column, every: Column | str = "nodes") -> Column:
+    """The nodes inside a node, in order."""
+    return F.slice(every, node["n"] + 2, node["last"] - node["n"])
+
+
+def said(node: Column, text: Column | str = "text") -> Column:
+    """A node's text."""
+    return F.substring(text, node["t0"] + 1, node["t1"] - node["t0"])
+
+
+def first(values: Column) -> Column:
+    return F.get(values, F.lit(0))
 
 
-def with_text(pages: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
-    """spans with the page's text from name_t0 to name_t1 as `name`, for each of the names; where they are null, null."""
-    joined = spans.join(pages.select("page", F.col("text").alias("_text")), "page")
-    for name in names:
-        joined = joined.withColumn(name, F.substring("_text", F.col(f"{name}_t0") + 1, F.col(f"{name}_t1") - F.col(f"{name}_t0")))
-    return joined.drop("_text", *(f"{name}_t{k}" for name in names for k in (0, 1)))
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return first(F.transform(F.array(value), lambda x: body(x)))
 
 
-def ancestors(wanted: DataFrame, every: DataFrame, most: int) -> DataFrame:
-    """wanted (page, n, up, ...) with far (1: the parent) and `a`, the ancestor's node, a row for each of the `most` nearest."""
-    climbing = wanted.select("*", F.posexplode(F.slice("up", 1, most)).alias("far", "_at")).withColumn("far", F.col("far") + 1)
-    return climbing.join(every.select(F.col("page").alias("_page"), F.col("n").alias("_n"), F.struct("n", "last", "tag", "t0", "t1", "up").alias("a")), (F.col("page") == F.col("_page")) & (F.col("_at") == F.col("_n"))).drop("_page", "_n", "_at")
+def ancestors(node: Column, most: int, every: Column | str = "nodes") -> Column:
+    """The nearest ancestors of a node, nearest first."""
+    return F.transform(F.slice(node["up"], 1, most), lambda at: F.get(every, at))
 
 
-def preceding(wanted: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-    """wanted (page, n, ...) with name_t0 and name_t1 of the last of marks (page, n, t0, t1) that begins before it; null if none does.
+def span(t0: Column, t1: Column, n: Column, last: Column) -> Column:
+    return F.struct(n.alias("n"), last.alias("last"), t0.alias("t0"), t1.alias("t1"))
 
-    One ordered pass over the two sides of a page together."""
-    columns = wanted.columns
-    mark = F.struct("t0", "t1")
-    both = wanted.select("page", F.col("n").alias("_n"), F.struct(*columns).alias("_row"), F.lit(None).cast("struct<t0:int,t1:int>").alias("_mark"))
-    both = both.unionByName(marks.select("page", F.col("n").alias("_n"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), mark.alias("_mark")))
-    before = F.last("_mark", ignorenulls=True).over(Window.partitionBy("page").orderBy("_n").rangeBetween(Window.unboundedPreceding, -1))
-    return both.withColumn("_before", before).where("_row IS NOT NULL").select("_row.*", F.col("_before.t0").alias(f"{name}_t0"), F.col("_before.t1").alias(f"{name}_t1"))
 
+def holder(node: Column, near: int, fits, else_far: int, every: Column | str = "nodes", text: Column | str = "text") -> Column:
+    """n, last, t0, t1 of the nearest of `near` ancestors that fits, else of the else_far-th, else of the whole page."""
+    spanned = lambda a: span(a["t0"], a["t1"], a["n"], a["last"])
+    fitting = F.transform(F.filter(ancestors(node, near, every), fits), spanned)
+    other = F.transform(F.slice(node["up"], else_far, 1), lambda at: spanned(F.get(every, at)))
+    whole = F.array(span(F.lit(0), F.length(text).cast("int"), F.lit(-1), F.size(every).cast("int") - 1))
+    return first(F.concat(fitting, other, whole))
 
-def covering_text(wanted: DataFrame, every: DataFrame) -> DataFrame:
-    """wanted (page, at, ...) with n and up of the text node in which the page's character `at` stands."""
-    columns = wanted.columns
-    both = wanted.select("page", F.col("at").alias("_at"), F.lit(1).alias("_kind"), F.struct(*columns).alias("_row"), F.lit(None).cast("struct<n:int,up:array<int>>").alias("_text"))
-    texts = every.where("tag = '#text'")
-    both = both.unionByName(texts.select("page", F.col("t0").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.struct("n", "up").alias("_text")))
-    last = F.last("_text", ignorenulls=True).over(Window.partitionBy("page").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_text", last).where("_row IS NOT NULL").select("_row.*", F.col("_text.n").alias("n"), F.col("_text.up").alias("up"))
 
+def preceding(node: Column, marks: Column | str) -> Column:
+    """The last of marks (nodes in order) that begins before a node; null if none does."""
+    return let(F.filter(marks, lambda m: m["n"] < node["n"]), lambda before: F.get(before, F.size(before) - 1))
 
-def inside(boxes: DataFrame, parts: DataFrame, width: int = 64) -> DataFrame:
-    """parts (page, n, ...) with box_n, a row for each of boxes (page, n, last) around them.
 
-    Places are laid on a grid: a box covers its cells, a part stands in one, and only those that share a cell are tried."""
-    covers = F.explode(F.sequence(F.expr(f"n div {width}"), F.expr(f"last div {width}")))
-    around = boxes.select("page", covers.alias("_cell"), F.col("n").alias("box_n"), F.col("last").alias("_last"))
-    met = parts.withColumn("_cell", F.expr(f"n div {width}")).join(around, ["page", "_cell"])
-    return met.where("box_n < n AND n <= _last").drop("_cell", "_last")
+def covering_text(at: Column, every: Column | str = "nodes") -> Column:
+    """The text node in which the page's character `at` (from 0) stands."""
+    return first(F.filter(every, lambda x: (x["tag"] == "#text") & (x["t0"] <= at) & (at < x["t1"])))

@@ -102,10 +102,11 @@ def repeated_blocks(t: Tables) -> DataFrame:
     from ..operators import nodes
 
     read = nodes.read_pages(t.pages, "page_id", "url", "html")
-    every = nodes.nodes(read)
-    blocks = every.join(cards.repeated(every), ["page", "n"], "left_semi").where("tag = 'li'").select("page", "n", "last")
-    links = nodes.inside(blocks, every.where("tag = 'a'").select("page", "n", nodes.attribute("href").alias("link")))
-    return links.join(read.select("page", F.col("key").alias("page_id")), "page").groupBy("page_id", "link").agg(F.count("*").alias("times"))
+    every = nodes.nodes(read.select("page", "nodes"))
+    alike = cards.repeated(every).groupBy("page").agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    blocks = read.join(alike, "page").select("key", "nodes", F.explode("ns").alias("n")).withColumn("block", F.get("nodes", F.col("n"))).where("block.tag = 'li'")
+    links = blocks.select(F.col("key").alias("page_id"), F.explode(F.filter(nodes.within(F.col("block")), lambda x: x["tag"] == "a")).alias("a"))
+    return links.groupBy("page_id", nodes.attribute(F.col("a"), "href").alias("link")).agg(F.count("*").alias("times"))
 
 
 _NAME = r"([A-Za-z][A-Za-z''’-]{1,30}\s+[A-Za-z][A-Za-z''’-]{1,30})"

@@ -77,19 +77,17 @@ def test_nodes_are_nested_intervals(parts):
             assert x["before"] == (siblings[k - 1] if k else -1) and x["after"] == (siblings[k + 1] if k + 1 < len(siblings) else -1)
 
 
-def test_structural_joins(spark):
+def test_structure_of_pages(spark):
     markup = "<h1>Top</h1><div>one<p>two <b>three</b></p></div><h2>Low</h2><p>four</p>"
     read = nodes.read_pages(spark.createDataFrame([(7, "u", markup), (7, "u", "<p>four</p>"), (8, "u", None)], "id int, u string, h string"), "id", "u", "h")
-    every = nodes.nodes(read)
-    assert read.select("page").distinct().count() == 3
-    wanted = every.where("tag IN ('b', 'p')")
-    headed = nodes.with_text(read, nodes.preceding(wanted, every.where("tag IN ('h1', 'h2')"), "heading"), "heading")
-    assert sorted((r.tag, r.heading or "") for r in headed.collect()) == [("b", "Top"), ("p", ""), ("p", "Low"), ("p", "Top")]
-    for width in (1, 2, 64):
-        found = nodes.inside(every.where("tag IN ('div', 'p')"), every.where("tag = 'b'").select("page", "n"), width)
-        assert sorted(r.box_n for r in found.collect()) == [2, 4]
-    at = read.where("text LIKE 'Top%'").select("page", F.instr("text", "three").alias("at"))
-    assert nodes.covering_text(at.withColumn("at", F.col("at") - 1), every).select(F.size("up")).first()[0] == 3
+    assert read.select("page").distinct().count() == 3 and nodes.nodes(read).count() == 12 + 2
+    heads = read.withColumn("heads", F.filter("nodes", lambda x: x["tag"].isin("h1", "h2")))
+    wanted = heads.select("*", F.explode(F.filter("nodes", lambda x: x["tag"].isin("b", "p"))).alias("x"))
+    got = wanted.select("x.tag", nodes.said(nodes.preceding(F.col("x"), "heads")).alias("heading"), nodes.said(F.col("x")).alias("said"), F.size(nodes.within(F.col("x"))).alias("size")).collect()
+    assert sorted((r.tag, r.heading or "", r.said, r["size"]) for r in got) == [("b", "Top", "three", 1), ("p", "", "four", 1), ("p", "Low", "four", 1), ("p", "Top", "two three", 3)]
+    at = read.where("text LIKE 'Top%'").withColumn("x", nodes.covering_text(F.instr("text", "three") - 1))
+    held = at.select(F.size("x.up").alias("deep"), nodes.said(nodes.holder(F.col("x"), 4, lambda a: a["tag"] == "div", 1)).alias("div"), nodes.said(nodes.holder(F.col("x"), 1, lambda a: a["tag"] == "div", 2)).alias("second"), nodes.said(nodes.holder(F.col("x"), 1, lambda a: a["tag"] == "x", 9)).alias("whole")).first()
+    assert tuple(held) == (3, "one two three", "two three", "Top one two three Low four")
 
 
 # channels by element
