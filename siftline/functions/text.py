@@ -77,8 +77,9 @@ def deobfuscated_emails(text: Column) -> Column:
     """Addresses written as name [at] host [dot] tld."""
     # The words and entities of @ and of the last dot.
     pattern = r"(?i)\b([\w.%+-]+)" + spelt("at", "&#64;") + r"([a-z0-9.-]+)" + spelt("dot", "&#46;") + r"([a-z]{2,})\b"
-    parts = [F.regexp_extract_all(text, F.lit(pattern), i) for i in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "abc", strict=True))), lambda z: F.lower(F.concat(z["a"], F.lit("@"), z["b"], F.lit("."), z["c"])))
+    whole = F.when(F.lower(text).contains("dot") | text.contains("&#46;"), F.regexp_extract_all(text, F.lit(pattern), 0)).when(text.isNotNull(), F.array().cast("array<string>"))
+    part = lambda m, i: F.regexp_extract(m, pattern, i)
+    return F.transform(whole, lambda m: F.lower(F.concat(part(m, 1), F.lit("@"), part(m, 2), F.lit("."), part(m, 3))))
 
 
 def role(title: Column) -> Column:

@@ -82,8 +82,8 @@ def mail_of(node: Column) -> Column:
 
 
 def linked_mail() -> Column:
-    """Links to addresses among a page's nodes."""
-    return F.filter("nodes", lambda x: (x["tag"] == "a") & F.lower(attribute(x, "href")).startswith("mailto:") & mail_of(x).isNotNull())
+    """Links to addresses among a page's anchors."""
+    return F.filter("anchors", lambda x: F.lower(attribute(x, "href")).startswith("mailto:") & mail_of(x).isNotNull())
 
 
 def in_holder(tags: list[str], most: int | None = None):
@@ -101,7 +101,8 @@ def mail_found(near: int, most: int | None) -> Column:
 
 def shown_found(near: int) -> Column:
     """Addresses in a page's text, each once, where they first stand."""
-    raw = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(EMAIL), 1), normal_email))
+    words = F.array_join(F.filter(F.split("text", " "), lambda w: w.contains("@")), " ")  # an address has no space in it
+    raw = F.array_distinct(F.transform(F.regexp_extract_all(words, F.lit(EMAIL), 1), normal_email))
     placed = F.transform(F.filter(raw, lambda m: m.isNotNull()), lambda m: F.struct(m.alias("email"), (F.call_function("locate", m, F.lower("text")) - 1).alias("at")))
     stood = F.transform(placed, lambda p: F.struct(p["email"].alias("email"), covering_text(p["at"]).alias("node")))
     return F.transform(stood, lambda p, k: found(SHOWN, k, email=p["email"], box=let(p["node"], lambda x: holder(x, near, in_holder(HOLDERS), near + 1))))
@@ -132,7 +133,7 @@ def form_found() -> Column:
 
 
 def link_found() -> Column:
-    away = F.filter("nodes", lambda x: (x["tag"] == "a") & attribute(x, "href").rlike("(?i)^(https?:)?//"))  # others stay on the page's host
+    away = F.filter("anchors", lambda x: attribute(x, "href").rlike("(?i)^(https?:)?//"))  # others stay on the page's host
     return F.transform(away, lambda x: found(LINK, x["n"], box=span(x["t0"], x["t1"], x["n"], x["last"]), target=attribute(x, "href")))
 
 
@@ -140,7 +141,7 @@ def parts_found(pages: DataFrame, *parts: Column) -> DataFrame:
     """page, key, url and a FOUND's fields, with the box's and the heading's text, the person named in the box whose mailbox it is, and their title.
 
     A page's parts are worked out in its own row; then each is a row of its own."""
-    marked = pages.withColumn("heads", F.filter("nodes", tagged(*HEADINGS)))
+    marked = pages.withColumn("heads", F.filter("nodes", tagged(*HEADINGS))).withColumn("anchors", F.filter("nodes", tagged("a")))
     rows = marked.withColumn("f", F.explode(F.concat(*parts))).select("page", "key", "url", "f.*", said(F.col("f.box")).alias("box_text"), said(F.col("f.head")).alias("heading"),
         F.when(F.col("f.kind").isin(MAIL, SHOWN), F.transform(F.filter(within(F.col("f.box")), tagged(*STRONG)), lambda x: said(x))).alias("strong"))
     mailed = F.col("kind").isin(MAIL, SHOWN)

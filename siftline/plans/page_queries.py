@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cards, channels, markdown
+from ..sources import envelopes, published
+from ..sources.scratch import shared_folder
 from .catalog import Tables, query
 
 #: Headings that the pages' added sections carry, chosen by the pages' own lengths, and what each is for.
@@ -144,3 +148,28 @@ def markdown_people(t: Tables) -> DataFrame:
     role = F.when(kind == 0, "Founder & CEO").when(kind == 1, "Our Team").otherwise("x\n- the [marketing manager](http://x)")
     body = F.concat(F.lit("# "), "source", F.lit("\n**"), w, F.lit("**\n"), role, F.lit("\n"), "text", F.lit("\nour founder, "), w, F.lit(" spoke\nAnn Lee, cofounder of "), "source")
     return markdown.markdown_people(t.documents.select("doc_id", body.alias("md")), "doc_id", "md").drop("evidence")
+
+
+@query(
+    "SRC-12, SRC-13, TOP-10",
+    """SELECT page_id AS number, 'Q' || page_id AS qid, CASE WHEN page_id % 3 = 0 THEN [url, 'https://www.site' || page_id || '.example/'] ELSE [url] END AS websites, CASE WHEN page_id <= 100 THEN 'before' ELSE 'after' END AS part FROM pages""",
+)
+def keyset_envelopes(t: Tables) -> DataFrame:
+    """All pages' URLs as saved envelopes of 50 entities, read up to a key and after it; a third have a second website."""
+    folder = f"{shared_folder(t.spark)}/siftline-envelopes-{uuid.uuid4().hex}"
+    second = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.site"), "page_id", F.lit(".example/")))
+    rows = t.pages.select(F.col("page_id").alias("number"), F.explode(F.array_compact(F.array("url", second))).alias("website"))
+    envelopes.save(rows, folder, per_range=50)
+    # An envelope lists websites by name; the page's own comes first here, as in the table.
+    made = lambda w: F.when(w.contains("//www.site"), 1).otherwise(0)
+    own = F.array_sort("websites", lambda a, b: made(a) - made(b)).alias("websites")
+    before, after = envelopes.saved(t.spark, folder, 50, upto=100), envelopes.saved(t.spark, folder, 50, after=100)
+    return before.select("number", "qid", own, F.lit("before").alias("part")).unionByName(after.select("number", "qid", own, F.lit("after").alias("part")))
+
+
+@query("SNK-12", "SELECT doc_id::VARCHAR AS doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(n_chars::VARCHAR, '') AS n_chars, (SELECT count(*) FROM documents) AS published FROM documents")
+def published_export(t: Tables) -> DataFrame:
+    """All documents' facts, published by source and read back through the manifest."""
+    folder = f"{shared_folder(t.spark)}/siftline-export-{uuid.uuid4().hex}"
+    shown = published.publish(t.documents.select("doc_id", "source", "lang", "n_chars"), folder, [F.col("source"), F.col("doc_id")])
+    return published.published(t.spark, folder).withColumn("published", F.lit(shown["rows"]).cast("long"))
