@@ -7,11 +7,11 @@ levels. Blocks without a class are found so, wherever a listing repeats its shap
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .channels import absolute, host
-from .nodes import HEADINGS, attribute, first, nodes, read_pages, said, within
+from .nodes import HEADINGS, attribute, first, let, read_pages, said, within
 from .views import holds
 
 # Classes of cards, of their titles and of their categories; item types of companies; labels of website links.
@@ -25,19 +25,25 @@ def has_class(node: Column, *names: str) -> Column:
     return F.arrays_overlap(F.split(attribute(node, "class"), r"\s+"), F.array(*map(F.lit, names)))
 
 
-def signatures(every: DataFrame, depth: int = 2) -> DataFrame:
-    """page, n, parent, signature: a hash of the tag paths below each element, down to `depth` levels; leaves have none."""
-    elements = every.where("tag <> '#text'")
-    below = elements.select("page", F.posexplode(F.slice("up", 1, depth)).alias("far", "n"), F.col("tag").alias("below"))
-    counted = below.groupBy("page", "n").agg(F.array_sort(F.collect_set(F.struct("far", "below"))).alias("paths"))
-    shaped = elements.select("page", "n", "up", "tag").join(counted, ["page", "n"])
-    return shaped.select("page", "n", F.coalesce(F.get("up", F.lit(0)), F.lit(-1)).alias("parent"), F.xxhash64("tag", "paths").alias("signature"))
+def shape(x: Column, depth: int) -> Column:
+    """A hash of an element's tag and of the tag paths below it, down to `depth` levels; null if no element is inside."""
+    far = lambda y: F.array_position(F.slice(y["up"], 1, depth), x["n"]).cast("int")
+    below = F.filter(within(x), lambda y: (y["tag"] != "#text") & (far(y) > 0))
+    paths = F.array_sort(F.array_distinct(F.transform(below, lambda y: F.struct(far(y).alias("far"), y["tag"].alias("tag")))))
+    return let(paths, lambda p: F.when(F.size(p) > 0, F.xxhash64(x["tag"], p)))
 
 
-def repeated(every: DataFrame, least: int = 3, depth: int = 2) -> DataFrame:
-    """page, n of the elements that have at least least - 1 siblings of their own shape."""
-    often = signatures(every, depth).groupBy("page", "parent", "signature").agg(F.collect_list("n").alias("ns"))
-    return often.where(F.size("ns") >= least).select("page", F.explode("ns").alias("n"))
+def repeated(pages: DataFrame, payload, least: int = 3, depth: int = 2) -> DataFrame:
+    """page, key, n, payload of the elements that have at least least - 1 siblings of their own shape.
+
+    payload: what is wanted of an element, from its node; it is narrow, for these rows move."""
+    shaped = F.filter(
+        F.transform("nodes", lambda x: F.struct(x["n"].alias("n"), F.coalesce(first(x["up"]), F.lit(-1)).alias("parent"), F.when((x["tag"] != "#text") & (x["last"] > x["n"]), shape(x, depth)).alias("signature"), payload(x).alias("payload"))),
+        lambda s: s["signature"].isNotNull(),
+    )
+    rows = pages.select("page", "key", F.inline(shaped))
+    alike = F.count("*").over(Window.partitionBy("page", "parent", "signature"))
+    return rows.withColumn("_alike", alike).where(F.col("_alike") >= least).select("page", "key", "n", "payload")
 
 
 def is_card(x: Column) -> Column:
@@ -67,7 +73,7 @@ def directory_cards(pages: DataFrame, key: str, url: str, markup: str, own_host:
     read = read_pages(pages, key, url, markup)
     chosen = F.filter("nodes", is_card)
     if shapes:
-        alike = repeated(nodes(read)).groupBy("page").agg(F.collect_set("n").alias("shaped"))
+        alike = repeated(read, lambda x: F.lit(None)).groupBy("page").agg(F.collect_set("n").alias("shaped"))
         read = read.join(alike, "page", "left")
         chosen = F.filter("nodes", lambda x: is_card(x) | F.coalesce(F.array_contains("shaped", x["n"]), F.lit(False)))
     cards = read.select("key", "url", "text", "nodes", F.explode(chosen).alias("card")).withColumn("parts", within(F.col("card")))

@@ -105,12 +105,9 @@ def repeated_blocks(t: Tables) -> DataFrame:
     """The entries of the pages' menus, found by nothing but their repeated shape: list items that hold a link."""
     from ..operators import nodes
 
-    read = nodes.read_pages(t.pages, "page_id", "url", "html")
-    every = nodes.nodes(read.select("page", "nodes"))
-    alike = cards.repeated(every).groupBy("page").agg(F.array_sort(F.collect_list("n")).alias("ns"))
-    blocks = read.join(alike, "page").select("key", "nodes", F.explode("ns").alias("n")).withColumn("block", F.get("nodes", F.col("n"))).where("block.tag = 'li'")
-    links = blocks.select(F.col("key").alias("page_id"), F.explode(F.filter(nodes.within(F.col("block")), lambda x: x["tag"] == "a")).alias("a"))
-    return links.groupBy("page_id", nodes.attribute(F.col("a"), "href").alias("link")).agg(F.count("*").alias("times"))
+    links = lambda x: F.when(x["tag"] == "li", F.transform(F.filter(nodes.within(x), lambda y: y["tag"] == "a"), lambda y: nodes.attribute(y, "href")))
+    blocks = cards.repeated(nodes.read_pages(t.pages, "page_id", "url", "html"), links)
+    return blocks.select(F.col("key").alias("page_id"), F.explode("payload").alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("times"))
 
 
 _NAME = r"([A-Za-z][A-Za-z''’-]{1,30}\s+[A-Za-z][A-Za-z''’-]{1,30})"
