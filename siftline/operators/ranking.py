@@ -1,23 +1,39 @@
-"""Orders, samples and quotas."""
+"""Orders, samples and quotas.
+
+Numbers over all rows come from ranges: rows are dealt into ranges of the order by sampled splitters, numbered inside their range,
+and a range begins where the counts of those before it end. So work is spread by rows, whatever the keys; what one task sees of
+the whole is a count for each range.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+
+#: Rows of a sorted range, about.
+RANGE_ROWS = 1 << 17
 
-def ranked(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
-    """df with rank 1..n in a total order (WIN-02, WIN-19).
 
-    bucket: an expression that never falls along the order. Rows are numbered inside their bucket, and
-    a bucket's first number comes from the counts of those before it: one row a bucket, not all rows,
-    passes the one ordered task."""
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("_bucket").alias("_b"), before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn("_local", local).join(starts, F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn("rank", F.col("_before") + F.col("_local")).drop("_bucket", "_b", "_before", "_local")
+def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None, rank: str = "rank", rows: int | None = None) -> DataFrame:
+    """df with rank 1..n in a total order, over all rows or within each group (WIN-02, WIN-19).
+
+    A group may hold any share of the rows: its rows lie in as many ranges as they need. Rows that agree in all of `order` are
+    numbered in any way. df is read twice (once for the splitters) and its ranges are written once."""
+    group, n = group or [], df.count() if rows is None else rows
+    keys = [F.col(g).asc_nulls_first() for g in group] + order
+    dealt = df.repartitionByRange(max(1, -(-n // RANGE_ROWS)), *keys, F.rand(7)).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = written(dealt, "ranges")
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(part.alias("_part"), *(F.col(g).alias(f"_g{k}") for k, g in enumerate(group))).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    of_group = Window.partitionBy(*(f"_g{k}" for k in range(len(group)))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(of_group), F.lit(0)) - F.col("_first") + 1)
+    met = part == F.col("_part")
+    for k, g in enumerate(group):
+        met &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return dealt.join(starts, met).withColumn(rank, F.col("_at") + F.col("_before")).select(*df.columns, rank)
 
 
 def hash_sample(df: DataFrame, strata: list[str], id_col: str, version: str, k: int) -> DataFrame:
@@ -37,9 +53,12 @@ def quotas(sizes: DataFrame, group: str, n: str, total: int) -> DataFrame:
 
 
 def quota_sample(df: DataFrame, group: str, order: list[Column], total: int) -> DataFrame:
-    """The first rows of each group, as many as its quota. The quotas are one row a group."""
+    """The first rows of each group, as many as its quota. The quotas are one row a group.
+
+    No quota is above total, and a rank up to a fixed number is cut in every task before rows move: at most total rows of a group
+    leave a task, and so few reach the one that ranks the group."""
     sized = quotas(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", total)
-    numbered = df.withColumn("group_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    numbered = df.withColumn("group_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("group_rank") <= total)
     return numbered.join(sized.select(group, "quota"), group).where(F.col("group_rank") <= F.col("quota"))
 
 

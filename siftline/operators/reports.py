@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def distribution(df: DataFrame, group: str, category: str) -> DataFrame:
     """group, category, n, total, basis_points: shares within each group and within all rows, in one rollup-like pass (AGG-06)."""
@@ -42,8 +44,14 @@ def memberships(df: DataFrame, group: str, member: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:
-    """key, n, p: the nearest-rank percentile (AGG-20)."""
-    return df.groupBy(key).agg(F.count(value).alias("n"), F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("p"))
+    """key, n, p: the nearest-rank percentile (AGG-20), exact, for all keys at once.
+
+    Values are numbered within their key over ranges of the order (`ranking.ranked`), so no task holds a key's values, and the one of
+    rank ceil(share * n) is p. Null values aren't counted; a key of nothing but nulls has a null p."""
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count(value).alias("n"))
+    numbered = ranked(df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("p")), [F.col("p")], ["_k"], rank="_rank")
+    found = sizes.join(numbered, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_rank") == F.ceil(F.col("n") * F.lit(share))), "left")
+    return found.select(F.col("_key").alias(key), "n", "p")
 
 
 def digest(df: DataFrame, order: str) -> DataFrame:

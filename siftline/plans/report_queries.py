@@ -74,7 +74,7 @@ RANKED = """WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_nu
 
 def ranked_orders(t: Tables) -> DataFrame:
     late = F.col("o_orderstatus") != "F"
-    return ranking.ranked(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), [late, F.col("o_orderpriority"), F.col("o_orderkey")], F.struct(late.alias("a"), F.col("o_orderpriority").alias("b")))
+    return ranking.ranked(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), [late, F.col("o_orderpriority"), F.col("o_orderkey")])
 
 
 @query("WIN-02, WIN-03, WIN-04, WIN-19, TOP-03, TOP-04", RANKED + "SELECT o_orderkey, rank FROM r")
@@ -111,7 +111,7 @@ def spans(t: Tables) -> DataFrame:
        u AS (SELECT user_id, island, max(b) - min(a) AS n FROM i GROUP BY 1, 2) SELECT user_id, count(*) AS islands, sum(n)::BIGINT AS covered FROM u GROUP BY 1""",
 )
 def interval_union(t: Tables) -> DataFrame:
-    return intervals.union_length(spans(t), ["user_id"], "a", "b")
+    return intervals.union_length(spans(t), ["user_id"], "a", "b", 86_400_000_000)
 
 
 @query(

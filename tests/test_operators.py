@@ -1,5 +1,6 @@
 """Order-dependent operators against plain Python."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -14,9 +15,11 @@ from siftline.operators import entities, intervals, joins, ranking, reports
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_interval_union(spark, rows):
     df = spark.createDataFrame([(k, a, a + n) for k, a, n in rows], "k long, a long, b long")
-    got = {r.k: r.covered for r in intervals.union_length(df, ["k"], "a", "b").collect()}
     want = {k: len({x for j, a, n in rows if j == k for x in range(a, a + n)}) for k, _, _ in rows}
-    assert got == want
+    for chunk in (1, 7, 1000):
+        got = {r.k: (r.covered, r.islands) for r in intervals.union_length(df, ["k"], "a", "b", chunk).collect()}
+        assert {k: c for k, (c, _) in got.items()} == want
+        assert all(got[k][1] == len({a for j, a, n in rows if j == k and not any(i == k and b < a <= b + m for i, b, m in rows)}) for k in want)
 
 
 def test_quotas_deal_everything(spark):
@@ -43,12 +46,50 @@ def test_round_robin(spark):
     assert [r.i for r in got] == want
 
 
-def test_ranked_is_one_order(spark):
+def test_ranked_is_one_order(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 9)  # many ranges
     rng = random.Random(2)
     df = spark.createDataFrame([(i, rng.randrange(5), rng.choice([None, 1, 2])) for i in range(100)], "i long, b long, c long")
-    got = ranking.ranked(df, [F.col("b"), F.col("c").asc_nulls_first(), F.col("i")], F.col("b")).orderBy("rank").collect()
+    got = ranking.ranked(df, [F.col("b"), F.col("c").asc_nulls_first(), F.col("i")]).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 101))
     assert [(r.b, r.c or 0, r.i) for r in got] == sorted((r.b, r.c or 0, r.i) for r in got)
+    for r in ranking.ranked(df, [F.col("i").desc()], ["c"]).collect():
+        assert r["rank"] == sum(1 for x in got if x.c == r.c and x.i >= r.i)
+    same = ranking.ranked(df, [F.lit(1)]).collect()
+    assert sorted(r["rank"] for r in same) == list(range(1, 101))
+    assert ranking.ranked(df.where("i < 0"), [F.col("i")]).count() == 0
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 9)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, -1.5, 0.0, 2.25, rng.random()])) for _ in range(150)] + [("n", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.5, 0.95, 1.0):
+        for r in reports.nearest_rank(df, "k", "v", share).collect():
+            own = sorted(v for k, v in rows if k == r.k and v is not None)
+            assert (r.n, r.p) == (len(own), own[math.ceil(share * len(own)) - 1] if own else None)
+
+
+def test_quota_sample_takes_the_first_of_each_group(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("aaaabbc"), rng.randrange(50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, g string, x long")
+    got = ranking.quota_sample(df, "g", [F.col("x").desc(), F.col("i")], 20).collect()
+    assert len(got) == 20
+    for g in {r.g for r in got}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.group_rank)
+        assert [r.i for r in mine] == [r[0] for r in own[: mine[0].quota]]
+
+
+def test_sliding_counts_over_cells(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", None]), rng.choice([rng.randrange(-50, 400), 100])) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, k string, s long")
+    for cell in (1, 60, 100, 3600):
+        got = {r.i: r.n_recent for r in intervals.sliding_count(df, ["k"], "s", 60, cell).collect()}
+        assert got == {i: sum(1 for _, j, t in rows if j == k and s - 60 <= t <= s) for i, k, s in rows}
 
 
 def test_ingest_and_upgrade(spark):
