@@ -492,7 +492,7 @@ def test_near_duplicates_keep_members_near_a_centre_as_candidates(spark):
 
 
 def test_near_duplicates_of_a_hub_whose_versions_are_not_alike(spark):
-    got = near_dup.near_duplicates(documents(spark, hub(10, 400))).collect()
+    got = near_dup.near_duplicates(documents(spark, hub(10, 400)), crowd=50).collect()
     assert {r.class_id for r in got} == {1}
 
 
@@ -506,7 +506,7 @@ def test_near_duplicates_among_documents_of_frequent_passages(spark):
         at = rng.randrange(170)
         w[at : at + 24] = [f"z{i}y{k}" for k in range(24)]
         rows.append((1000 + i, " ".join(w)))
-    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows), overlap=0.5).collect()}
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows), overlap=0.5, crowd=8).collect()}
     texts = [(i, t.split()) for i, t in rows]
     parent = {i: i for i, _ in texts}
 
@@ -561,6 +561,49 @@ def test_near_duplicates_recall_by_edits(spark):
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+def shared_passages(rng, shares, pairs):
+    """Pairs of 216 words: 6 of 14 shared passages of 30 words with 6 own words after each, one with a share of its words changed, added or taken out."""
+    passages = [prose(rng, 30, 50_000) for _ in range(14)]
+    rows = []
+    for share in shares:
+        for p in range(pairs):
+            w = " ".join(f"{passages[c]} {prose(rng, 6, 50_000)}" for c in rng.sample(range(14), 6)).split()
+            rows.append((share * 10_000 + 2 * p, " ".join(w)))
+            for at in sorted(rng.sample(range(len(w)), len(w) * share // 100), reverse=True):
+                kind = rng.choice("cai")
+                w[at : at + (kind != "a")] = [] if kind == "i" else [f"n{rng.randrange(10**6)}"]
+            rows.append((share * 10_000 + 2 * p + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [near_dup.CROWD, 40])
+def test_near_duplicates_recall_among_documents_that_share_passages(spark, crowd):
+    """Up to the declared 15 percent, keys of hundreds of texts lose no link; beyond `crowd` members only links of much overlap are sure."""
+    rows = shared_passages(random.Random(21), (3, 5, 10, 15), 100)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows), crowd=crowd).collect()}
+    recall = {s: np.mean([got[s * 10_000 + 2 * p] == got[s * 10_000 + 2 * p + 1] for p in range(100)]) for s in (3, 5, 10, 15)}
+    assert min(recall[s] for s in ((3, 5, 10, 15) if crowd == near_dup.CROWD else (3,))) >= 0.9, recall
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+@given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=12), st.integers(0, 3))
+@settings(max_examples=60, deadline=None)
+def test_bounds_of_words_rule_out_no_link(texts, classes):
+    texts = [[f"w{x}" for x in t] for t in texts] + [[f"w{x}" for x in texts[0]] + ["more"]]
+    bits = np.zeros((len(texts), near_dup.BITS), bool)
+    for i, t in enumerate(texts):
+        bits[i, [hash(w) % near_dup.BITS for w in t]] = True
+    h, n = np.arange(len(texts)) * 7, np.array([len(t) for t in texts])
+    g = h if not classes else h % classes
+    a, b = near_dup.within_bounds(h, g, n, np.packbits(bits, axis=1).view(np.uint64), 0.2)
+    got = set(zip(a.tolist(), b.tolist()))
+    assert all(x > y for x, y in got)
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts[:i]):
+            if edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 and g[i] != g[j]:
+                assert (h[i], h[j]) in got
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rng = random.Random(19)
     x, y, z = (prose(rng, 60, 5000) for _ in range(3))
