@@ -26,6 +26,8 @@ CONTROLS = ["input", "textarea", "select", "button"]
 BUSINESSES = ["Organization", "LocalBusiness", "MedicalOrganization", "Corporation", "Store"]
 NOT_STAFF = ["testimonial", "customer", "partner", "sponsor", "vendor", "author", "blog", "press"]
 NOT_SPEAKING = ["testimonial", "customer", "vendor", "author", "blog"]
+# Fixed value: an address as supplied pages write it, sentence marks after it aside.
+WRITTEN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 #: Characters: the longest text of an element that holds one address, of a context, of a title.
 HOLDS, CONTEXT, TITLE = 500, 700, 100
 
@@ -243,3 +245,21 @@ def contact_evidence(pages: DataFrame, key: str, url: str, markup: str) -> DataF
     once = facts.groupBy("page", "key", "url", F.lower("name").alias("_name"), F.col("email").alias("_email"), role(F.col("title")).alias("_role")).agg(F.min_by(F.struct("name", "title", "email"), F.struct(order, F.col("place"))).alias("c"))
     kind = F.when(F.col("c.name").isNotNull(), "PERSON").otherwise("GENERIC_BUSINESS_CONTACT")
     return once.select(F.col("key").alias(key), "c.*", kind.alias("contact_type"), F.col("url").alias("source_url"))
+
+
+def supplied_contacts(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
+    """key, error, channel_type, emails, has_form, controls, evidence of supplied pages, none of which is fetched (FN-70).
+
+    A page's visible addresses, each as it is written, in order; its first form, and whether it has controls or an action. A URL that
+    isn't one of the web is an error and has nothing else. Null markup has no channel."""
+    read = read_pages(pages, key, url, markup)
+    fine = holds(F.lower("url").rlike("^https?://"))
+    words = F.array_join(F.filter(F.split("text", " "), lambda w: w.contains("@")), " ")
+    emails = F.array_sort(F.array_distinct(F.regexp_extract_all(words, F.lit(WRITTEN), 0)))
+    form = first(F.filter("nodes", tagged("form")))
+    controls = let(form, lambda f: f.isNotNull() & (F.exists(within(f), tagged(*CONTROLS)) | (attribute(f, "action") != "")))
+    rows = read.select("key", fine.alias("_fine"), emails.alias("emails"), F.exists("nodes", tagged("form")).alias("has_form"), F.coalesce(controls, F.lit(False)).alias("controls"), F.substring("text", 1, 1000).alias("evidence"))
+    mail, usable = F.size("emails") > 0, F.col("controls")
+    kind = F.when(mail & usable, "EMAIL_AND_FORM").when(mail, "EMAIL_ONLY").when(usable, "FORM_ONLY").otherwise("NO_CONTACT")
+    only = lambda c: F.when(F.col("_fine"), c)
+    return rows.select(F.col("key").alias(key), F.when(~F.col("_fine"), "source_url must be HTTP(S)").alias("error"), only(kind).alias("channel_type"), only(F.col("emails")).alias("emails"), only(F.col("has_form")).alias("has_form"), only(usable).alias("controls"), only(F.col("evidence")).alias("evidence"))
