@@ -16,10 +16,11 @@ driver's are, need leaves that hold half of the corpus or more, counted in each
 work grows with queries times rows, as it must for any method that compares vectors.
 
 Leaves are numbered in the order of the tree, and neighbouring leaves form branches of about
-`branch_rows` vectors. Queries are dealt into blocks of about `block_rows`. A task compares one
-block with one branch, in slices, and only where query and leaf met; it holds no more than these
-two, however many queries like a leaf. A query's vector moves once for each branch it visits. The
-best of each task are joined and ranked anew by exact inner products of the original vectors.
+`branch_rows` vectors. A task holds one branch, and the queries that visit it stream past, a few at a
+time; a vector moves once for each tree, a query once for each branch it visits. The trees have
+`most_leaves` leaves at most, so what the driver holds and sends to tasks has a fixed bound; beyond
+`most_leaves * leaf_rows` vectors leaves hold more, and the share of them that a query takes is the
+same. The best of each task are joined and ranked anew by exact inner products of the original vectors.
 Queries that found fewer than k (in nearly empty leaves) search once more, all leaves of a tree.
 
 Equal vectors are one entry with its k + 1 least ids, so a vector that a third of all rows share
@@ -47,8 +48,8 @@ from pyspark.sql import functions as F
 from .common import blocks_for, stored
 
 TREES, LEAF_ROWS, SAMPLE_ROWS, RECALL, MEASURED = 4, 32, 32_768, 0.95, 100
-#: Vectors of a branch and queries of a block, as a task compares them.
-BRANCH_ROWS, BLOCK_ROWS = 4096, 4096
+#: Leaves of a tree at most; vectors of a branch, and queries that are compared with it at a time.
+MOST_LEAVES, BRANCH_ROWS, QUERY_ROWS = 1 << 14, 4096, 256
 
 
 @dataclass
@@ -215,34 +216,61 @@ class Forest:
         return asked.select("qu", "q").mapInArrow(run, f"tree int, branch long, qu long, q {self.kind}, leaves array<long>")
 
 
+class Branch:
+    """The vectors of a branch, each in its leaf."""
+
+    def __init__(self, rows: list[pa.RecordBatch], leaves_per_branch: int):
+        table = pa.Table.from_batches(rows)
+        order = np.argsort(table["id"].to_numpy(), kind="stable")  # so that ties go to the smaller id
+        self.u, self.leaves = table["id"].to_numpy()[order], leaves_per_branch
+        self.place = table["leaf"].to_numpy()[order] % leaves_per_branch
+        self.v = table["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(order), -1)[order]
+
+    def nearest(self, q: np.ndarray, visited: list[list[int]], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(row of q, ids, scores) of the k + 1 nearest of each query, among the leaves that it visits."""
+        seen = np.zeros((len(q), self.leaves), bool)
+        for i, leaves in enumerate(visited):
+            seen[i, np.asarray(leaves, np.int64) % self.leaves] = True
+        near = np.where(seen[:, self.place], q @ self.v.T, -np.inf)
+        m = min(len(self.v), k + 1)
+        least = np.partition(near, len(self.v) - m, axis=1)[:, len(self.v) - m]
+        out = []
+        for i in range(len(q)):
+            best = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
+            if len(best) > m:
+                above = near[i][best] > least[i]
+                best = np.concatenate([best[above], best[~above][: m - np.count_nonzero(above)]])
+            if len(best):
+                out.append((i, self.u[best], np.einsum("j,kj->k", q[i], self.v[best])))
+        return out
+
+
 def comparer(k: int, leaves_per_branch: int):
-    """Compares the queries of a block with the vectors of a branch, each with those of the leaves that it visits."""
-
-    def compare(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        qu, us, scores = [], [], []
-        if len(qs) and len(vs):
-            vs = vs.sort_values("u")  # so that ties go to the smaller id
-            v, u = np.stack(vs["v"].to_list()).astype(np.float64), vs["u"].to_numpy()
-            place = (vs["leaf"].to_numpy() % leaves_per_branch).astype(np.int64)
-            m = min(len(v), k + 1)
-            for a in range(0, len(qs), 256):
-                part = qs.iloc[a : a + 256]
-                q = np.stack(part["q"].to_list()).astype(np.float64)
-                seen = np.zeros((len(q), leaves_per_branch), bool)
-                for i, leaves in enumerate(part["leaves"]):
-                    seen[i, np.asarray(leaves) % leaves_per_branch] = True
-                near = np.where(seen[:, place], q @ v.T, -np.inf)
-                least = np.partition(near, len(v) - m, axis=1)[:, len(v) - m]
-                for i, name in enumerate(part["qu"].tolist()):
-                    best = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
-                    if len(best) > m:
-                        above = near[i][best] > least[i]
-                        best = np.concatenate([best[above], best[~above][: m - np.count_nonzero(above)]])
-                    if len(best):
-                        qu.append(name), us.append(u[best]), scores.append(np.einsum("j,kj->k", q[i], v[best]))
-        return pd.DataFrame({"qu": pd.Series(qu, dtype=np.int64), "us": pd.Series(us, dtype=object), "scores": pd.Series(scores, dtype=object)})
-
-    return compare
+    """For rows (tree, branch, kind, id, leaf, x, leaves) sorted so that a branch's vectors stand before its queries: holds one branch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, branch = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = [0, *(np.flatnonzero(np.any(np.diff(key, axis=1), axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if tuple(key[:2, a]) != now:
+                    now, held, branch = tuple(key[:2, a]), [], None
+                if key[2, a] == 0:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if branch is None and held:
+                    branch, held = Branch(held, leaves_per_branch), []
+                for at in range(a, b if branch is not None else a, QUERY_ROWS):
+                    part = batch.slice(at, min(QUERY_ROWS, b - at))
+                    q = part.column(5).flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
+                    found = branch.nearest(q, part.column(6).to_pylist(), k)
+                    ids = part.column(3).take(pa.array([i for i, _, _ in found], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([u for _, u, _ in found], pa.list_(pa.int64())), pa.array([x for _, _, x in found], pa.list_(pa.float64()))], ["qu", "us", "scores"])
+
+    return run
 
 
 def merger(k: int):
@@ -256,14 +284,16 @@ def merger(k: int):
     return merge
 
 
-def searched(forest: Forest, unique: DataFrame, asked: DataFrame, k: int, trees: int, leaves: int, blocks: int) -> DataFrame:
+def searched(forest: Forest, unique: DataFrame, asked: DataFrame, k: int, trees: int, leaves: int) -> DataFrame:
     """qu, u, score: the nearest entries found, k + 1 where there are as many."""
-    block = F.pmod(F.xxhash64("qu"), F.lit(blocks)).alias("block")
     spread = asked.repartition(blocks_for(asked.count(), 256), "qu")  # walking the trees is work for many tasks
-    left = forest.visits(spread, trees, leaves).select("*", block)
-    right = forest.index(unique, trees).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = left.groupBy("tree", "branch", "block").cogroup(right.groupBy("tree", "branch", "block")).applyInPandas(comparer(k, forest.leaves_per_branch), "qu long, us array<long>, scores array<double>")
-    return met.groupBy("qu").applyInPandas(merger(k), "qu long, u long, score double")
+    none = F.lit(None)
+    queries = forest.visits(spread, trees, leaves).select("tree", "branch", F.lit(1).alias("kind"), F.col("qu").alias("id"), none.cast("long").alias("leaf"), F.col("q").alias("x"), "leaves")
+    vectors = forest.index(unique, trees).select("tree", "branch", F.lit(0).alias("kind"), F.col("u").alias("id"), "leaf", F.col("v").alias("x"), none.cast("array<long>").alias("leaves"))
+    branches = blocks_for(forest.n_leaves, forest.leaves_per_branch) * trees
+    met = vectors.unionByName(queries).repartition(branches, "tree", "branch").sortWithinPartitions("tree", "branch", "kind")
+    near = met.mapInArrow(comparer(k, forest.leaves_per_branch), "qu long, us array<long>, scores array<double>")
+    return near.groupBy("qu").applyInPandas(merger(k), "qu long, u long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, share: float | None = None, seed: int = 3) -> DataFrame:
@@ -281,21 +311,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     sample = unique.orderBy(F.xxhash64("u", F.lit(seed)), "u").limit(sample_rows).select("v").toArrow()
     sample = np.array(sample["v"].to_pylist(), np.float64).reshape(-1, dim)
     rng = np.random.default_rng(seed)
-    n_leaves = max(1, -(-n // leaf_rows))
+    n_leaves = min(MOST_LEAVES, max(1, -(-n // leaf_rows)))
     share = measured_share(sample, longest, k, trees, leaf_rows, recall, rng) if share is None else share
     points = lifted(sample, longest)
-    forest = Forest([grow(points, n_leaves, rng) for _ in range(trees)], n_leaves, longest, dim, kind, max(1, BRANCH_ROWS // leaf_rows))
+    forest = Forest([grow(points, n_leaves, rng) for _ in range(trees)], n_leaves, longest, dim, kind, max(1, BRANCH_ROWS * n_leaves // n))
 
     wanted = clean(queries).where(F.size("v") == dim).withColumn("qu", F.xxhash64("v"))
     wanted = stored(wanted, "queries")
     asked = stored(wanted.groupBy("qu").agg(F.first("v").alias("q")), "asked")
-    blocks = blocks_for(asked.count(), BLOCK_ROWS)
-    found = stored(searched(forest, unique, asked, k, trees, min(trees * n_leaves, max(1, round(share * n_leaves))), blocks), "found")
+    found = stored(searched(forest, unique, asked, k, trees, min(trees * n_leaves, max(1, round(share * n_leaves)))), "found")
     enough = found.join(unique.select("u", F.size("ids").alias("c")), "u").groupBy("qu").agg(F.sum("c").alias("c")).where(F.col("c") > k)
     few = stored(asked.join(enough, "qu", "left_anti"), "few")
-    n_few = few.count()
-    if n_few and n_leaves > 1:  # a tree's leaves hold every vector once
-        more = searched(forest, unique, few, k, 1, n_leaves, blocks_for(n_few, BLOCK_ROWS))
+    if n_leaves > 1 and not few.isEmpty():  # a tree's leaves hold every vector once
+        more = searched(forest, unique, few, k, 1, n_leaves)
         found = found.join(few, "qu", "left_anti").unionByName(stored(more, "found"))
     found = stored(found.join(unique.select("u", "ids"), "u").select("qu", "score", "ids"), "found")
     pairs = wanted.select(F.col("vec_id").alias("query_id"), "qu").join(found, "qu").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
