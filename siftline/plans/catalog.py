@@ -38,4 +38,4 @@ def query(operators: str, sql: str | None = None):
     return register
 
 
-from . import cohort_queries, entity_queries, page_queries, record_queries, report_queries, rule_queries, state_queries, triage_queries, view_queries  # noqa: E402, F401
+from . import cohort_queries, entity_queries, filter_queries, page_queries, record_queries, report_queries, rule_queries, state_queries, triage_queries, view_queries  # noqa: E402, F401

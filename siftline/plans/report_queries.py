@@ -77,7 +77,7 @@ def ranked_orders(t: Tables) -> DataFrame:
     return ranking.ranked(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), [late, F.col("o_orderpriority"), F.col("o_orderkey")])
 
 
-@query("WIN-02, WIN-03, WIN-04, WIN-19, TOP-03, TOP-04", RANKED + "SELECT o_orderkey, rank FROM r")
+@query("WIN-02, WIN-04, WIN-19, TOP-03", RANKED + "SELECT o_orderkey, rank FROM r")
 def rank_selection(t: Tables) -> DataFrame:
     return ranked_orders(t).select("o_orderkey", "rank")
 
@@ -187,7 +187,7 @@ def response_page(t: Tables) -> DataFrame:
     return ranking.page(rows.select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey")], 2, 50)
 
 
-@query("PRJ-01, PRJ-02, PRJ-03, PRJ-04, SET-05", "SELECT DISTINCT p_brand, p_type FROM part WHERE contains(lower(p_name), 'an') AND p_type IN (SELECT p_type FROM part WHERE p_size = 1)")
+@query("PRJ-01, SET-05", "SELECT DISTINCT p_brand, p_type FROM part WHERE contains(lower(p_name), 'an') AND p_type IN (SELECT p_type FROM part WHERE p_size = 1)")
 def facet_filter(t: Tables) -> DataFrame:
     kinds = t.part.where("p_size = 1").select("p_type").distinct()
     return t.part.where(F.contains(F.lower("p_name"), F.lit("an"))).join(kinds, "p_type", "left_semi").select("p_brand", "p_type").distinct()

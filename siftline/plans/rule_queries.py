@@ -223,7 +223,7 @@ def channel_classes(t: Tables) -> DataFrame:
 
 
 @query(
-    "ST-02, ST-03, ST-19",
+    "ST-02, ST-19",
     """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS verified, count(*) FILTER (event_type = 'signup') AS eligible FROM events GROUP BY 1),
        r AS (SELECT *, sum(attempted) OVER (ORDER BY day)::BIGINT AS total FROM d)
        SELECT day, attempted, total, CASE WHEN total >= 9000 THEN 'candidate_limit_reached' WHEN attempted = 0 THEN 'no_progress' WHEN verified / attempted < 0.23 OR eligible / attempted < 0.204 THEN 'quality_degradation_pause' END AS stop FROM r""",
