@@ -30,8 +30,11 @@ SECTIONS = {
     "exact_text_edits": ("exact_text_edit_proposal", ["page_id", "proposal_id", "approval_status", "evidence_refs", "created_at"]),
     "question_set": ("evaluation_question_set", ["questions", "created_at"]),
     "baseline": ("baseline_experiment_reference", ["experiment_id", "status", "results_present", "created_at"]),
+    "deployment_receipts": ("deployment_receipt", ["proposal_id", "approval_status", "source_git_revision", "content_hash", "deployed_git_revision", "vercel_deployment_id", "public_url", "verification_status", "baseline_experiment_reference", "post_deployment_experiment_reference", "recorded_at"]),
     "post_deployment": ("post_deployment_evaluation", ["deployment_id", "baseline_reference", "post_reference", "status", "results_present", "created_at"]),
 }
+#: The record that an envelope's report makes, and what it takes over from the envelope.
+REPORT = ("research_result_export", {"audit_reference": "audit", "strategies": "strategies", "question_set_reference": "question_set", "baseline_reference": "baseline", "post_deployment_reference": "post_deployment", "report": "report", "exported_at": "received_at"})
 ENVELOPE = ["contract_version", "source_profile_id", "source_profile_version", "property_id"]
 
 
@@ -124,8 +127,8 @@ def import_records(profiles: DataFrame, version: str) -> DataFrame:
 def result_records(envelopes: DataFrame, key: str, body: str, version: str) -> DataFrame:
     """key, record_type, item, error: a row for every record of a saved result envelope (FN-86).
 
-    A section is one object or a list of them; a record has the envelope's fields where it lacks its own. An envelope
-    that can't be read, or lacks a field, is one row without a type."""
+    A section is one object or a list of them; a record has the envelope's fields where it lacks its own. A report is one
+    record, with what the envelope says beside it. An envelope that can't be read, or lacks a field, is one row without a type."""
     fields = F.from_json(F.col(body), "map<string,string>")
     rows = envelopes.select(key, F.coalesce(fields, F.create_map().cast("map<string,string>")).alias("_fields"))
     field = lambda name: F.col("_fields")[name]
@@ -137,7 +140,9 @@ def result_records(envelopes: DataFrame, key: str, body: str, version: str) -> D
 
     lacks = reduce(lambda a, b: a | b, [~F.map_contains_key("_fields", F.lit(c)) for c in ENVELOPE])
     broken = F.when(lacks, "envelope lacks fields").when(~holds(field("contract_version") == version), "unsupported contract version")
-    sections = F.when(broken.isNull(), F.flatten(F.array(*map(items, SECTIONS))))
+    report = F.to_json(F.struct(*(field(source).alias(name) for name, source in REPORT[1].items())))
+    whole = F.when(field("report").isNotNull(), F.array(F.struct(F.lit("report").alias("section"), report.alias("item")))).otherwise(F.array().cast("array<struct<section:string,item:string>>"))
+    sections = F.when(broken.isNull(), F.flatten(F.array(*map(items, SECTIONS), whole)))
     none = F.array(F.struct(F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("item")))
     each = rows.select(key, "_fields", broken.alias("_broken"), F.explode(F.when(broken.isNull(), sections).otherwise(none)).alias("_record"))
     own = F.from_json("_record.item", "map<string,string>")
@@ -145,7 +150,7 @@ def result_records(envelopes: DataFrame, key: str, body: str, version: str) -> D
     has = F.when(field("received_at").isNotNull(), F.array_union(has, F.array(F.lit("created_at"), F.lit("captured_at")))).otherwise(has)
     section = F.col("_record.section")
     needs = reduce(lambda acc, s: acc.when(section == s, F.array(*map(F.lit, SECTIONS[s][1]))), SECTIONS, F.when(F.lit(False), F.array().cast("array<string>")))
-    kind = reduce(lambda acc, s: acc.when(section == s, F.lit(SECTIONS[s][0])), SECTIONS, F.when(F.lit(False), F.lit("")))
+    kind = reduce(lambda acc, s: acc.when(section == s, F.lit(SECTIONS[s][0])), SECTIONS, F.when(section == "report", F.lit(REPORT[0])))
     missing = F.array_join(F.array_sort(F.array_except(needs, has)), ", ")
     many = holds(F.size(F.from_json(own["strategies"], "array<string>")) > 3) & holds(section == "strategies")
     error = F.coalesce("_broken", F.when(missing != "", F.concat(F.lit("missing "), missing)).when(many, "more than three strategies"))

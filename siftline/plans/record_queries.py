@@ -121,6 +121,24 @@ def result_records(t: Tables) -> DataFrame:
     return records.result_records(t.orders.select("o_orderkey", F.to_json(body).alias("body")), "o_orderkey", "body", "v1").select("o_orderkey", "record_type", "error")
 
 
+@query(
+    "FN-86",
+    """SELECT o_orderkey, 'deployment_receipt' AS record_type, CASE WHEN o_orderpriority = '5-LOW' THEN 'missing public_url, recorded_at' END AS error FROM orders WHERE o_orderstatus = 'O'
+       UNION ALL SELECT o_orderkey, 'research_result_export', NULL FROM orders WHERE o_totalprice >= 100000
+       UNION ALL SELECT o_orderkey, 'property_identity_mapping', CASE WHEN o_orderstatus = 'P' THEN 'missing mapped_at' END FROM orders WHERE o_orderstatus <> 'O'""",
+)
+def result_receipts(t: Tables) -> DataFrame:
+    """Receipts, reports and mappings of envelopes; some receipts lack two fields."""
+    status, late = F.col("o_orderstatus"), F.col("o_orderpriority") == "5-LOW"
+    names = ["proposal_id", "approval_status", "source_git_revision", "content_hash", "deployed_git_revision", "vercel_deployment_id", "verification_status", "baseline_experiment_reference", "post_deployment_experiment_reference"]
+    receipt = F.struct(*(F.lit("x").alias(n) for n in names), F.when(~late, "u").alias("public_url"), F.when(~late, F.col("o_orderdate").cast("string")).alias("recorded_at"))
+    body = F.struct(
+        *(F.lit("v1").alias(n) for n in ("contract_version", "source_profile_id", "source_profile_version", "property_id")), F.when(status == "O", F.array(receipt)).alias("deployment_receipts"), F.when(F.col("o_totalprice") >= 100000, F.struct(F.array(F.lit(1), F.lit(2)).alias("rows"))).alias("report"),
+        F.when(status != "O", F.struct(F.lit("p").alias("property_id"), F.when(status == "F", "now").alias("mapped_at"))).alias("property_mapping"),
+    )
+    return records.result_records(t.orders.select("o_orderkey", F.to_json(body).alias("body")), "o_orderkey", "body", "v1").select("o_orderkey", "record_type", "error")
+
+
 @query(
     "SRC-08",
     """WITH p AS (SELECT o_orderpriority AS source_type, o_custkey AS k, count(*) AS n FROM orders GROUP BY 1, 2),
