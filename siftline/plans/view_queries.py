@@ -91,8 +91,8 @@ def decision_guard(t: Tables) -> DataFrame:
        SELECT user_id, ts FROM l, n WHERE epoch(now) - epoch(ts) <= 168 * 3600""",
 )
 def fresh_snapshots(t: Tables) -> DataFrame:
-    now = t.events.agg(F.max("ts").alias("now")).first().now
-    return views.fresh(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", F.lit(now)).select("user_id", "ts")
+    now = F.broadcast(t.events.agg(F.max("ts").alias("now")))  # one row
+    return views.fresh(t.events.select("user_id", "ts", "event_id").join(now), "user_id", "ts", "event_id", F.col("now")).select("user_id", "ts")
 
 
 @query("ST-20", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")

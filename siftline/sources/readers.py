@@ -139,9 +139,12 @@ def sheet(spark: SparkSession, values: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in header))
 
 
-def suppressions(df: DataFrame) -> DataFrame:
-    """email, reason, source of valid addresses in lower case; the last row of an address counts (SRC-18)."""
-    rows = df.where(valid_recipient(F.col("email"))).select(F.lower(F.trim("email")).alias("email"), "reason", "source", F.monotonically_increasing_id().alias("_pos"))
+def suppressions(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """email, reason, source of valid addresses in lower case; the last row of an address counts (SRC-18).
+
+    order_by: a column with a row's place in its file; without one, rows count in the order of the file's splits."""
+    place = F.col(order_by).cast("long") if order_by else F.monotonically_increasing_id()
+    rows = df.where(valid_recipient(F.col("email"))).select(F.lower(F.trim("email")).alias("email"), "reason", "source", place.alias("_pos"))
     return rows.groupBy("email").agg(F.max_by(F.struct("reason", "source"), "_pos").alias("r")).select("email", "r.reason", "r.source")
 
 

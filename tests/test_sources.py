@@ -40,6 +40,8 @@ def test_evidence_readers(spark, tmp_path):
     assert {r.k: r.s for r in readers.latest_status(files, "k", "s").collect()} == {"a": "NEW", "b": "B"}
     sup = spark.createDataFrame([("A@b.co", "x", "s"), ("a@B.co", "y", "s"), ("bad", "z", "s")], "email string, reason string, source string").coalesce(1)
     assert [(r.email, r.reason) for r in readers.suppressions(sup).collect()] == [("a@b.co", "y")]
+    placed = spark.createDataFrame([("A@b.co", "late", "s", "10"), ("a@b.co", "early", "s", "2")], "email string, reason string, source string, row string").repartition(2)
+    assert [r.reason for r in readers.suppressions(placed, "row").collect()] == ["late"]
     raw = json.dumps({"12": "t" * 32, "13": "short", "x": "t" * 40})
     assert list(spark.range(1).select(readers.tokens(F.lit(raw)).alias("t")).first().t) == ["12"]
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "k long")
