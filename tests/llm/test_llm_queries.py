@@ -21,7 +21,7 @@ def rows(df):
 @pytest.mark.parametrize("name", [n for n in queries.ORACLE_SQL if n != "op10_url_filter"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     got = queries.QUERIES[name](spark, FOLDER)
     order = ", ".join(sorted(got.columns))
@@ -53,6 +53,26 @@ def test_stages_do_their_work(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() == packed.count()
 
 
+def test_stages_handle_nulls_repeats_and_clashing_names(spark):
+    """Rows with nulls in any column, repeated and null ids, empty and long texts, columns named as those used inside, and no rows at all."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    good = docs.where("n_chars > 500").limit(40)
+    odd = [(None, None, None, None, None), (None, "", "en", "s", 0), (1, None, None, "s", 1), (1, "x " * 30_000, "en", None, 60_000), (1, "x " * 30_000, "en", None, 60_000), (2, "Same words here as there are", "en", "s", 5), (2, "Same words here as there are", "en", "s", 5)]
+    mixed = good.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in ("h", "key", "root", "size", "target", "shard", "m_size", "sequence_id"):
+        mixed = mixed.withColumn(name, F.lit("mine"))
+    for rows in (mixed, mixed.limit(0)):
+        current = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            current = stage(spark, current, FOLDER)
+            assert current.columns == rows.columns, name
+            current = spark.createDataFrame(current.collect(), current.schema)  # as read again
+        packed = corpus_pipeline.STAGES[-1][1](spark, current, FOLDER)
+        full = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+        assert full.where("n > 1024 OR n <> end").count() == 0
+        assert (packed.count() == 0) == (current.count() == 0)
+
+
 def test_held_out_rule(spark):
     from siftline.llm import langid
 
