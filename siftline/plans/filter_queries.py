@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters
@@ -34,7 +34,11 @@ def pool_list(t: Tables) -> DataFrame:
        SELECT c_custkey, screen_status, floor(score)::BIGINT AS score FROM c JOIN s ON o_custkey = c_custkey WHERE contains(domain, '1.com') AND screen_status = 'PASS'""",
 )
 def screened_list(t: Tables) -> DataFrame:
-    screen = t.orders.groupBy("o_custkey").agg(F.when(F.count_if(F.col("o_orderstatus") == "P") > 0, "HOLD").otherwise("PASS").alias("screen_status"), F.floor(F.sum("o_totalprice")).alias("score"))
+    """Scores are sums of doubles, rounded down: each customer's orders are added in the order of the table's key, as the SQL reads them, however rows are dealt over tasks."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice")
+    upto = F.sum("o_totalprice").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    summed = t.orders.select("o_custkey", "o_orderstatus", upto.alias("upto"), F.row_number().over(order).alias("k"))
+    screen = summed.groupBy("o_custkey").agg(F.when(F.count_if(F.col("o_orderstatus") == "P") > 0, "HOLD").otherwise("PASS").alias("screen_status"), F.floor(F.max_by("upto", "k")).alias("score"))
     joined = customers(t).join(screen, F.col("c_custkey") == F.col("o_custkey"))
     return filters.filtered(joined, SCREENED, {"q": "1.COM", "status": None, "screen_status": "PASS"}).select("c_custkey", "screen_status", "score")
 
