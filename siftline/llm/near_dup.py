@@ -14,13 +14,10 @@ allows has at most (1 - similarity) times the longer one's words in edits; words
 they are. Members of a key that still holds several classes are then compared with each other, all
 with all, by what no link can exceed: the difference of their lengths, and the bits in which the sets
 of their words differ (an edit takes a word out of the set and puts one in, at most). Pairs within both
-bounds are aligned, unless their classes are joined already. A task holds two blocks of such a key, and a
-key of up to `crowd` members (and four million words) leaves no pair out. Keys of more (a passage that very many documents share) are dealt again by one
-sketch more, up to `rounds` times, and get other centres; what then still holds several classes is joined
-exactly: each text's k-mers are ordered by rarity, and those of different classes that share so many of
-the rarest that a Jaccard similarity of `overlap` is possible are aligned as well. So in keys of up to
-`crowd` members every link that shares a sketch is found, in larger ones every link whose k-mers
-have the overlap, and no pairs of a group pile up.
+bounds are aligned, unless their classes are joined already. A task holds two blocks of such a key. This is
+done with keys of any number of members: larger ones have more blocks, and larger blocks up to a bound, so
+no task grows with a key, and no pair that shares a sketch is left out, however many others share it. The
+comparisons of a key grow with the square of its members, in lengths and bits; they are dealt over tasks, and no pairs pile up.
 Classes are the connected components of links.
 
 What links are found: two texts with a share e of their words edited at random keep k-mers with a
@@ -60,13 +57,12 @@ from .components import components
 from .hashing import BY_LETTERS, Words, chained, mix, spans, words_of
 from .quality import slices
 
-K, ELL, SKETCHES, SIMILARITY, OVERLAP, ROUNDS = 5, 2, 32, 0.8, 0.8, 3
-#: Members of a key that are compared all with all, and their words; the bits in which a text's words are noted.
-CROWD, CROWD_WORDS, BITS = 4096, 1 << 22, 1024
-#: Members of a block; a task compares two.
-BLOCK_ROWS = 256
-#: Counters that k-mers are counted in by hash, to tell rare ones from frequent ones.
-COUNTERS = 1 << 18
+K, ELL, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
+#: Members of a block of a key's members, of which a task compares two: CROWD, while a key has no more than BLOCKS of these, then
+#: up to LARGER times as many. A block has about BLOCK_WORDS words at most. None of these changes what is found.
+CROWD, BLOCKS, LARGER, BLOCK_WORDS = 256, 16, 8, 1 << 19
+#: The bits in which a text's words are noted.
+BITS = 1024
 #: Bytes of lower-cased text to bytes of words parted by spaces.
 SPACED = np.where(BY_LETTERS == 0, 32, BY_LETTERS).astype(np.uint8).tobytes()
 
@@ -211,29 +207,13 @@ def banded(x: list, y: list, bound: int) -> bool:
     return distance <= k
 
 
-def shared_runs(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """The Jaccard similarity of the runs of k words of two numbered texts, each run counted as often as it stands there."""
-    runs = []
-    for z in (x, y):
-        key = z[: len(z) - k + 1] if len(z) >= k else z[:1]
-        for i in range(1, min(k, len(z))):
-            key = key * np.int64(0x2545F4914F6CDD1D) + z[i : i + len(key)]
-        runs.append(key)
-    _, at = np.unique(np.concatenate(runs), return_inverse=True)
-    n = at.max() + 1
-    both = np.minimum(np.bincount(at[: len(runs[0])], minlength=n), np.bincount(at[len(runs[0]) :], minlength=n)).sum()
-    return both / (len(at) - both)
-
-
-def within(a: str, b: str, bound: int, least: float = 0.0, k: int = K) -> bool:
-    """Whether at most `bound` words must be changed, added or taken out to make a into b, and `least` of their runs of k words are shared."""
+def within(a: str, b: str, bound: int) -> bool:
+    """Whether at most `bound` words must be changed, added or taken out to make a into b."""
     p, q = a.split(" "), b.split(" ")
     if abs(len(p) - len(q)) > bound:
         return False
     number: dict[str, int] = {}
     x, y = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (p, q))
-    if least and shared_runs(x, y, k) < least:
-        return False
     differ = np.flatnonzero(x[: len(y)] != y[: len(x)])
     begin = int(differ[0]) if len(differ) else min(len(x), len(y))
     x, y = x[begin:], y[begin:]
@@ -254,46 +234,35 @@ def within(a: str, b: str, bound: int, least: float = 0.0, k: int = K) -> bool:
     return banded(x.tolist(), y.tolist(), bound)
 
 
-def aligned(pairs: DataFrame, least: float, k: int) -> DataFrame:
+def aligned(pairs: DataFrame) -> DataFrame:
     """a, b, near of pairs (a, b, a_code, b_code, bound); few texts are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
-            near = [within(*row, least, k) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            near = [within(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], ["a", "b", "near"])
 
     return pairs.select("a", "b", "a_code", "b_code", "bound").mapInArrow(run, "a long, b long, near boolean")
 
 
-def mixed(members: DataFrame) -> DataFrame:
-    """The keys whose members (key, g) aren't all of one group."""
-    return members.groupBy("key").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("key")
-
-
-def verified(pairs: DataFrame, codes: DataFrame, sizes: DataFrame, similarity: float, overlap: float = 0.0, k: int = K) -> DataFrame:
-    """pairs (a, b) with near, whether their alignment stays within the bound (and their runs of k words have the overlap)."""
+def verified(pairs: DataFrame, codes: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with near, whether their alignment stays within the bound."""
     bound = F.floor(F.greatest("n", "b_n") * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     sized = pairs.join(sizes.select(F.col("h").alias("a"), "n"), "a").join(sizes.select(F.col("h").alias("b"), F.col("n").alias("b_n")), "b")
     sized = stored(sized.withColumn("bound", bound), "pairs")
     close = sized.where(F.abs(F.col("n") - F.col("b_n")) <= F.col("bound"))
     some = [codes.where(KeyFilter.of(sized.select(c)).column(F.col("h"))).select(F.col("h").alias(c), F.col("code").alias(f"{c}_code")) for c in ("a", "b")]
     text = close.join(some[0].hint("merge"), "a").join(some[1].hint("merge"), "b")
-    near = aligned(text, overlap, k)
+    near = aligned(text)
     far = sized.where(F.abs(F.col("n") - F.col("b_n")) > F.col("bound")).select("a", "b", F.lit(False).alias("near"))
     return near.unionByName(far)
 
 
-def links(members: DataFrame, codes: DataFrame, sizes: DataFrame, similarity: float, tried: DataFrame | None, rank: Column) -> tuple[DataFrame, DataFrame]:
-    """The tried pairs (a, b, near) of members (key, h, g, ...) with their key's centre, that of the least rank, and members with a, b and c_g.
-
-    Members with the same g are known to be of one class and aren't compared; a is the greater of a pair."""
-    centre = members.groupBy("key").agg(F.min_by(F.struct("h", "g"), rank).alias("c"), (F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("key", "c")
-    paired = members.join(centre, "key").where("h <> c.h").withColumns({"a": F.greatest("h", "c.h"), "b": F.least("h", "c.h"), "c_g": F.col("c.g")}).drop("c")
-    paired = stored(paired, "paired")
-    pairs = paired.where("g <> c_g").select("a", "b").distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return stored(verified(pairs, codes, sizes, similarity), "tried"), paired
+def links(members: DataFrame, codes: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the links of members (key, h) to their key's centre, that of the least h; a is the greater of a pair."""
+    centre = members.groupBy("key").agg(F.min("h").alias("c"), (F.min("h") != F.max("h")).alias("mixed")).where("mixed").select("key", "c")
+    pairs = members.join(centre, "key").where("h <> c").select(F.greatest("h", "c").alias("a"), F.least("h", "c").alias("b")).distinct()
+    return stored(verified(stored(pairs, "pairs"), codes, sizes, similarity), "tried").where("near").select("a", "b")
 
 
 def word_bits(codes: DataFrame) -> DataFrame:
@@ -341,9 +310,9 @@ class Classes:
 
 
 def crowded(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links between members (key, m, h, g, keys, n, bits, code) of one key that join their classes. m: members of the key.
+    """a, b: links between members (key, blocks, h, g, keys, n, bits, code) of one key that join their classes.
 
-    A key's members are dealt into blocks of about BLOCK_ROWS, and a task compares two blocks, or one with itself. Pairs within the bounds
+    A key's members are dealt into as many blocks as said, and a task compares two blocks, or one with itself. Pairs within the bounds
     of length and words are aligned where they stand; two members of several keys are tried in the least of these, and not at all
     once their classes are joined in the task. So a task gives no more links than it holds classes."""
 
@@ -375,71 +344,13 @@ def crowded(members: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield flush(held)
 
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS)
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("h"), blocks)
     met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct((F.least(x, F.col("block")) * blocks + F.greatest(x, F.col("block"))).alias("met"), (x != F.col("block")).alias("cross")))
     dealt = members.withColumn("block", own).select("key", F.inline(met), "h", "g", "keys", "n", "bits", "code", "block")
     return dealt.repartition("key", "met").sortWithinPartitions("key", "met").mapInArrow(run, "a long, b long")
 
 
-def runs_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k-mers of a batch's texts (column 1)."""
-    return kmers(words_of(batch.column(1).to_pylist(), BY_LETTERS), k)
-
-
-def counted(texts: DataFrame, k: int) -> np.ndarray:
-    """How many k-mers of texts (h, code) fall to each counter; a sum of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in pieces(batches, 64):
-            counts += np.bincount((runs_of(batch, k)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
-
-    table = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    return out
-
-
-def prefixes(texts: DataFrame, counts: np.ndarray, k: int, overlap: float) -> DataFrame:
-    """key, h, g, i, size of texts (h, code, g): the rarest of the `size` k-mers of each text, so many that texts with the overlap share one; i is the place by rarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 64):
-            grams, offsets = runs_of(batch, k)
-            size = np.diff(offsets)
-            owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((grams, counts[(grams % np.uint64(COUNTERS)).astype(np.int64)], owner))
-            place = np.arange(len(grams)) - offsets[owner]
-            taken = place < (size - np.ceil(overlap * size - 1e-9).astype(np.int64) + 1)[owner]
-            at = owner[taken]
-            of_text = (batch.column(c).take(pa.array(at)) for c in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[order][taken].view(np.int64)), *of_text, pa.array(place[taken].astype(np.int32)), pa.array(size[at].astype(np.int32))], ["key", "h", "g", "i", "size"])
-
-    return texts.mapInArrow(run, "key long, h long, g long, i int, size int")
-
-
-def overlapping(members: DataFrame, roots: DataFrame, codes: DataFrame, k: int, overlap: float) -> DataFrame:
-    """a, b: all pairs of different classes whose k-mers have at least the Jaccard similarity `overlap`, and others, among
-    the members (key, h) of keys that hold several classes. Texts that share frequent k-mers only aren't paired."""
-    named = members.select("key", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("g"))
-    named = stored(named, "named")
-    left = stored(named.join(mixed(named), "key", "left_semi").select("h", "g").distinct(), "left")
-    texts = stored(codes.where(KeyFilter.of(left.select("h")).column(F.col("h"))).join(left.hint("merge"), "h").select("h", "code", "g"), "texts")
-    found = stored(prefixes(texts, counted(texts.select("h", "code"), k), k, overlap), "prefixes")
-    keys = stored(mixed(found), "keys")
-    found = stored(found.where(KeyFilter.of(keys).column(F.col("key"))).join(keys.hint("merge"), "key", "left_semi"), "prefixes")
-    a, b = found.select("key", *(F.col(c).alias(f"a_{c}") for c in ("h", "g", "i", "size"))), found.select("key", *(F.col(c).alias(f"b_{c}") for c in ("h", "g", "i", "size")))
-    pairs = a.join(b, "key").where((F.col("a_h") > F.col("b_h")) & (F.col("a_g") != F.col("b_g")))
-    met = pairs.groupBy("a_h", "b_h").agg(F.count("*").alias("n"), F.max("a_i").alias("a_i"), F.max("b_i").alias("b_i"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
-    # By rarity, texts share no k-mers before the last that met but those that met; behind it no more than the shorter rest.
-    most = F.col("n") + F.least(F.col("a_size") - F.col("a_i"), F.col("b_size") - F.col("b_i")) - 1
-    needed = F.lit(overlap / (1 + overlap)) * (F.col("a_size") + F.col("b_size")) - F.lit(1e-6)
-    return met.where(most >= needed).select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
-
-
 def sequences(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows and their distinct word sequences, with h telling them apart: where two sequences agree in h and not in g, others than the first get a new h."""
     unique = rows.where("h IS NOT NULL").groupBy("h", "g").agg(F.first("n").alias("n"), F.min("t").alias("t"), F.first("sketch").alias("sketch"))
@@ -452,66 +363,40 @@ def sequences(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, unique
 
 
-def dealt_again(paired: DataFrame, first: DataFrame, tried: DataFrame, known: DataFrame, codes: DataFrame, sizes: DataFrame, sketch_of: DataFrame, similarity: float, k: int, sketches: int, overlap: float, rounds: int) -> DataFrame:
-    """a, b: links among the members of keys of very many, after they met their centre (paired, tried); known: links found already."""
-    found = known
-    for level in range(1, rounds):
-        # Those near the centre are of its group from now on; they stay candidates for the others while the key has any of another group.
-        of_centre = (F.col("g") == F.col("c_g")) | F.coalesce("near", F.lit(False))
-        judged = paired.join(tried, ["a", "b"], "left").select("key", "h", "j", F.when(of_centre, F.col("c_g")).otherwise(F.col("g")).alias("g"))
-        judged = stored(judged, "judged")
-        left = judged.join(mixed(judged), "key", "left_semi")
-        # By one sketch more: those that only share a passage part, those that are alike meet again under many of their keys.
-        more = F.element_at("sketch", (F.col("j") + level) % sketches + 1)
-        again = left.join(sketch_of, "h").select(F.xxhash64("key", more).alias("key"), "h", "j", "g")
-        members = stored(again.join(mixed(again), "key", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        new, paired = links(members, codes, sizes, similarity, tried, F.xxhash64("h", "key"))
-        tried = tried.unionByName(new)
-        found = known.unionByName(tried.where("near").select("a", "b"))
-        if new.where("near").isEmpty():
-            break
-    # What still holds several classes: an exact join in place of the sketches, which tell pairs of them by chance only.
-    pairs = overlapping(first, components(found), codes, k, overlap).join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(stored(pairs, "rest"), codes, sizes, similarity, overlap - 1e-9, k).where("near").select("a", "b"), "more")
-    return found.unionByName(more)
-
-
-def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ell: int = ELL, sketches: int = SKETCHES, overlap: float = OVERLAP, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, t (hash of the text), class_id, class_size, kept for every row of docs."""
+def blocks_of(members: Column, words: Column, crowd: int) -> Column:
+    """Into how many blocks a key's members are dealt: enough that none has more than LARGER times `crowd` members or BLOCK_WORDS words, and while they are few, `crowd` each."""
+    return F.greatest(F.least(F.ceil(members / crowd), F.lit(BLOCKS)), F.ceil(members / (LARGER * crowd)), F.ceil(words / BLOCK_WORDS)).cast("long")
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, ell: int = ELL, sketches: int = SKETCHES, crowd: int = CROWD, overlap: float | None = None) -> DataFrame:
+    """doc_id, t (hash of the text), class_id, class_size, kept for every row of docs. crowd: members of a block, which nothing
+    that is found depends on, and neither on overlap, which earlier callers give."""
     rows, unique = sequences(stored(sketched(docs, k, ell, sketches), "sketches"))
-    members = unique.select("h", F.posexplode("sketch").alias("j", "key"))
+    members = unique.select("h", F.explode("sketch").alias("key"))
     shared = stored(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
     members = members.where(KeyFilter.of(shared).column(F.col("key")))
-    members = first = stored(members.join(shared.hint("merge"), "key").withColumn("g", F.col("h")), "members")
-    sizes = unique.select("h", F.col("g").alias("low"), "n", "t", "sketch").join(members.select("h").distinct().hint("merge"), "h", "left_semi")
+    members = stored(members.join(shared.hint("merge"), "key"), "members")
+    sizes = unique.select("h", F.col("g").alias("low"), "n", "t").join(members.select("h").distinct().hint("merge"), "h", "left_semi")
     sizes = stored(sizes, "sizes")
-    sketch_of = sizes.select("h", "sketch")
     codes = coded(docs, KeyFilter.of(sizes.select("t"))).groupBy("h", "g").agg(F.first("code").alias("code"))
     named = sizes.select(F.col("h").alias("node"), F.col("low").alias("g"))
     codes = stored(codes.join(named, "g").where((F.col("node") == F.col("h")) | (F.col("node") == F.xxhash64("h", "g"))).select(F.col("node").alias("h"), "code"), "codes")
     sizes = sizes.select("h", "n")
     # One centre for the many keys of a class makes few pairs.
-    tried, paired = links(members, codes, sizes, similarity, None, F.col("h"))
-    found = tried.where("near").select("a", "b")
+    found = links(members, codes, sizes, similarity)
     roots = components(found)
 
-    # Keys that still hold several classes: all with all where they aren't many.
+    # Keys that still hold several classes, of however many members: all with all.
     classes = roots.select(F.col("node").alias("h"), "root")
-    named = stored(first.select("key", "h").join(classes, "h", "left").select("key", "h", F.coalesce("root", "h").alias("g")), "named")
+    named = stored(members.join(classes, "h", "left").select("key", "h", F.coalesce("root", "h").alias("g")), "named")
     held = named.join(sizes, "h").groupBy("key").agg((F.min("g") != F.max("g")).alias("mixed"), F.count("*").alias("m"), F.sum("n").alias("words")).where("mixed")
-    small = (F.col("m") <= crowd) & (F.col("words") <= CROWD_WORDS)
-    held = stored(held.select("key", "m", small.alias("small")), "held")
-    few = stored(named.join(held.where("small"), "key").select("key", "m", "h", "g"), "few")
-    some = KeyFilter.of(few.select("h"))
-    texts = stored(codes.where(some.column(F.col("h"))).join(few.groupBy("h").agg(F.collect_list("key").alias("keys")).hint("merge"), "h"), "texts")  # at most `sketches` keys
+    held = stored(held.select("key", blocks_of(F.col("m"), F.col("words"), crowd).alias("blocks")), "held")
+    left = stored(named.join(held, "key").select("key", "blocks", "h", "g"), "left")
+    some = KeyFilter.of(left.select("h"))
+    texts = stored(codes.where(some.column(F.col("h"))).join(left.groupBy("h").agg(F.collect_list("key").alias("keys")).hint("merge"), "h"), "texts")  # at most `sketches` keys
     texts = texts.join(word_bits(texts.select("h", "code")).hint("merge"), "h")
-    more = stored(crowded(few.join(sizes, "h").join(texts.hint("merge"), "h"), similarity), "crowded")
+    more = stored(crowded(left.join(sizes, "h").join(texts.hint("merge"), "h"), similarity), "crowded")
     found = found.unionByName(more)
-    many = stored(held.where("NOT small").select("key"), "many")
-    if not many.isEmpty():
-        found = found.unionByName(dealt_again(paired.join(many, "key", "left_semi"), first.join(many, "key", "left_semi"), tried, found, codes, sizes, sketch_of, similarity, k, sketches, overlap, rounds))
     roots = components(found)
     classed = rows.select("doc_id", "t", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("doc_id", "t", F.coalesce("root", "h").alias("root"))
     classed = stored(classed, "classed")

@@ -586,6 +586,13 @@ def test_near_duplicates_recall_among_documents_that_share_passages(spark, crowd
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+def test_near_duplicates_do_not_depend_on_how_many_share_a_key(spark):
+    """The same classes whatever the members of a block: links among hundreds that share a passage as among few."""
+    rows = shared_passages(random.Random(22), (10, 15), 60)
+    whole, small = ({r.doc_id: r.class_id for r in near_dup.near_duplicates(documents(spark, rows), crowd=crowd).collect()} for crowd in (1000, 12))
+    assert whole == small
+
+
 @given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=12), st.integers(0, 3))
 @settings(max_examples=60, deadline=None)
 def test_bounds_of_words_rule_out_no_link(texts, classes):
