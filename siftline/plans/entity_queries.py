@@ -225,9 +225,9 @@ def referential_checks(t: Tables) -> DataFrame:
 )
 def token_jaccard(t: Tables) -> DataFrame:
     words = t.part.where("p_size <= 5").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split(text.plain_key(F.col("p_name")), " ")).alias("w"))
-    a, b = words.alias("a"), words.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.size(F.array_intersect("a.w", "b.w")).alias("shared"), F.size(F.array_union("a.w", "b.w")).alias("together"))
+    shared = F.size(F.array_intersect("a.w", "b.w"))  # words are distinct on both sides
+    pairs = joins.block_pairs(words, ["p_brand", "p_size"], "p_partkey")
+    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), shared.alias("shared"), (F.size("a.w") + F.size("b.w") - shared).alias("together"))
 
 
 @query("JOIN-22, FN-61")

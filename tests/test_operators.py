@@ -184,6 +184,18 @@ def test_similar_to_firsts_loses_no_pair_and_grows_with_the_names(spark):
     assert all(n == 1 + sum(of(i) == f and i != f for _, i in ids) for f, n in copies.items())
 
 
+def test_block_pairs_spread_one_large_group(spark):
+    rows = [("big" if i < 300 else None if i % 5 == 0 else f"g{i % 9}", i if i % 50 else None, i * i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = joins.block_pairs(df, ["g"], "k", block_rows=16, task_pairs=1000)
+    want = {(p, q) for g, p, _ in rows for h, q, _ in rows if g is not None and g == h and p is not None and q is not None and p < q}
+    pairs = [(r.a.k, r.b.k) for r in got.collect()]
+    assert len(pairs) == len(want) and set(pairs) == want and got.first().a.v == got.first().a.k ** 2
+    shares = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(shares) > 10 and max(shares) < len(want) / 5
+    assert joins.block_pairs(df.where("false"), ["g"], "k").count() == 0
+
+
 def test_overlay_and_preferred(spark):
     base = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
     over = spark.createDataFrame([(1, "z")], "id long, v string")
