@@ -51,50 +51,61 @@ def run_states(chunks: DataFrame, limits: Limits) -> DataFrame:
 
 
 TOKEN_OUT = "token string, id long, at timestamp, outcome string"
-
-
-def token_outcomes(events: DataFrame, ttl_seconds: int, late: str) -> DataFrame:
+#: Cells that tokens are dealt into by hash. A cell is what Spark keeps a state, a timer and a call for; a token's facts are its own.
+CELLS = 1 << 13
+
+
+def judged(held: dict, mark: int, ttl: int) -> Iterator[tuple[int, int, str]]:
+    """(id, at, outcome) of a token's submissions that the watermark has reached, in order; they wait no longer then."""
+    waiting, facts = sorted(held["waiting"]), held["facts"]
+    due = sum(at // 1000 <= mark for at, _ in waiting)
+    held["waiting"] = waiting[due:]
+    for event in waiting[:due]:
+        came = {kind: facts[kind] < event if kind in facts else False for kind in (ISSUED, DELIVERED, REVOKED)}
+        if not came[ISSUED]:
+            outcome = "INVALID"
+        elif came[REVOKED]:
+            outcome = "REVOKED"
+        elif event[0] > facts[ISSUED][0] + ttl:
+            outcome = "EXPIRED"
+        elif not came[DELIVERED]:
+            outcome = "NOT_DELIVERED"
+        else:
+            outcome = "DUPLICATE_IGNORED" if held["recorded"] else "RECORDED"
+            held["recorded"] = True
+        yield event[1], event[0], outcome
+
+
+def token_outcomes(events: DataFrame, ttl_seconds: int, late: str, cells: int = CELLS) -> DataFrame:
     """The rows of runs.token_outcomes for a stream of events (token, id, at, kind), whatever order they come in.
 
     A submission is judged once the watermark has reached its time, so that all that came before it is known; a timer of event
-    time wakes the token then. Once its time to live is past and nothing waits, all that is kept is that it expired; events that
-    come later than `late` after newer ones may be judged without what they bring."""
+    time wakes the tokens' cell then. Once its time to live is past and nothing waits, all that is kept is that it expired; events that
+    come later than `late` after newer ones may be judged without what they bring. Tokens are dealt into cells by hash, for a call
+    costs far more than a token; a checkpoint goes with its number of cells."""
     ttl = ttl_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"facts": {}, "waiting": [], "recorded": False}
+        tokens = json.loads(state.get[0]) if state.exists else {}
         for batch in batches:
             micros = batch["at"].astype("datetime64[us]").astype("int64")
-            for kind, at, i in zip(batch["kind"], micros, batch["id"], strict=True):
-                event = [int(at), int(i)]
+            for token, kind, at, i in zip(batch["token"].tolist(), batch["kind"].tolist(), micros.tolist(), batch["id"].tolist(), strict=True):
+                held, event = tokens.setdefault(token, {"facts": {}, "waiting": [], "recorded": False}), [at, int(i)]
                 if kind == SUBMITTED:
                     held["waiting"].append(event)
                 elif kind in (ISSUED, DELIVERED, REVOKED):
                     held["facts"][kind] = min(event, held["facts"].get(kind, event))
-        mark, out, facts = state.getCurrentWatermarkMs(), [], held["facts"]
-        held["waiting"].sort()
-        while held["waiting"] and held["waiting"][0][0] // 1000 <= mark:
-            event = held["waiting"].pop(0)
-            came = {kind: facts[kind] < event if kind in facts else False for kind in (ISSUED, DELIVERED, REVOKED)}
-            if not came[ISSUED]:
-                outcome = "INVALID"
-            elif came[REVOKED]:
-                outcome = "REVOKED"
-            elif event[0] > facts[ISSUED][0] + ttl:
-                outcome = "EXPIRED"
-            elif not came[DELIVERED]:
-                outcome = "NOT_DELIVERED"
-            else:
-                outcome = "DUPLICATE_IGNORED" if held["recorded"] else "RECORDED"
-                held["recorded"] = True
-            out.append((key[0], event[1], pd.Timestamp(event[0], unit="us"), outcome))
-        if held["waiting"]:
-            state.setTimeoutTimestamp(max(held["waiting"][0][0] // 1000 - 1, mark + 1))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["token", "id", "at", "outcome"])
+        mark = state.getCurrentWatermarkMs()
+        out = [(token, *row) for token, held in tokens.items() if held["waiting"] for row in judged(held, mark, ttl)]
+        first = min((min(held["waiting"])[0] for held in tokens.values() if held["waiting"]), default=None)
+        if first is not None:
+            state.setTimeoutTimestamp(max(first // 1000 - 1, mark + 1))
+        state.update((json.dumps(tokens),))
+        shown = pd.DataFrame(out, columns=["token", "id", "at", "outcome"])
+        yield shown.assign(at=pd.to_datetime(shown["at"].astype("int64"), unit="us"))
 
     keyed = events.where("token IS NOT NULL").withColumn("token", F.col("token").cast("string")).withWatermark("at", late)
-    return keyed.groupBy("token").applyInPandasWithState(step, TOKEN_OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.withColumn("cell", F.pmod(F.xxhash64("token"), F.lit(cells))).groupBy("cell").applyInPandasWithState(step, TOKEN_OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_through(stream: DataFrame, folder: str) -> DataFrame:

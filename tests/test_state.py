@@ -111,3 +111,13 @@ def test_stream_of_tokens_equals_batch(spark, tmp_path, seed):
     spark.createDataFrame(last, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     got = state.read_through(state.token_outcomes(stream.withColumn("token", F.coalesce("token", F.lit("none"))), 7200, "1 day"), f"file://{tmp_path}/out").collect()
     assert sorted((r.token, r.id, r.outcome) for r in got if r.token != "none") == plain_tokens(rows, 7200)
+
+
+def test_tokens_share_cells_and_keep_their_own_facts(spark, tmp_path):
+    """Hundreds of tokens in three cells, each called for all of its tokens at once: the rows are those of each token alone."""
+    rng = random.Random(8)
+    rows = [(f"{token}-{i % 7}" if token else None, n, *rest) for i, (token, n, *rest) in enumerate(random_events(rng))]
+    stream = arrive(spark, tmp_path, rows, EVENTS, rng)
+    spark.createDataFrame([(None, -1, START + timedelta(days=30), "OTHER")], EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = state.read_through(state.token_outcomes(stream.withColumn("token", F.coalesce("token", F.lit("none"))), 7200, "1 day", cells=3), f"file://{tmp_path}/out").collect()
+    assert sorted((r.token, r.id, r.outcome) for r in got if r.token != "none") == plain_tokens(rows, 7200)
