@@ -16,6 +16,9 @@ from .catalog import Tables, query
 HEADINGS = ["Partnerships", "Customer support", "Press office", "Legal notice", "General inquiries", "Opening hours", "Business development"]
 KINDS = ["PARTNERSHIP_EMAIL", "SUPPORT_EMAIL", "SALES_MARKETING_EMAIL", "RESTRICTED_EMAIL", "GENERAL_BUSINESS_EMAIL", "OTHER", "BUSINESS_DEVELOPMENT_EMAIL"]
 
+#: Pages that a task reads, where narrow rows are made into pages.
+PER_TASK = 8192
+
 
 def phrase(at):
     return F.element_at(F.array(*map(F.lit, HEADINGS)), (at % len(HEADINGS) + 1).cast("int"))
@@ -66,7 +69,9 @@ def page_people(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("<div class='testimonial'><b>"), who, F.lit("</b><i>"), role, F.lit("</i></div><div class='customer'>"), who, F.lit(", owner</div>")))
     )
     mail = F.concat(F.lit("<p>mail team"), "c_custkey", F.lit("@x.example</p>"))
-    pages = t.customer.join(broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lit("https://x.example/").alias("url"), F.concat(body, mail).alias("html"))  # 25 nations
+    rows = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    rows = rows.repartition(max(1, -(-rows.count() // PER_TASK)))  # pages are read where their rows stand, and few row groups hold many rows
+    pages = rows.join(broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lit("https://x.example/").alias("url"), F.concat(body, mail).alias("html"))  # 25 nations
     return channels.contact_evidence(pages, "c_custkey", "url", "html").select("c_custkey", "name", "title", "email", "contact_type")
 
 

@@ -234,3 +234,16 @@ def test_campaigns(spark):
     sup = spark.createDataFrame([("a@X.org",)], "email string")
     replies = spark.createDataFrame([("b@x.org", "UNSUBSCRIBE"), ("c@x.org", "QUESTION")], "email string, reply_class string")
     assert [r.recipient for r in campaigns.suppressed(drafts, sup, replies).collect()] == ["c@x.org"]
+
+
+def test_page_people_deals_pages_over_tasks(spark, monkeypatch):
+    from siftline.plans import page_queries
+
+    monkeypatch.setattr(page_queries, "PER_TASK", 10)
+    monkeypatch.setattr(page_queries.channels, "contact_evidence", lambda pages, *_: pages.selectExpr("c_custkey", "html AS name", "html AS title", "html AS email", "html AS contact_type"))
+    customer = spark.createDataFrame([(i, 1, "BUILDING", 1.0) for i in range(95)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").coalesce(1)
+    from types import SimpleNamespace
+
+    pages = page_queries.page_people(SimpleNamespace(customer=customer, nation=spark.createDataFrame([(1, "PERU")], "n_nationkey int, n_name string")))
+    shares = [r.n for r in pages.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(shares) == 95 and len(shares) == 10 and max(shares) <= 11
