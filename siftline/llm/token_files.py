@@ -42,6 +42,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
 FRAME_BYTES = 1 << 18
+#: Words that a worker keeps: texts with many rare words cost most where these are asked for again (about 0.2 GB a worker at most).
+CACHE_WORDS = 800_000
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u4"), ("frame", "<u4")])
 MANIFEST = "file string, docs long, tokens long, min_doc_id long"
 
@@ -143,7 +145,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, spaced: bool, fol
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, fs, name = encoder(path, spaced).encode, None, None, ""
+        encode, writer, fs, name = encoder(path, spaced, CACHE_WORDS).encode, None, None, ""
         docs = tokens = 0
         first = None
         for ids, texts in lists(batches):

@@ -21,6 +21,10 @@ CACHE_WORDS = 300_000
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How byte-level vocabularies write each byte: printable ones as themselves, the others in order from U+0100.
 AS_TEXT = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
+#: Letters before this one are taken for letters by all the splitting rules.
+BEYOND = "\u0130"
+#: Marks that may end a word, and how many of them: a run of them is a piece for both kinds, with nothing of an elision ('s).
+MARKS, MOST_MARKS = "!#$%&*,.:;?", 4
 
 
 def packed(ids: list[int]) -> bytes:
@@ -49,7 +53,7 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " \n").split(" ")
+        words = text.replace("\n", " \n" if self.spaced else " ").split(" ")  # without `spaced`, white space only parts words
         first = self.first(words[0])
         if first is None:
             return self.whole(text)
@@ -87,16 +91,15 @@ class TextEncoder:
         for w in set(words).difference(young):
             if (got := old.get(w)) is not None:
                 young[w] = got
-            elif self.one_piece(w):
+            elif w.isalpha() and (w.isascii() or max(w) < BEYOND):
                 young[w] = self.piece(w)
             elif (s := self.string(w)) is None:
                 return False
-            elif len(w) > 2 and w[-1] in ".," and self.one_piece(w[-2]):  # a mark after a letter is a piece of its own
-                ends.append(w)
+            elif (body := w.rstrip(MARKS)) and 0 < len(w) - len(body) <= MOST_MARKS and self.one_piece(body[-1]):  # marks after a letter are a piece of their own
+                ends.append((w, body))
             else:
                 new.append((w, s))
-        for w in ends:
-            body = w[:-1]
+        for w, body in ends:
             if body not in young:
                 if (got := old.get(body)) is not None:
                     young[body] = got
@@ -107,33 +110,34 @@ class TextEncoder:
         if new:
             for (w, _), e in zip(new, self.tokenizer.encode_batch_fast([s for _, s in new], add_special_tokens=False), strict=True):
                 young[w] = packed(e.ids)
-        for w in ends:
-            young[w] = young[w[:-1]] + self.mark(w[-1])
+        for w, body in ends:
+            young[w] = young[body] + self.mark(w[len(body) :])
         return True
 
     @staticmethod
     def one_piece(word: str) -> bool:
         """Letters alone, none beyond Latin-1 and its neighbours: the splitting rules leave it whole, and the model alone will do."""
-        return word.isalpha() and (word.isascii() or max(word) < "\u0130")
+        return word.isalpha() and (word.isascii() or max(word) < BEYOND)
 
     def piece(self, word: str) -> bytes:
         """The ids of such a word after a space."""
         if not self.spaced:
-            low = word.lower()
-            known = self.young.get(low) or self.old.get(low)
-            if known:
+            word = word.lower()
+            if (known := self.young.get(word) or self.old.get(word)) is not None:
                 return known
-            word = low
         written = word if word.isascii() else "".join([AS_TEXT[b] for b in word.encode()])
-        return packed([t.id for t in self.model.tokenize("\u0120" + written if self.spaced else written)])
+        ids = packed([t.id for t in self.model.tokenize("\u0120" + written if self.spaced else written)])
+        if not self.spaced:
+            self.young[word] = ids
+        return ids
 
-    def mark(self, c: str) -> bytes:
-        if c not in self.marks:
-            self.marks[c] = self.whole(c)
-        return self.marks[c]
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaced: bool) -> TextEncoder:
+def encoder(path: str, spaced: bool, cache_words: int = CACHE_WORDS) -> TextEncoder:
     """One for each Python worker; the words that it learned serve the worker's later tasks."""
-    return TextEncoder(path, spaced)
+    return TextEncoder(path, spaced, cache_words)

@@ -90,6 +90,31 @@ def test_word_ids_over_all_of_unicode(name, spaced, texts):
         assert encoder.encode(t) == encoder.whole(t)
 
 
+class Asked:
+    """A tokenizer that notes the words it is given one by one."""
+
+    def __init__(self, of):
+        self.of, self.words = of, []
+
+    def encode(self, *args, **how):
+        return self.of.encode(*args, **how)
+
+    def encode_batch_fast(self, words, **how):
+        self.words += words
+        return self.of.encode_batch_fast(words, **how)
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_with_marks_or_in_a_new_line_are_put_together(name, spaced):
+    encoder = tokens.TextEncoder(public_tokenizers.path(name), spaced)
+    encoder.tokenizer = asked = Asked(encoder.tokenizer)
+    text = "The foo bar$$$ bar,%%% foo!! Éa*** Éa.### éA?!: foo\nbar\nfoo&&&"
+    assert encoder.encode(text) == encoder.whole(text)
+    assert sorted(asked.words) == (["\nbar", "\nfoo"] if spaced else [])
+    long = "foo" + "!" * 40 + " it's.. don't!! 1st.. 12$$$ a'. !!! x\u0301.. end"
+    assert encoder.encode(long) == encoder.whole(long)
+
+
 def test_packing_places_every_piece(spark):
     rng = random.Random(2)
     rows = EDGES + [(100 + i, prose(rng, rng.randrange(1, 900))) for i in range(60)]
