@@ -7,8 +7,10 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,6 +92,28 @@ def test_word_ids_over_all_of_unicode(name, spaced, texts):
         assert encoder.encode(t) == encoder.whole(t)
 
 
+def test_pipeline_hands_workers_small_batches(spark):
+    """What a stage returns is planned by its caller, so the setting holds after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def lengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    def most():
+        return max(r.n for r in spark.range(0, 9000, 1, 1).mapInArrow(lengths, "n long").collect())
+
+    try:
+        corpus_pipeline.mixing_stage(spark, documents(spark, [(1, "a b"), (2, None)]), "").collect()
+        assert most() == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(key, "100")
+        corpus_pipeline.mixing_stage(spark, documents(spark, [(1, "a b")]), "").collect()
+        assert most() == 100
+    finally:
+        spark.conf.set(key, before)
+
+
 class Asked:
     """A tokenizer that notes the words it is given one by one."""
 
