@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, lists, own, stored, text_or_empty
-from .tokens import encoder
+from .tokens import CACHE_WORDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, spaced: bool, end_id: int, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece; with ids (binary, 32 bits each) if asked."""
+def pieces(docs: DataFrame, path: str, spaced: bool, end_id: int, capacity: int = 1024, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece; with ids (binary, 32 bits each) if asked. cache_words: words that a worker keeps."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced).encode
+        encode = encoder(path, spaced, cache_words).encode
         for ids, texts in lists(batches, 256):
             rows = []
             for doc_id, text in zip(ids, texts, strict=True):

@@ -10,7 +10,9 @@ whole. tests/llm compares both ways.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
@@ -21,10 +23,14 @@ CACHE_WORDS = 300_000
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How byte-level vocabularies write each byte: printable ones as themselves, the others in order from U+0100.
 AS_TEXT = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
+AS_CODE = np.array([ord(AS_TEXT[b]) for b in range(256)], "<u2")
+AS_BYTE = {c: b for b, c in AS_TEXT.items()}
 #: Letters before this one are taken for letters by all the splitting rules.
 BEYOND = "\u0130"
 #: Marks that may end a word, and how many of them: a run of them is a piece for both kinds, with nothing of an elision ('s).
 MARKS, MOST_MARKS = "!#$%&*,.:;?", 4
+#: New words that the model is given in one call at most.
+AT_ONCE = 256
 
 
 def packed(ids: list[int]) -> bytes:
@@ -43,6 +49,8 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
+        self.bare = Tokenizer(self.model)  # splits nothing
+        self.begins = self.beginnings() if spaced else None
         self.spaced, self.half = spaced, cache_words // 2
         self.young: dict[str, bytes] = {}  # of words after a space
         self.old: dict[str, bytes] = {}
@@ -57,11 +65,14 @@ class TextEncoder:
         first = self.first(words[0])
         if first is None:
             return self.whole(text)
-        rest = words[1:]
-        try:
-            return first + b"".join(map(self.young.__getitem__, rest))
-        except KeyError:
-            return first + b"".join(map(self.young.__getitem__, rest)) if self.learn(rest) else self.whole(text)
+        del words[0]
+        ids = list(map(self.young.get, words))
+        if gaps := [k for k, got in enumerate(ids) if got is None]:
+            if not self.learn({words[k] for k in gaps}):
+                return self.whole(text)
+            for k in gaps:
+                ids[k] = self.young[words[k]]
+        return first + b"".join(ids)
 
     def first(self, word: str) -> bytes | None:
         """The ids of a text's first word, which no space precedes; None if it can't stand alone."""
@@ -82,20 +93,20 @@ class TextEncoder:
             return None
         return word if word[0] == "\n" or not self.spaced else " " + word
 
-    def learn(self, words: list[str]) -> bool:
-        """Puts all words into the young generation; False if one of them can't stand alone."""
+    def learn(self, words: set[str]) -> bool:
+        """Puts words that aren't there into the young generation; False if one of them can't stand alone."""
         if len(self.young) > self.half:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new, ends = [], []
-        for w in set(words).difference(young):
+        new, ends, alone = [], [], set()
+        for w in words:
             if (got := old.get(w)) is not None:
                 young[w] = got
-            elif w.isalpha() and (w.isascii() or max(w) < BEYOND):
-                young[w] = self.piece(w)
+            elif self.one_piece(w):
+                alone.add(w)
             elif (s := self.string(w)) is None:
                 return False
-            elif (body := w.rstrip(MARKS)) and 0 < len(w) - len(body) <= MOST_MARKS and self.one_piece(body[-1]):  # marks after a letter are a piece of their own
+            elif w[-1] in MARKS and (body := w.rstrip(MARKS)) and len(w) - len(body) <= MOST_MARKS and self.one_piece(body[-1]):  # marks after a letter are a piece of their own
                 ends.append((w, body))
             else:
                 new.append((w, s))
@@ -104,9 +115,10 @@ class TextEncoder:
                 if (got := old.get(body)) is not None:
                     young[body] = got
                 elif self.one_piece(body):
-                    young[body] = self.piece(body)
+                    alone.add(body)
                 else:
                     new.append((body, self.string(body)))
+        young.update(self.pieces(list(alone)))
         if new:
             for (w, _), e in zip(new, self.tokenizer.encode_batch_fast([s for _, s in new], add_special_tokens=False), strict=True):
                 young[w] = packed(e.ids)
@@ -119,6 +131,30 @@ class TextEncoder:
         """Letters alone, none beyond Latin-1 and its neighbours: the splitting rules leave it whole, and the model alone will do."""
         return word.isalpha() and (word.isascii() or max(word) < BEYOND)
 
+    def beginnings(self) -> np.ndarray | None:
+        """By id, whether a token begins with a space; None if the vocabulary may join a letter with a space after it."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            begins[i] = token[0] == "\u0120"
+            if "\u0120" in token[1:]:
+                shown = bytes(AS_BYTE[c] for c in token).decode(errors="replace")
+                if any(b == " " and (a.isalpha() or a == "\ufffd") for a, b in pairwise(shown)):
+                    return None
+        return begins
+
+    def pieces(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Such words with their ids after a space: many in one call of the model where it joins no two of them, cut where a space begins."""
+        if self.begins is None:
+            yield from ((w, self.piece(w)) for w in words)
+            return
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            written = AS_CODE[np.frombuffer((" " + " ".join(some)).encode(), "u1")].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+            data, starts = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+            yield from zip(some, [data[a:b] for a, b in pairwise([*starts, len(data)])], strict=True)
+
     def piece(self, word: str) -> bytes:
         """The ids of such a word after a space."""
         if not self.spaced:

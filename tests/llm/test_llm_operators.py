@@ -139,6 +139,40 @@ def test_words_with_marks_or_in_a_new_line_are_put_together(name, spaced):
     assert encoder.encode(long) == encoder.whole(long)
 
 
+class Silent:
+    def tokenize(self, word):
+        raise AssertionError(f"{word} is asked for alone")
+
+
+@given(st.lists(st.text(st.characters(max_codepoint=0x12F, categories=["L"]), min_size=1, max_size=12), min_size=1, max_size=700))
+@settings(max_examples=60, deadline=None)
+def test_new_words_are_asked_for_together(words):
+    encoder = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"), True, 2000)
+    encoder.model = Silent()
+    for text in (" ".join(words), ", ".join(words), ".\n".join(words) + "."):
+        assert encoder.encode(text) == encoder.whole(text)
+
+
+def test_words_are_asked_for_alone_where_the_vocabulary_joins_them(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate(tokens.AS_BYTE)}
+    joined = Tokenizer(models.BPE(vocabulary | {"a\u0120": 256, "\u0120b": 257}, [("a", "\u0120"), ("\u0120", "b")]))
+    joined.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    joined.save(str(tmp_path / "joined.json"))
+    encoder = tokens.TextEncoder(str(tmp_path / "joined.json"), True)
+    for text in ("a a b ba ab", "ba bb à aà a b"):
+        assert encoder.encode(text) == encoder.whole(text)
+
+
+def test_pieces_do_not_depend_on_the_words_kept(spark):
+    rng = random.Random(5)
+    docs = documents(spark, EDGES + [(100 + i, prose(rng, rng.randrange(1, 300))) for i in range(20)])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    many, few = (sorted(packing.pieces(docs, path, True, 2, capacity=64, cache_words=n).collect(), key=str) for n in (800_000, 2))
+    assert many == few and len(many) > len(EDGES)
+
+
 def test_packing_places_every_piece(spark):
     rng = random.Random(2)
     rows = EDGES + [(100 + i, prose(rng, rng.randrange(1, 900))) for i in range(60)]
