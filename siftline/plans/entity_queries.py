@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, url
@@ -219,15 +219,19 @@ def referential_checks(t: Tables) -> DataFrame:
 
 @query(
     "JOIN-22",
-    """WITH w AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM part WHERE p_size <= 5)
+    """WITH w AS (SELECT p_partkey, p_brand, p_size, list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM part)
        SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) AS shared, len(list_distinct(list_concat(a.w, b.w))) AS together
        FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
 )
 def token_jaccard(t: Tables) -> DataFrame:
-    words = t.part.where("p_size <= 5").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split(text.plain_key(F.col("p_name")), " ")).alias("w"))
-    shared = F.size(F.array_intersect("a.w", "b.w"))  # words are distinct on both sides
-    pairs = joins.block_pairs(words, ["p_brand", "p_size"], "p_partkey")
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), shared.alias("shared"), (F.size("a.w") + F.size("b.w") - shared).alias("together"))
+    """All pairs of parts of one brand and size. As in the SQL, a null name has no words, and shares null as the first of a pair."""
+    words = F.when(F.col("p_name").isNotNull(), F.array_distinct(F.split(text.plain_key(F.col("p_name")), " ")))
+    known = lambda w: F.coalesce(w, F.array().cast("array<string>"))
+
+    def counts(x: Column, y: Column) -> dict[str, Column]:
+        return {"shared": F.when(x.isNotNull(), F.size(F.array_intersect(x, known(y)))), "together": F.size(F.array_union(known(x), known(y)))}
+
+    return joins.class_pairs(t.part.select("p_partkey", "p_brand", "p_size", words.alias("w")), ["p_brand", "p_size"], "p_partkey", "w", counts)
 
 
 @query("JOIN-22, FN-61")

@@ -196,6 +196,34 @@ def test_block_pairs_spread_one_large_group(spark):
     assert joins.block_pairs(df.where("false"), ["g"], "k").count() == 0
 
 
+def test_class_pairs_write_out_each_pair_once(spark):
+    rows = [("big" if i < 300 else None if i % 5 == 0 else f"g{i % 9}", i % 390 if i % 50 else None, None if i % 7 == 0 else i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = joins.class_pairs(df, ["g"], "k", "v", lambda x, y: {"x": x, "less": F.coalesce(x - y, F.lit(9))}, class_rows=16)
+    want = [(p, q, v, 9 if v is None or w is None else v - w) for g, p, v in rows for h, q, w in rows if g is not None and g == h and p is not None and q is not None and p < q]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert got.columns == ["a", "b", "x", "less"] and sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert joins.class_pairs(df.where("false"), ["g"], "k", "v", lambda x, y: {"x": x}).count() == 0
+
+
+def test_token_jaccard_reads_all_sizes(spark):
+    from types import SimpleNamespace
+
+    import duckdb
+
+    from siftline.plans import catalog, entity_queries
+
+    names = ["blue bolt", "Blue, blue bolt", "hot gear", "hot bolt", "", "!!", None, "blue bolt"]
+    rows = [(100 * size + i, "Brand#1", size, n) for size in (1, 5, 6, 50) for i, n in enumerate(names)] + [(7, "Brand#2", 6, "blue bolt"), (8, "Brand#1", None, "blue bolt"), (9, None, 6, "blue bolt"), (603, "Brand#1", 6, "hot")]
+    part = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_name string")
+    got = [tuple(r) for r in entity_queries.token_jaccard(SimpleNamespace(part=part)).select("a", "b", "shared", "together").collect()]
+    assert {(600, 601, 2, 2), (600, 602, 0, 4), (5000, 5003, 1, 3), (5002, 5006, 0, 2), (5006, 5007, None, 2)} <= set(got)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part (p_partkey BIGINT, p_brand VARCHAR, p_size INTEGER, p_name VARCHAR)")
+    con.executemany("INSERT INTO part VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(catalog.ORACLE_SQL["token_jaccard"]).fetchall()))
+
+
 def test_overlay_and_preferred(spark):
     base = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
     over = spark.createDataFrame([(1, "z")], "id long, v string")
